@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: The query modules of this subpackage, one per operator.
-QUERY_MODULES = ["q_line_dedup", "q_bpe", "q_language_id", "q_mixing", "q_minhash_dedup", "q_url_filter", "q_exact_dedup"]
+QUERY_MODULES = ["q_line_dedup", "q_bpe", "q_language_id", "q_ann", "q_mixing", "q_minhash_dedup", "q_url_filter", "q_exact_dedup"]
 
 
 def queries() -> dict:
