@@ -1,13 +1,59 @@
-"""A training-corpus pipeline: each stage applies one operator to all rows its predecessor kept."""
+"""A training-corpus pipeline: each stage applies one operator to all rows its predecessor kept.
+
+Language ID drops what it rejects, line dedup rewrites texts, near-dedup keeps
+one document of each group, mixing repeats or drops documents to its sources'
+targets, and BPE encodes what is left. Every stage but the last returns the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import functions as F
+
+from aeroframe.llm import bpe, language_id, line_dedup, minhash_dedup, mixing
+from aeroframe.llm.common import materialise
+
+
+def language_stage(spark, docs, sf_dir):
+    model = language_id.fit_on_documents(docs)
+    return language_id.identify(docs, model).where("NOT rejected").select(*docs.columns)
+
+
+def line_stage(spark, docs, sf_dir):
+    out = line_dedup.dedup_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_stage(spark, docs, sf_dir):
+    stay = minhash_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("stay_id")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def mixing_stage(spark, docs, sf_dir):
+    return mixing.apply_mix(docs, mixing.mix(docs))
+
+
+def bpe_stage(spark, docs, sf_dir):
+    encoded = bpe.encode(docs.select("doc_id", "source", "text")).drop("text")
+    return bpe.digests(bpe.decode(encoded)).select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("minhash_dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("bpe", bpe_stage),
+]
+
+#: Learned centroids, random rounding and BPE have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for at, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if at < len(STAGES) - 1:
+            docs = materialise(docs)
     return docs
