@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise, shared_dir  # noqa: F401
+
 #: ASCII white space, as the contracts write it.
 WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]"
@@ -17,30 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; a local folder is set only
-    where the session has none, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        import tempfile
-
-        top = spark.sparkContext.getCheckpointDir()
-        if not top:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
-            top = spark.sparkContext.getCheckpointDir()
-    return f"{top}/aeroframe-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, where: str | None = None) -> DataFrame:
-    """Cut lineage: write to the shared folder and read the table back."""
-    spark = df.sparkSession
-    where = where or shared_dir(spark)
-    df.write.mode("overwrite").parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
-
-
 def ascii_lower(c):
     """A-Z to a-z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -8,10 +8,11 @@ similarity of 0.75 a pair shares no band with probability
 
 Documents with equal sets are one class, represented by its smallest id.
 Inside a band's bucket no pairs are listed at first: every member is compared
-with one hub, whole groups of near copies become one component, and only pairs
-of a bucket that lie in different components still matter. Hubs change until few
-such pairs are left; all of these are then compared. So every candidate pair is
-either verified or already connected, and no link is lost or capped.
+with one hub, and whole groups of near copies become one component. Then only
+components that share a bucket still matter. Small ones are compared member by
+member, larger ones block by block inside tasks that return one link at most for
+a component. So every candidate pair is verified or already connected, and no
+link is lost or capped.
 
 Defined results: null or empty text and text without words have an empty set
 and link with nothing; fewer than five words are one shingle; a null id sorts
@@ -29,16 +30,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import materialise
-from .components import components
 
 SHINGLE = 5
 ROWS, BANDS = 5, 40
 PER_CENT = 75
-#: Least share of equal minima for a pair to be read in full: 0.75 less six standard errors of 200 minima.
-LEAST_ESTIMATE = 0.56
+#: Least share of equal minima for a pair to be read in full: 0.75 less four standard errors of 200 minima.
+LEAST_ESTIMATE = 0.625
 LAST_ID = 2**63 - 1
-STAR_ROUNDS = 4
+#: Members of two components are compared pair by pair up to this product of their sizes, beyond it by blocks of BLOCK.
+FEW, BLOCK = 16, 512
 
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -135,22 +137,78 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shing
     return _narrow(docs, id_col, text_col).join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles binary")
 
 
+def alike(p: np.ndarray, q: np.ndarray, per_cent: int) -> bool:
+    """100 * intersection >= per_cent * union of two sorted sets."""
+    both = len(p) + len(q)
+    if 100 * min(len(p), len(q)) < per_cent * max(len(p), len(q)):
+        return False
+    shared = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * shared >= per_cent * (both - shared)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """The (a, b) pairs with 100 * intersection >= per_cent * union of their full sets."""
 
     def run(batches):
         for x in batches:
-            ok = []
-            for sa, sb in zip(x.column("set_a").to_pylist(), x.column("set_b").to_pylist()):
-                p, q = np.frombuffer(sa, "<u8"), np.frombuffer(sb, "<u8")
-                both = len(p) + len(q)
-                ok.append(100 * min(len(p), len(q)) >= per_cent * max(len(p), len(q)) and (shared := both - len(np.union1d(p, q))) * 100 >= per_cent * (both - shared))
+            sets_ = (x.column(c).to_pylist() for c in ("set_a", "set_b"))
+            ok = [alike(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), per_cent) for p, q in zip(*sets_)]
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def _links_of_pairs(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, shingle: int, per_cent: int) -> DataFrame:
+    """Candidate (a, b) pairs to links: by signature, then by full sets."""
+    likely = materialise(similar_signatures(pairs, reps, LEAST_ESTIMATE))
+    need = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
+    sets = materialise(full_sets(docs, need, id_col, text_col, shingle))
+    return verified(likely, sets, per_cent)
+
+
+def _links_of_blocks(tied: DataFrame, members: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, shingle: int, per_cent: int) -> DataFrame:
+    """(big, small) components that may be linked, and (comp, id) of their members, to links that connect them.
+
+    Blocks of both sides meet in one task, which compares signatures and then full
+    sets and returns one link, if there is one, for every small component and
+    block: nothing is listed pair by pair."""
+    need = members.select("id").distinct()
+    sets = full_sets(docs, need, id_col, text_col, shingle)
+    rich = materialise(members.join(sets, "id").join(reps, "id").select("comp", "id", "sig", "shingles"))
+    left = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("l"))
+    right = tied.join(members.select(F.col("comp").alias("small"), "id"), "small").groupBy("big").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("r"))
+    cells = materialise(right.join(left.withColumnRenamed("comp", "big"), "big"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.col(n))
+    cols = ["big", "lb", "rb", "comp", "id", "sig", "shingles"]
+    a = rich.join(cells.withColumn("comp", F.col("big")), "comp").withColumn("lb", block("l")).withColumn("rb", every("r")).select(*cols)
+    b = rich.join(tied.select("big", F.col("small").alias("comp")), "comp").join(cells, "big").withColumn("rb", block("r")).withColumn("lb", every("l"))
+    b = b.select(*[F.col(c).alias(c) for c in cols])
+
+    def cell(x, y):
+        import pandas as pd
+
+        out = []
+        if len(x) and len(y):
+            sx, sy = (np.frombuffer(b"".join(f["sig"]), "<u4").reshape(len(f), -1) for f in (x, y))
+            px, py = ([np.frombuffer(v, "<u8") for v in f["shingles"]] for f in (x, y))
+            ids, comps = (x["id"].to_numpy(), y["id"].to_numpy()), y["comp"].to_numpy()
+            joined = set()
+            for j in range(len(y)):
+                if comps[j] in joined:
+                    continue
+                share = (sx == sy[j]).mean(axis=1)
+                for i in sorted(np.flatnonzero(share >= LEAST_ESTIMATE), key=lambda i: -share[i]):
+                    if alike(px[i], py[j], per_cent):
+                        out.append((ids[0][i], ids[1][j]))
+                        joined.add(comps[j])
+                        break
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return a.groupBy("big", "lb", "rb").cogroup(b.groupBy("big", "lb", "rb")).applyInPandas(cell, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, per_cent: int = PER_CENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept."""
     sigs = materialise(signatures(docs, id_col, text_col, shingle, rows * bands))
@@ -163,49 +221,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(F.substring(F.col("sig"), k * (4 * rows) + 1, F.lit(4 * rows)), k))
     in_band = reps.select("id", F.explode(band).alias("band"))
     shared = in_band.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    in_band = materialise(in_band.join(shared, "band").select("band", "id"))
-
-    links, tested, sets, comp = materialise(torn), None, None, None
-    for k in range(STAR_ROUNDS + 1):
-        spread = in_band if comp is None else in_band.join(comp, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
-        if comp is None:
-            spread = spread.withColumn("comp", F.col("id"))
-        left = spread.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-        per_band = left.groupBy("band").agg(
-            (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("open"), F.sum("n").alias("size"),
-            F.max_by(F.struct("comp", "lo", "hi"), F.struct("n", "lo")).alias("main"),
-        ).where("open > 0")
-        if comp is not None:
-            spread, per_band = materialise(spread), materialise(per_band)
-            todo = per_band.agg(F.sum("open").alias("open"), F.sum("size").alias("size")).first()
-            if not todo["open"]:
-                break
-            exact = k == STAR_ROUNDS or todo["open"] <= 4 * todo["size"]
-        else:
-            exact = False
-        if exact:
-            x = spread.join(per_band.select("band"), "band", "left_semi")
-            y = x.select("band", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = x.select("band", F.col("id").alias("a"), F.col("comp").alias("comp_a")).join(y, "band").where("comp_a <> comp_b AND a < b").select("a", "b")
-        else:
-            # The hub lies in the bucket's largest component: its smallest member, its largest in every other round.
-            hub = per_band.select("band", F.col("main.comp").alias("hub_comp"), (F.col("main.hi") if k % 2 else F.col("main.lo")).alias("hub"))
-            pairs = spread.join(hub, "band").where("comp <> hub_comp AND id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        likely = materialise(similar_signatures(pairs, reps, LEAST_ESTIMATE))
-        need = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-        if sets is not None:
-            need = need.join(sets.select("id"), "id", "left_anti")
-        more = materialise(full_sets(docs, need, id_col, text_col, shingle))
-        sets = more if sets is None else sets.unionByName(more)
-        links = links.unionByName(materialise(verified(likely, sets, per_cent)))
-        comp = components(links)
-        if exact:
-            break
+    in_band = materialise(in_band.join(shared, "band").select("band", "id", "lo"))
+
+    # Every member against its bucket's hub.
+    pairs = in_band.where("id > lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
+    stars = connected_components(torn.unionByName(_links_of_pairs(pairs, docs, reps, id_col, text_col, shingle, per_cent)))
+
+    # Components that still share a bucket.
+    spread = materialise(in_band.join(stars, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp")).distinct())
+    sizes = spread.select("comp", "id").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+    open_bands = spread.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    spread = materialise(spread.join(open_bands, "band", "left_semi").join(sizes, "comp").select("band", "id", "comp", "n"))
+    other = spread.select("band", *[F.col(c).alias(f"{c}_b") for c in ("id", "comp", "n")])
+    # Small against small: the members themselves.
+    few = spread.join(other, "band").where((F.col("comp") < F.col("comp_b")) & (F.col("n") * F.col("n_b") <= FEW)).select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+    few = _links_of_pairs(few.join(pairs, ["a", "b"], "left_anti"), docs, reps, id_col, text_col, shingle, per_cent)
+    # Larger ones: component against component, by blocks.
+    parts = spread.select("band", "comp", "n").distinct()
+    tied = parts.join(parts.select("band", F.col("comp").alias("comp_b"), F.col("n").alias("n_b")), "band").where((F.col("n") * F.col("n_b") > FEW) & ((F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("comp") < F.col("comp_b")))))
+    tied = materialise(tied.select(F.col("comp").alias("big"), F.col("comp_b").alias("small")).distinct())
+    of_tied = tied.select(F.explode(F.array("big", "small")).alias("comp")).distinct()
+    of_tied = materialise(spread.select("comp", "id").distinct().join(of_tied, "comp", "left_semi"))
+    many = _links_of_blocks(tied, of_tied, docs, reps, id_col, text_col, shingle, per_cent)
+    star_links = stars.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
+    comp = connected_components(star_links.unionByName(few).unionByName(many))
+
     out = members.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("comp", F.when(F.col("any"), F.coalesce("component", "rep")).otherwise(F.col("id")))
     real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     return out.select(real("id").alias(id_col), "n_shingles", real("comp").alias("component_id"), (F.col("id") == F.col("comp")).alias("kept"))
