@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vectors import col
+from .vectors import col, repeat
 
 # The diagonal of full frame in millimetres and the usual diagonal field of view.
 FULL_FRAME_MM, DEFAULT_DFOV = 43.2666, 82.0
@@ -54,12 +54,14 @@ def project(x, y, z, k: Column, sx=1.0, sy=1.0) -> tuple[Column, Column]:
 
 def unproject(u, v, depth, k: Column, rounds: int = 8) -> tuple[Column, Column, Column]:
     """Pixel and depth to a camera-frame point; the lens is undone by a fixed number of substitutions."""
-    x0, y0, z = (col(u) - k["cx"]) / k["fx"], (col(v) - k["cy"]) / k["fy"], col(depth)
-    x, y = x0, y0
-    for _ in range(rounds):
-        xd, yd = distort(x, y, k)
-        x, y = x + x0 - xd, y + y0 - yd
-    return x * z, y * z, z
+    z, start = col(depth), F.struct(((col(u) - k["cx"]) / k["fx"]).alias("x"), ((col(v) - k["cy"]) / k["fy"]).alias("y"))
+
+    def step(p):
+        xd, yd = distort(p["x"], p["y"], k)
+        return F.struct((p["x"] + start["x"] - xd).alias("x"), (p["y"] + start["y"] - yd).alias("y"))
+
+    p = repeat(rounds, start, step)
+    return p["x"] * z, p["y"] * z, z
 
 
 def unproject_pinhole(u, v, depth, k: Column) -> tuple[Column, Column, Column]:

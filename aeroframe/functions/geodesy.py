@@ -9,7 +9,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vectors import col, mat_mul, mat_vec, transpose
+from .vectors import col, let, mat_mul, mat_vec, repeat, transpose
 
 # The WGS84 ellipsoid.
 A = 6378137.0
@@ -56,14 +56,15 @@ def enu_to_geodetic(e, n, u, lat0, lon0, alt0, rounds: int = 6) -> tuple[Column,
     x0, y0, z0 = geodetic_to_ecef(lat0, lon0, alt0)
     out = F.cos(la0) * u - F.sin(la0) * n
     x, y, z = x0 - F.sin(lo0) * e + F.cos(lo0) * out, y0 + F.cos(lo0) * e + F.sin(lo0) * out, z0 + F.cos(la0) * n + F.sin(la0) * u
-    p = F.sqrt(x * x + y * y)
-    la = F.atan2(z, p * F.lit(1 - E2))
-    for _ in range(rounds):
-        nn = F.lit(A) / F.sqrt(1 - F.lit(E2) * F.sin(la) * F.sin(la))
-        la = F.atan2(z + F.lit(E2) * nn * F.sin(la), p)
-    nn = F.lit(A) / F.sqrt(1 - F.lit(E2) * F.sin(la) * F.sin(la))
-    h = p * F.cos(la) + z * F.sin(la) - F.lit(A * A) / nn
-    return F.degrees(la), F.degrees(F.atan2(y, x)), h
+    radius = lambda la: F.lit(A) / F.sqrt(1 - F.lit(E2) * F.sin(la) * F.sin(la))
+
+    def solve(c):
+        p = F.sqrt(c["x"] * c["x"] + c["y"] * c["y"])
+        return F.struct(c["x"].alias("x"), c["y"].alias("y"), c["z"].alias("z"), p.alias("p"), repeat(rounds, F.atan2(c["z"], p * F.lit(1 - E2)), lambda la: F.atan2(c["z"] + F.lit(E2) * radius(la) * F.sin(la), p)).alias("la"))
+
+    s = let(let(F.struct(x.alias("x"), y.alias("y"), z.alias("z")), solve), lambda c: F.array(
+        F.degrees(c["la"]), F.degrees(F.atan2(c["y"], c["x"])), c["p"] * F.cos(c["la"]) + c["z"] * F.sin(c["la"]) - F.lit(A * A) / radius(c["la"])))
+    return s[0], s[1], s[2]
 
 
 def utm_epsg(lat, lon) -> Column:

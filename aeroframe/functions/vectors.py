@@ -44,3 +44,13 @@ def transpose(m: Column) -> Column:
 
 def clip(x, lo, hi) -> Column:
     return F.greatest(col(lo), F.least(col(hi), col(x)))
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, whatever number of times f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def repeat(times: int, start: Column, f) -> Column:
+    """f applied over and over to a value."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(times)), start, lambda acc, _: f(acc))

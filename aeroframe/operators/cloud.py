@@ -62,6 +62,7 @@ def nearest_neighbours(points: DataFrame, k: int, cell: float, id_col: str = "id
         q = at(todo).select("*", near.alias("o")).withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"o.{n}") for c, n in zip("xyz", "ijk")}).drop("o")
         q = q.join(sizes, ["cx", "cy", "cz"]).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("qb", F.pmod(F.xxhash64("id"), F.col("blocks")))
         cand = cand.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        cand = cand.select(*[F.col(c).alias(c) for c in cand.columns])
 
         def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
@@ -137,3 +138,14 @@ def classify_cloud(points: DataFrame, k: int = 15, cell: float = 2.0, id_col: st
     feats = shape_features(covariances(points, nn, id_col)).withColumnRenamed("id", id_col)
     p = height_above_ground(points).join(feats, id_col)
     return p.withColumn("class", classify(*[F.col(c) for c in ("hag", "planarity", "scattering", "normal_z")]))
+
+
+def nearest_within(left: DataFrame, right: DataFrame, cap: float, left_id: str, right_id: str) -> DataFrame:
+    """Each left row's nearest right row (x, y) not farther than ``cap``, the smaller id on ties: left id, right id, dist. Rows without one are left out."""
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    at = lambda df: df.withColumns({f"c{c}": F.floor(F.col(c) / cap) for c in "xy"})
+    q = at(left).withColumn("o", near).withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j")}).select(left_id, "cx", "cy", "x", "y")
+    r = at(right).select("cx", "cy", right_id, F.col("x").alias("rx"), F.col("y").alias("ry"))
+    d = norm(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))
+    hit = q.join(r, ["cx", "cy"]).withColumn("dist", d).where(F.col("dist") <= cap)
+    return hit.groupBy(left_id).agg(F.min(F.struct("dist", right_id)).alias("m")).select(left_id, f"m.{right_id}", "m.dist")

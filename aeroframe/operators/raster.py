@@ -289,3 +289,9 @@ def hull_fraction(observed: DataFrame) -> float:
     pts = np.array([(c + dx, r["row"] + dy) for r in ends for c in (r["a"], r["b"]) for dx in (-0.5, 0.5) for dy in (-0.5, 0.5)], float)
     inside = parts.join(top.select("component"), "component", "left_semi").join(observed.where("value = 1").select("row", "col"), ["row", "col"], "left_semi").count()
     return inside / max(polygon_area(convex_hull(pts)), 1e-9)
+
+
+def mask_iou(cells: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
+    """Intersection over union of two 0/1 columns, 0 where both are empty."""
+    both, either = F.count_if((F.col(a) == 1) & (F.col(b) == 1)), F.count_if((F.col(a) == 1) | (F.col(b) == 1))
+    return cells.groupBy(*keys).agg(F.when(either > 0, both / either).otherwise(0.0).alias("iou"))

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import q_cloud, q_geometry, q_series  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
