@@ -180,7 +180,7 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(self.bpe.piece_ids(piece.encode("utf-8", "replace")), "<u4").tobytes()
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         if len(piece) <= 256:
             self[piece] = ids
@@ -203,7 +203,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
 
     def run(batches):
         bpe = loaded(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             parts = [bpe.encode(t or "") for t in b.column(at).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype("<i4")
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
@@ -220,27 +220,48 @@ def decode(docs: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded", pa
 
     def run(batches):
         bpe = loaded(path, pattern)
-        for b in batches:
-            out = [bpe.decode(ids or []) for ids in b.column(at).to_pylist()]
+        for b in slices(batches):
+            out = [bpe.decode(ids) for ids in id_lists(b.column(at))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, bytes_col])
 
     return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
 
 
-def digests(encoded: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """Adds n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids) and decoded_sha256; drops ids and bytes."""
+def slices(batches, rows: int = 128):
+    """Small batches, so that a task holds few texts and their ids at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def id_lists(column):
+    """Each row's ids as a list; never the whole column's as Python numbers."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    valid = column.is_valid().to_pylist()
+    for i, j, ok in zip(offsets[:-1], offsets[1:], valid):
+        yield values[i:j].tolist() if ok else []
+
+
+def round_trip_digests(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Decodes the ids and replaces them by n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids) and decoded_sha256."""
     import hashlib
 
-    src = encoded.withColumn("n_tokens", F.size(ids_col).cast("long")).withColumn("decoded_sha256", F.sha2(F.col(bytes_col), 256)).drop(bytes_col)
+    path, pattern = path or default_vocabulary()[0], pattern or default_vocabulary()[1]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    src = encoded.drop(*names)
     at = src.columns.index(ids_col)
-    out = T.StructType([*src.drop(ids_col).schema.fields, T.StructField("ids_sha256", T.StringType())])
+    kinds = (T.LongType(), T.StringType(), T.StringType())
+    out = T.StructType([*src.drop(ids_col).schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds)]])
 
     def run(batches):
-        for b in batches:
-            col = b.column(at)
-            values, offsets = col.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes(), col.offsets.to_numpy()
-            hashes = [hashlib.sha256(values[4 * i : 4 * j]).hexdigest() for i, j in zip(offsets[:-1], offsets[1:])]
+        bpe = loaded(path, pattern)
+        for b in slices(batches):
+            n, ids_sha, text_sha = [], [], []
+            for ids in id_lists(b.column(at)):
+                n.append(len(ids))
+                ids_sha.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             rest = [c for k, c in enumerate(b.columns) if k != at]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(hashes, pa.string())], out.names)
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], out.names)
 
     return src.mapInArrow(run, out)

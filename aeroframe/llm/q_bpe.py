@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from .bpe import decode, digests, encode
+from .bpe import encode, round_trip_digests
 from .common import table
 
 
 def op2_bpe(spark, sf_dir):
     encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    return digests(decode(encoded)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return round_trip_digests(encoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 QUERIES = {"op2_bpe": op2_bpe}
