@@ -39,8 +39,10 @@ PER_CENT = 75
 #: Least share of equal minima for a pair to be read in full: 0.75 less four standard errors of 200 minima.
 LEAST_ESTIMATE = 0.625
 LAST_ID = 2**63 - 1
-#: Members of two components are compared pair by pair up to this product of their sizes, beyond it by blocks of BLOCK.
-FEW, BLOCK = 16, 512
+#: Single documents of a bucket are compared pair by pair up to this number, beyond it by blocks of BLOCK.
+FEW, BLOCK = 12, 512
+#: Ids that are broadcast at most (8 MB of them); longer lists are shuffled.
+BROADCAST_IDS = 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -111,6 +113,12 @@ def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
+def only(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is listed. A list counted as small enough is broadcast, so that texts and signatures stay where they are; a longer one is joined."""
+    ids = materialise(ids.select("id").distinct())
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def similar_signatures(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """(a, b) pairs whose signatures agree on at least ``least`` of their minima."""
 
@@ -121,6 +129,7 @@ def similar_signatures(pairs: DataFrame, sigs: DataFrame, least: float) -> DataF
             sa, sb = (np.frombuffer(b"".join(x.column(k).to_pylist()), "<u4").reshape(x.num_rows, -1) for k in ("sig_a", "sig_b"))
             yield x.select(["a", "b"]).filter(pa.array((sa == sb).mean(axis=1) >= least))
 
+    sigs = materialise(only(sigs, pairs.select(F.explode(F.array("a", "b")).alias("id"))))
     both = pairs.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long").distinct()
 
@@ -134,7 +143,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shing
             sets = [shingle_set(t, words, shingle).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    return _narrow(docs, id_col, text_col).join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles binary")
+    return only(_narrow(docs, id_col, text_col), ids).mapInArrow(run, "id long, shingles binary")
 
 
 def alike(p: np.ndarray, q: np.ndarray, per_cent: int) -> bool:
@@ -162,51 +171,58 @@ def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
 def _links_of_pairs(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, shingle: int, per_cent: int) -> DataFrame:
     """Candidate (a, b) pairs to links: by signature, then by full sets."""
     likely = materialise(similar_signatures(pairs, reps, LEAST_ESTIMATE))
-    need = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
+    need = likely.select(F.explode(F.array("a", "b")).alias("id"))
     sets = materialise(full_sets(docs, need, id_col, text_col, shingle))
     return verified(likely, sets, per_cent)
 
 
-def _links_of_blocks(tied: DataFrame, members: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, shingle: int, per_cent: int) -> DataFrame:
-    """(big, small) components that may be linked, and (comp, id) of their members, to links that connect them.
-
-    Blocks of both sides meet in one task, which compares signatures and then full
-    sets and returns one link, if there is one, for every small component and
-    block: nothing is listed pair by pair."""
-    need = members.select("id").distinct()
-    sets = full_sets(docs, need, id_col, text_col, shingle)
-    rich = materialise(members.join(sets, "id").join(reps, "id").select("comp", "id", "sig", "shingles"))
-    left = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("l"))
-    right = tied.join(members.select(F.col("comp").alias("small"), "id"), "small").groupBy("big").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("r"))
-    cells = materialise(right.join(left.withColumnRenamed("comp", "big"), "big"))
+def _links_of_blocks(tied: DataFrame, crowds: DataFrame, members: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, shingle: int, per_cent: int) -> DataFrame:
+    """Links that connect what may belong together, found block by block.
+
+    tied: (big, small), components that share a bucket. crowds: (band, id), the
+    single documents of a bucket that has many. members: (comp, id) of all of them.
+    Blocks of both sides meet in one task, which compares signatures, then full
+    sets, and returns the links of a spanning forest: nothing is listed pair by pair."""
+    sets = full_sets(docs, members, id_col, text_col, shingle)
+    rich = materialise(members.join(sets, "id").join(only(reps, members), "id").select("comp", "id", "sig", "shingles"))
+    # Sides of the comparison: a key, the left rows' blocks and the right rows' blocks.
+    left_a = tied.select(F.lit(0).alias("kind"), F.col("big").alias("key"), F.col("big").alias("comp")).distinct().join(members, "comp")
+    right_a = tied.select(F.lit(0).alias("kind"), F.col("big").alias("key"), F.col("small").alias("comp")).join(members, "comp")
+    crowd = crowds.select(F.lit(1).alias("kind"), F.col("band").alias("key"), F.col("id").alias("comp"), "id")
+    left, right = (x.select("kind", "key", "comp", "id").unionByName(crowd) for x in (left_a, right_a))
+    blocks = lambda x, n: x.groupBy("kind", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(n))
+    cells = materialise(blocks(left, "l").join(blocks(right, "r"), ["kind", "key"]))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    block = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.col(n))
-    cols = ["big", "lb", "rb", "comp", "id", "sig", "shingles"]
-    a = rich.join(cells.withColumn("comp", F.col("big")), "comp").withColumn("lb", block("l")).withColumn("rb", every("r")).select(*cols)
-    b = rich.join(tied.select("big", F.col("small").alias("comp")), "comp").join(cells, "big").withColumn("rb", block("r")).withColumn("lb", every("l"))
-    b = b.select(*[F.col(c).alias(c) for c in cols])
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    upper = "kind = 0 OR lb <= rb"
+    cols = ["kind", "key", "lb", "rb", "comp", "id", "sig", "shingles"]
+    x = left.join(cells, ["kind", "key"]).withColumn("lb", block("l")).withColumn("rb", every("r")).where(upper).join(rich, ["comp", "id"]).select(*[F.col(c).alias(c) for c in cols])
+    y = right.join(cells, ["kind", "key"]).withColumn("rb", block("r")).withColumn("lb", every("l")).where(upper).join(rich, ["comp", "id"]).select(*[F.col(c).alias(c) for c in cols])
 
     def cell(x, y):
         import pandas as pd
 
-        out = []
+        out, top = [], {}
+
+        def root(c):
+            while top.get(c, c) != c:
+                c = top[c]
+            return c
+
         if len(x) and len(y):
             sx, sy = (np.frombuffer(b"".join(f["sig"]), "<u4").reshape(len(f), -1) for f in (x, y))
             px, py = ([np.frombuffer(v, "<u8") for v in f["shingles"]] for f in (x, y))
-            ids, comps = (x["id"].to_numpy(), y["id"].to_numpy()), y["comp"].to_numpy()
-            joined = set()
+            (ix, cx), (iy, cy) = ((f["id"].tolist(), f["comp"].tolist()) for f in (x, y))
             for j in range(len(y)):
-                if comps[j] in joined:
-                    continue
                 share = (sx == sy[j]).mean(axis=1)
                 for i in sorted(np.flatnonzero(share >= LEAST_ESTIMATE), key=lambda i: -share[i]):
-                    if alike(px[i], py[j], per_cent):
-                        out.append((ids[0][i], ids[1][j]))
-                        joined.add(comps[j])
-                        break
+                    if (p := root(cx[i])) != (q := root(cy[j])) and alike(px[i], py[j], per_cent):
+                        out.append((ix[i], iy[j]))
+                        top[p] = q
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return a.groupBy("big", "lb", "rb").cogroup(b.groupBy("big", "lb", "rb")).applyInPandas(cell, "a long, b long")
+    keys = ("kind", "key", "lb", "rb")
+    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(cell, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, per_cent: int = PER_CENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -217,14 +233,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # An id whose rows have different sets ties their classes together.
     torn = members.groupBy("id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1).select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a <> b")
 
-    reps = materialise(sigs.where("cls IS NOT NULL").join(classes.select("cls", F.col("rep").alias("id")), ["cls", "id"], "left_semi").select("id", "sig").dropDuplicates(["id", "sig"]))
+    reps = materialise(sigs.where("cls IS NOT NULL").join(classes.select("cls", F.col("rep").alias("id")), ["cls", "id"], "left_semi").dropDuplicates(["cls", "id"]).select("id", "sig"))
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(F.substring(F.col("sig"), k * (4 * rows) + 1, F.lit(4 * rows)), k))
     in_band = reps.select("id", F.explode(band).alias("band"))
     shared = in_band.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     in_band = materialise(in_band.join(shared, "band").select("band", "id", "lo"))
 
     # Every member against its bucket's hub.
-    pairs = in_band.where("id > lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = materialise(in_band.where("id > lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct())
     stars = connected_components(torn.unionByName(_links_of_pairs(pairs, docs, reps, id_col, text_col, shingle, per_cent)))
 
     # Components that still share a bucket.
@@ -232,17 +248,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = spread.select("comp", "id").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
     open_bands = spread.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
     spread = materialise(spread.join(open_bands, "band", "left_semi").join(sizes, "comp").select("band", "id", "comp", "n"))
-    other = spread.select("band", *[F.col(c).alias(f"{c}_b") for c in ("id", "comp", "n")])
-    # Small against small: the members themselves.
-    few = spread.join(other, "band").where((F.col("comp") < F.col("comp_b")) & (F.col("n") * F.col("n_b") <= FEW)).select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
-    few = _links_of_pairs(few.join(pairs, ["a", "b"], "left_anti"), docs, reps, id_col, text_col, shingle, per_cent)
-    # Larger ones: component against component, by blocks.
+    # Single documents: pair by pair where a bucket has few, else by blocks.
+    singles = spread.where("n = 1").select("band", "id")
+    singles = materialise(singles.join(singles.groupBy("band").agg(F.count(F.lit(1)).alias("s")), "band").where("s > 1"))
+    few = singles.where(F.col("s") <= FEW)
+    few = few.select("band", F.col("id").alias("a")).join(few.select("band", F.col("id").alias("b")), "band").where("a < b").select("a", "b").distinct()
+    few = _links_of_pairs(materialise(few.join(pairs, ["a", "b"], "left_anti")), docs, reps, id_col, text_col, shingle, per_cent)
+    crowds = singles.where(F.col("s") > FEW).select("band", "id")
+    # Larger components: each against those smaller ones that share a bucket with it.
     parts = spread.select("band", "comp", "n").distinct()
-    tied = parts.join(parts.select("band", F.col("comp").alias("comp_b"), F.col("n").alias("n_b")), "band").where((F.col("n") * F.col("n_b") > FEW) & ((F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("comp") < F.col("comp_b")))))
+    others = parts.select("band", F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
+    tied = parts.where("n > 1").join(others, "band").where((F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("comp") < F.col("comp_b"))))
     tied = materialise(tied.select(F.col("comp").alias("big"), F.col("comp_b").alias("small")).distinct())
-    of_tied = tied.select(F.explode(F.array("big", "small")).alias("comp")).distinct()
-    of_tied = materialise(spread.select("comp", "id").distinct().join(of_tied, "comp", "left_semi"))
-    many = _links_of_blocks(tied, of_tied, docs, reps, id_col, text_col, shingle, per_cent)
+    listed = tied.select(F.explode(F.array("big", "small")).alias("comp")).unionByName(crowds.select(F.col("id").alias("comp"))).distinct()
+    listed = materialise(spread.select("comp", "id").distinct().join(listed, "comp", "left_semi"))
+    many = _links_of_blocks(tied, crowds, listed, docs, reps, id_col, text_col, shingle, per_cent)
     star_links = stars.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
     comp = connected_components(star_links.unionByName(few).unionByName(many))
 
