@@ -192,7 +192,8 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     new = mentions.join(table, ["kind", "canon"]).withColumn("new", rendered())
     per_text = materialise(new.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("__pii_new")))
     src = docs.select(*kept).withColumn("__pii", F.md5(F.encode(text, "UTF-8")))
-    both = src.join(per_text.withColumnRenamed("digest", "__pii"), "__pii", "left")
+    # Replacements grow with the texts: joined by a shuffle at every size.
+    both = src.join(per_text.withColumnRenamed("digest", "__pii").hint("merge"), "__pii", "left")
     pieces = F.split(text, ENTITY, -1)
     joined = F.concat_ws("", F.flatten(F.zip_with(pieces, F.col("__pii_new.new"), lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))))
     return both.withColumn(text_col, F.when(F.col("__pii_new").isNotNull(), joined).otherwise(text)).select(*kept, F.coalesce(F.size("__pii_new"), F.lit(0)).cast("long").alias("n_entities")).withColumn("n_entities", F.greatest("n_entities", F.lit(0).cast("long")))
