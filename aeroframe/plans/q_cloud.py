@@ -178,11 +178,11 @@ def colour_names(spark, d):
     return Views(spark, d).spots().select("id", colour.colour_name("r", "g", "b").alias("name"), colour.hex_colour("r", "g", "b").alias("hex"), F.round(colour.excess_green("r", "g", "b"), 8).alias("exg"))
 
 
-@query(f"""WITH h AS (SELECT cast(o_orderkey%40 as double)/20-1 AS nx, cast(o_custkey%30 as double)/15-1 AS ny, 1.0::double AS nz, -cast(o_orderkey%7 as double)*10 AS d, o_orderkey AS round FROM orders WHERE o_orderkey < 60)
+@query(f"""WITH h AS (SELECT cast(n_nationkey*7%40 as double)/20-1 AS nx, cast(n_regionkey*11%30 as double)/15-1 AS ny, 1.0::double AS nz, -cast(n_nationkey%7 as double)*10 AS d, n_nationkey AS round FROM nation)
   SELECT round, count(*) FILTER (WHERE abs(nx*x+ny*y+nz*z+d) < 5) AS inliers FROM ({PTS}), h GROUP BY round""")
 def plane_score(spark, d):
     v = Views(spark, d)
-    h = v.table("orders").where("o_orderkey < 60").selectExpr("cast(o_orderkey%40 as double)/20-1 AS nx", "cast(o_custkey%30 as double)/15-1 AS ny", "1.0D AS nz", "-cast(o_orderkey%7 as double)*10 AS d", "o_orderkey AS round")
+    h = v.table("nation").selectExpr("cast(n_nationkey*7%40 as double)/20-1 AS nx", "cast(n_regionkey*11%30 as double)/15-1 AS ny", "1.0D AS nz", "-cast(n_nationkey%7 as double)*10 AS d", "n_nationkey AS round")
     return estimate.plane_scores(v.pts(), h, 5.0).select("round", "inliers")
 
 

@@ -289,7 +289,7 @@ def area_coverage(spark, d):
 @query()
 def mesh_components(spark, d):
     f, _ = _mesh(spark, d)
-    return components.large_components(components.face_components(f.where("fid % 9 = 0")), 0.001)
+    return components.large_components(components.face_components(f), 0.001)
 
 
 @query(f"""WITH f AS ({_FACES}), v AS ({_VERT}), m AS (SELECT fid, (a.x+b.x+c.x)/3 AS x, (a.y+b.y+c.y)/3 AS y FROM f JOIN v a ON a.vid = v0 JOIN v b ON b.vid = v1 JOIN v c ON c.vid = v2)
@@ -300,22 +300,22 @@ def faces_on_grid(spark, d):
     return mesh.faces_on_grid(f, v, g, 0.0, 100.0, 2.0, 50, 50)
 
 
-_POLY = f"SELECT vid%25 AS ring_id, vid, x, y FROM ({_VERT}) WHERE vid < 200"
+_POLY = f"SELECT vid // 8 AS ring_id, vid, x, y FROM ({_VERT})"
 
 
 @query(f"""WITH p AS ({_POLY}), e AS (SELECT ring_id, x AS x0, y AS y0, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x1, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y1 FROM p WINDOW w AS (PARTITION BY ring_id ORDER BY vid)),
   l AS (SELECT *, sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) AS len, atan2(y1-y0, x1-x0) AS a FROM e)
   SELECT ring_id, round(abs(sum(x0*y1-x1*y0)/2), 6) AS area, round(sum(len), 6) AS perimeter, round(atan2(sum(len*sin(4*a)), sum(len*cos(4*a)))/4, 6) AS angle FROM l GROUP BY ring_id""")
 def ring_measures(spark, d):
-    p = Views(spark, d).of(_VERT).where("vid < 200")
-    rings = p.groupBy((F.col("vid") % 25).alias("ring_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("vid", "x", "y"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))).alias("ring"))
+    p = Views(spark, d).of(_VERT)
+    rings = p.groupBy(F.expr("vid div 8").alias("ring_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("vid", "x", "y"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))).alias("ring"))
     return mesh.ring_measures(rings).select("ring_id", *[F.round(c, 6).alias(c) for c in ("area", "perimeter", "angle")])
 
 
 @query()
 def wall_meshes(spark, d):
-    p = Views(spark, d).of(_VERT).where("vid < 200")
-    rings = p.groupBy((F.col("vid") % 25).alias("ring_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("vid", "x", "y"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))).alias("ring"))
+    p = Views(spark, d).of(_VERT)
+    rings = p.groupBy(F.expr("vid div 8").alias("ring_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("vid", "x", "y"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))).alias("ring"))
     e = mesh.ring_edges(rings).withColumns({"z0": F.lit(8.0), "z1": F.lit(9.0), "base_z": F.lit(2.0)})
     return mesh.wall_quads(e, 2.0).groupBy("ring_id").agg(F.count(F.lit(1)).alias("quads"))
 

@@ -180,13 +180,13 @@ def model_metrics(spark, d):
     return Views(spark, d).table("lineitem").agg(F.count(F.lit(1)).alias("images"), F.sum("l_linenumber").alias("keypoints"), F.count_if(F.col("l_linenumber") > 3).alias("verified"))
 
 
-@query("""WITH b AS (SELECT c_nationkey AS building_id, abs(c_acctbal)/700 AS mid_m FROM customer WHERE c_custkey % 7 = 0), r AS (SELECT *, CASE WHEN mid_m - lag(mid_m) OVER (PARTITION BY building_id ORDER BY mid_m) > 1.2 THEN 1 ELSE 0 END AS cut FROM b),
+@query("""WITH b AS (SELECT c_nationkey AS building_id, abs(c_acctbal)/70 AS mid_m FROM customer), r AS (SELECT *, CASE WHEN mid_m - lag(mid_m) OVER (PARTITION BY building_id ORDER BY mid_m) > 1.2 THEN 1 ELSE 0 END AS cut FROM b),
   w AS (SELECT building_id, 1+sum(cut) AS rows, count(*) AS n, min(mid_m) AS low FROM r GROUP BY 1 HAVING count(*) >= 2), x AS (SELECT building_id, rows + CASE WHEN building_id % 2 = 0 AND low > 2.5 THEN 1 ELSE 0 END AS rows FROM w)
   SELECT n_nationkey AS building_id, cast(coalesce(rows, CASE WHEN n_nationkey > 0 THEN greatest(1, round_even(n_nationkey*1.1::double/3, 0)) END) AS int) AS floors FROM nation LEFT JOIN x ON building_id = n_nationkey""")
 def storeys(spark, d):
     from ..operators.buildings import floors
 
     v = Views(spark, d)
-    w = v.table("customer").where("c_custkey % 7 = 0").select(F.col("c_nationkey").alias("building_id"), (F.abs("c_acctbal") / 700).alias("mid_m"))
+    w = v.table("customer").select(F.col("c_nationkey").alias("building_id"), (F.abs("c_acctbal") / 70).alias("mid_m"))
     e = v.table("nation").select(F.col("n_nationkey").alias("building_id"), (F.col("n_nationkey") * F.lit(1.1)).alias("eave_height_m"))
     return floors(w, e.where("building_id % 2 = 0").select("building_id"), e).select("building_id", F.col("floors").cast("int").alias("floors"))
