@@ -25,8 +25,8 @@ def line_stage(spark, docs, sf_dir):
 
 
 def near_stage(spark, docs, sf_dir):
-    stay = minhash_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi").dropDuplicates(["doc_id"])
+    stay = minhash_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__stay_id")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay_id")), "left_semi").dropDuplicates(["doc_id"])
 
 
 def mixing_stage(spark, docs, sf_dir):
