@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices, tidy
+
 LEAF = 8192
 PIECE_LEAF = 128
 _SAFE = regex.compile(r"(?<=\S)(?=\s)")
@@ -201,6 +203,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
     at = src.columns.index(text_col)
     src = src.withColumn(text_col, F.col(text_col).cast("string"))
 
+    @tidy
     def run(batches):
         bpe = loaded(path, pattern)
         for b in slices(batches):
@@ -218,6 +221,7 @@ def decode(docs: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded", pa
     src = docs.drop(bytes_col)
     at = src.columns.index(ids_col)
 
+    @tidy
     def run(batches):
         bpe = loaded(path, pattern)
         for b in slices(batches):
@@ -227,13 +231,6 @@ def decode(docs: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded", pa
     return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
 
 
-def slices(batches, rows: int = 128):
-    """Small batches, so that a task holds few texts and their ids at a time."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def id_lists(column):
     """Each row's ids as a list; never the whole column's as Python numbers."""
     values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
@@ -242,25 +239,28 @@ def id_lists(column):
         yield values[i:j].tolist() if ok else []
 
 
-def round_trip_digests(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Decodes the ids and replaces them by n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids) and decoded_sha256."""
+def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Encodes each text and decodes its ids in one pass: the other columns plus n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids) and decoded_sha256."""
     import hashlib
 
     path, pattern = path or default_vocabulary()[0], pattern or default_vocabulary()[1]
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    src = encoded.drop(*names)
-    at = src.columns.index(ids_col)
+    src = docs.drop(*names)
+    at = src.columns.index(text_col)
+    src = src.withColumn(text_col, F.col(text_col).cast("string"))
     kinds = (T.LongType(), T.StringType(), T.StringType())
-    out = T.StructType([*src.drop(ids_col).schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds)]])
+    out = T.StructType([*src.drop(text_col).schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds)]])
 
+    @tidy
     def run(batches):
         bpe = loaded(path, pattern)
         for b in slices(batches):
             n, ids_sha, text_sha = [], [], []
-            for ids in id_lists(b.column(at)):
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+            for text in b.column(at).to_pylist():
+                ids = bpe.encode(text or "")
+                n.append(len(ids) // 4)
+                ids_sha.append(hashlib.sha256(ids).hexdigest())
+                text_sha.append(hashlib.sha256(bpe.decode(np.frombuffer(ids, "<u4").tolist())).hexdigest())
             rest = [c for k, c in enumerate(b.columns) if k != at]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], out.names)
 

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 BUDGET = 2048
 HISTORY_TOKENS, HISTORY_TURNS = 256, 2
 BLOCK_TURNS = 64
@@ -61,6 +63,7 @@ def turn_tokens(rows: DataFrame) -> DataFrame:
     path, pattern = default_vocabulary()
     at = rows.columns.index("text")
 
+    @tidy
     def run(batches):
         bpe = loaded(path, pattern)
         for b in batches:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,3 +30,28 @@ def ascii_lower(c):
 def with_text(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Null text becomes empty text; the column is a string whatever it was."""
     return df.withColumn(text_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def slices(batches, rows: int = 256):
+    """Small batches, so that a task holds few texts and their results at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def tidy(run):
+    """For functions over Arrow batches: workers are used again and again, so give memory back when a task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except OSError:  # another C library
+                pass
+
+    return wrapped

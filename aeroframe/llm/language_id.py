@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices, tidy
+
 DIMS = 4096
 PER_LANGUAGE = 1200
 CLUSTERS = 4
@@ -111,9 +113,10 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", order_
     """Learn from ``train``. ``per_language`` bounds, in expectation, the rows a language's clusters are fitted on."""
     rows = train.select(F.xxhash64(F.col(order_col).cast("string"), F.lit("fit")).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
 
+    @tidy
     def frequencies(batches):
         df, langs = np.zeros(dims, np.int64), {}
-        for b in batches:
+        for b in slices(batches):
             for text, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 counts = gram_counts(text, dims)
                 if counts is not None:
@@ -157,8 +160,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     src = src.withColumn(text_col, F.col(text_col).cast("string"))
     schema = T.StructType([*src.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
+    @tidy
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [model.predict(t) for t in b.column(at).to_pylist()]
             cols = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], schema.names)

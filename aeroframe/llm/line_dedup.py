@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_BYTES, materialise, shared_dir
+from .common import WS_BYTES, materialise, shared_dir, slices, tidy
 
 MIN_CODE_POINTS = 10
 LAST_ID = 2**63 - 1
@@ -45,8 +45,9 @@ def key_hash(line: bytes, min_code_points: int) -> bytes | None:
 def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_code_points: int) -> DataFrame:
     """One row per document and distinct key: id, h1, h2 (the halves of the hash)."""
 
+    @tidy
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             ids, h1, h2 = [], [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found = {h for line in (text or "").encode("utf-8", "replace").split(b"\n") if (h := key_hash(line, min_code_points))}
@@ -145,8 +146,9 @@ def drop_lines(docs: DataFrame, per_doc: DataFrame, id_col: str, text_col: str,
     src = docs.select(*kept).withColumn("__ln_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))).join(per_doc, "__ln_id", "left").drop("__ln_id")
     at = kept.index(text_col)
 
+    @tidy
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts, n_lines, n_dropped = [], [], []
             for text, gone in zip(b.column(at).to_pylist(), b.column(len(kept)).to_pylist()):
                 lines = (text or "").encode("utf-8", "replace").split(b"\n")

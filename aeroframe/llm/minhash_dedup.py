@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import materialise
+from .common import materialise, slices, tidy
 
 SHINGLE = 5
 ROWS, BANDS = 5, 40
@@ -57,7 +57,7 @@ class _Words(dict):
     """Word to 64-bit hash; forgets all when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -95,9 +95,10 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, count: int = ROWS * BANDS) -> DataFrame:
     """id, n_shingles, cls (digest of the set) and sig (``count`` 32-bit minima); null digest and sig for an empty set."""
 
+    @tidy
     def run(batches):
         words, (a, b) = _Words(), hash_family(count)
-        for batch in batches:
+        for batch in slices(batches):
             n, cls, sig = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, words, shingle)
@@ -122,8 +123,9 @@ def only(df: DataFrame, ids: DataFrame) -> DataFrame:
 def similar_signatures(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """(a, b) pairs whose signatures agree on at least ``least`` of their minima."""
 
+    @tidy
     def run(batches):
-        for x in batches:
+        for x in slices(batches, 1024):
             if not x.num_rows:
                 continue
             sa, sb = (np.frombuffer(b"".join(x.column(k).to_pylist()), "<u4").reshape(x.num_rows, -1) for k in ("sig_a", "sig_b"))
@@ -137,9 +139,10 @@ def similar_signatures(pairs: DataFrame, sigs: DataFrame, least: float) -> DataF
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(id, shingles) of the listed ids."""
 
+    @tidy
     def run(batches):
         words = _Words()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, words, shingle).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
@@ -158,8 +161,9 @@ def alike(p: np.ndarray, q: np.ndarray, per_cent: int) -> bool:
 def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """The (a, b) pairs with 100 * intersection >= per_cent * union of their full sets."""
 
+    @tidy
     def run(batches):
-        for x in batches:
+        for x in slices(batches):
             sets_ = (x.column(c).to_pylist() for c in ("set_a", "set_b"))
             ok = [alike(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), per_cent) for p, q in zip(*sets_)]
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))

@@ -34,8 +34,7 @@ def mixing_stage(spark, docs, sf_dir):
 
 
 def bpe_stage(spark, docs, sf_dir):
-    encoded = bpe.encode(docs.select("doc_id", "source", "text")).drop("text")
-    return bpe.round_trip_digests(encoded).select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.round_trip(docs.select("doc_id", "source", "text"))
 
 
 STAGES = [
