@@ -160,11 +160,11 @@ def srt_round_trip(spark, d):
     return telemetry.usable(telemetry.parse_blocks(srt_text(s))).select("seq", F.round("t", 3).alias("t"), "lat", "lon", "rel_alt", "abs_alt", "gimbal_yaw", "gimbal_pitch")
 
 
-@query("SELECT o_orderkey, cast(o_orderkey%24 as double)*3600 + (o_orderkey%60)*60 + o_orderkey%59 + (o_orderkey%1000)/1000.0::double AS seconds FROM orders")
+@query("SELECT o_orderkey, round(cast(o_orderkey%24 as double)*3600 + (o_orderkey%60)*60 + o_orderkey%59 + (o_orderkey%1000)/1000.0::double, 3) AS seconds FROM orders")
 def clock_text(spark, d):
     k = F.col("o_orderkey")
     text = F.format_string("%02d:%02d:%02d,%03d", k % 24, k % 60, k % 59, k % 1000)
-    return Views(spark, d).table("orders").select("o_orderkey", telemetry.clock_seconds(text).alias("seconds"))
+    return Views(spark, d).table("orders").select("o_orderkey", F.round(telemetry.clock_seconds(text), 3).alias("seconds"))
 
 
 @query()
