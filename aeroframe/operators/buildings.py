@@ -199,3 +199,19 @@ def suppress(detections: DataFrame, keys: list[str], most_overlap: float = 0.4)
 
     kept = F.aggregate("boxes", F.slice("boxes", 1, 0), lambda acc, b: F.when(F.exists(acc, lambda k: overlap(b, k)), acc).otherwise(F.array_append(acc, b)))
     return boxes.select(*keys, F.explode(kept).alias("b")).select(*keys, "b.label", F.negative("b.neg").alias("score"), "b.x0", "b.y0", "b.x1", "b.y1")
+
+
+def facade_summary(buildings: DataFrame, openings: DataFrame, texels: DataFrame, key: str = "building_id") -> DataFrame:
+    """One row per building: doors, garage doors, windows, floors and how they were found, median roof and wall colours by name.
+
+    Openings: key, label, width, height, bottom (metres). Texels: key, part (roof or wall), r, g, b, seen ones only. Buildings: key, eave_height_m."""
+    from ..functions.colour import colour_name
+
+    o = openings.withColumn("type", facade_type(F.col("label"), F.col("width"), F.col("height"), F.col("bottom"))).where("type IS NOT NULL")
+    n = o.groupBy(key).agg(*[F.count_if(F.col("type") == t).alias(c) for t, c in (("door", "doors"), ("garage door", "garage_doors"), ("window", "windows"))])
+    windows = o.where("type = 'window'").select(key, (F.col("bottom") + F.col("height") / 2).alias("mid_m"))
+    storeys = floors(windows, o.where("type <> 'window'").select(key), buildings.select(key, "eave_height_m"), key)
+    mid = texels.groupBy(key).agg(*[F.percentile(F.when(F.col("part") == p, F.col(c)), 0.5).alias(f"{p}_{c}") for p in ("roof", "wall") for c in "rgb"])
+    named = mid.select(key, *[F.when(F.col(f"{p}_r").isNotNull(), colour_name(*[f"{p}_{c}" for c in "rgb"])).alias(f"{p}_colour") for p in ("roof", "wall")])
+    out = buildings.select(key).join(n, key, "left").join(storeys, key, "left").join(named, key, "left")
+    return out.na.fill(0, ["doors", "garage_doors", "windows"])

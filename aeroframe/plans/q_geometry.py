@@ -402,3 +402,46 @@ def affine_fit(spark, d):
     a = Views(spark, d).spots().select("id", (37 / (F.col("x") + 20) + 0.12).alias("p"), F.when(F.col("id") % 20 == 0, F.lit(5.0)).otherwise(F.col("x") + 20).alias("z"))
     f = estimate.fit_affine(a, 60)
     return a.agg(F.count(F.lit(1)).alias("anchors")).select("anchors", F.lit(f["mode"]).alias("mode"), F.lit(f["a"]).alias("a"), F.lit(f["b"]).alias("b"), F.lit(f["n_inliers"]).alias("inliers"))
+
+
+@query(f"""WITH g AS (SELECT row, col, value, 17 + (row*7+col*3)%11/4.0::double AS truth FROM ({GRID}) WHERE value IS NOT NULL) SELECT count(*) AS n, round(quantile_cont(abs(value-truth), 0.5), 8) AS median_abs, round(quantile_cont(abs(value-truth), 0.9), 8) AS p90_abs, round(avg(value-truth), 8) AS bias FROM g""")
+def height_evaluation(spark, d):
+    from ..operators.evaluate import height_errors
+
+    g = Views(spark, d).grid()
+    truth = g.select("row", "col", (17 + F.expr("(row*7+col*3)%11") / 4).alias("value"))
+    return height_errors(g, truth).select("n", *[F.round(c, 8).alias(c) for c in ("median_abs", "p90_abs", "bias")])
+
+
+@query(f"""WITH t AS (SELECT s_suppkey AS truth_id, cast((s_suppkey*29)%100 as double) AS x, cast((s_suppkey*43)%100 as double) AS y, 50.0::double+s_suppkey%9 AS area, 8.0::double+s_suppkey%5 AS ridge FROM supplier),
+  p AS (SELECT truth_id, s.id, sqrt((t.x-s.x)*(t.x-s.x)+(t.y-s.y)*(t.y-s.y)) AS dist, abs(s.r+1-t.area)/t.area AS area_error, abs(s.z-t.ridge) AS ridge_error FROM t, ({SPOTS}) s)
+  SELECT truth_id, id, round(area_error, 8) AS area_error, round(ridge_error, 8) AS ridge_error FROM p WHERE dist <= 10 QUALIFY row_number() OVER (PARTITION BY truth_id ORDER BY dist, id) = 1""")
+def building_evaluation(spark, d):
+    from ..operators.evaluate import building_errors
+
+    v = Views(spark, d)
+    truth = v.cams().select(F.col("cam_order").alias("id"), F.col("cam_x").alias("x"), F.col("cam_y").alias("y"), (50.0 + F.col("cam_order") % 9).alias("area"), (8.0 + F.col("cam_order") % 5).alias("ridge"))
+    found = v.spots().select("id", "x", "y", (F.col("r") + 1).cast("double").alias("area"), F.col("z").alias("ridge"))
+    return building_errors(truth, found).select("truth_id", "id", F.round("area_error", 8).alias("area_error"), F.round("ridge_error", 8).alias("ridge_error"))
+
+
+@query(f"""WITH c AS (SELECT id, x*2 AS e, y*3 AS n FROM ({SPOTS})) SELECT count(*) AS n, 0.0::double AS rmse FROM c""")
+def camera_evaluation(spark, d):
+    """Positions carried to another origin and back have no error."""
+    from ..operators.evaluate import camera_rmse, moved_frame
+
+    p = Views(spark, d).spots().select(F.col("id").cast("string").alias("name"), "x", "y", "z")
+    a, b = (47.05, 8.03, 400.0), (47.06, 8.01, 420.0)
+    return camera_rmse(moved_frame(moved_frame(p, a, b), b, a), p).select("n", F.round("rmse", 4).alias("rmse"))
+
+
+@query()
+def facade_report(spark, d):
+    v = Views(spark, d)
+    t = v.table("lineitem")
+    key = (F.col("l_suppkey") % 50).alias("building_id")
+    lab = F.element_at(F.array(*map(F.lit, ("a window", "a door", "a garage door", "an entrance"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    openings = t.select(key, lab.alias("label"), (F.col("l_quantity") / 12).alias("width"), (F.col("l_extendedprice") / 5000).alias("height"), (F.col("l_discount") * 20).alias("bottom"))
+    texels = v.spots().select((F.col("id") % 50).alias("building_id"), F.when(F.col("id") % 3 == 0, "roof").otherwise("wall").alias("part"), "r", "g", "b")
+    walls = t.select(key).distinct().withColumn("eave_height_m", F.col("building_id") / 5.0)
+    return buildings.facade_summary(walls, openings, texels)
