@@ -7,7 +7,8 @@ punctuation and digit count (cards also a right check digit), network addresses
 stay network addresses, secrets keep their alphabet and prefix, names keep title,
 gender, script and number of words. An entity is compared in a canonical form
 (lower case, digits alone, name without its title), so all its mentions, however
-written, get the same surrogate.
+written, get the same surrogate, in capitals where a name or hexadecimal secret is
+written so.
 
 Surrogates are checked against each other and against all real entities of their
 kind; where two would coincide, or one would be a real entity, the smallest keeps
@@ -30,20 +31,39 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"
-SECRET = r"""\b(?:password|passwd|pwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}["']?[A-Za-z0-9_\-+/.]{6,}+"""
+#: What introduces a secret, in any case, after a word's start or _ (db_password, API_KEY, "Password": ).
+SECRET_HEAD = r"""(?<![\p{L}\p{N}])(?i:password|passwd|pwd|passphrase|token|secret(?:[_\-]?key)?|(?:api|access|private)[_\-]?key)["']?\s{0,2}[=:]\s{0,2}["']?"""
+SECRET = SECRET_HEAD + r"""(?=[_\-+/.]*+[A-Za-z0-9])[A-Za-z0-9_\-+/.]{6,}+"""
 ACCESS_KEY = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
+IPV6 = r"(?<![\w:.])(?=[0-9A-Fa-f:]{0,39}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]|\.\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 CARD = r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)"
-PHONE = r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]\d{3,4}(?!\d)|(?<![\w.])\+\d{8,15}(?!\d)"
-TITLES_M = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин")
-TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа")
-TITLES = "|".join(sorted((*TITLES_M, *TITLES_F, "Dr", "Prof"), key=lambda t: (-len(t), t)))
-NAME = rf"\b(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'’\-]+(?: \p{{Lu}}[\p{{L}}'’\-]+){{0,2}}"
+#: Three groups, the first in brackets or not; an area of two digits and four pairs; groups after a country code; a country code and digits.
+PHONE = r"(?<![\w.])(?:(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}|0\d(?:[ .\-]\d{2}){4}|\+(?=(?:[ .\-/()]{0,3}\d){8})\d{1,3}(?:[ .\-]?\(\d{1,4}\)[ .\-]?\d{1,8}|[ .\-/]\d{1,8}){2,6}|\+\d{8,15})(?!\d)"
+TITLES_M = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir", "Lord", "Don", "господин", "г-н")
+TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Señorita", "Srta", "Lady", "Doña", "Dra", "госпожа", "г-жа")
+TITLES_N = ("Mx", "Dr", "Doctor", "Doktor", "Docteur", "Prof", "Professor", "Professeur", "доктор", "профессор")
+#: Given names that introduce a full name without a title; those that are common words or places are left out.
+KNOWN_M = ("James", "John", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Christopher", "Daniel", "Matthew", "Anthony", "Steven", "Andrew", "Joshua", "Kevin", "Brian", "George", "Edward", "Ronald", "Timothy", "Jeffrey", "Peter", "Paul", "Hans", "Klaus", "Jürgen", "Wolfgang", "Stefan", "Andreas", "Günther", "Heinrich", "Friedrich", "Pierre", "Jacques", "Philippe", "François", "Michel", "Antoine", "Laurent", "Olivier", "José", "Juan", "Carlos", "Luis", "Miguel", "Javier", "Pedro", "Pablo", "Fernando", "Alejandro", "Иван", "Сергей", "Александр", "Дмитрий", "Алексей", "Николай", "Владимир", "Михаил")
+KNOWN_F = ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Margaret", "Nancy", "Emily", "Michelle", "Laura", "Helen", "Anna", "Maria", "Jane", "Julia", "Ursula", "Monika", "Petra", "Sabine", "Heike", "Ingrid", "Renate", "Marie", "Nathalie", "Isabelle", "Sophie", "Camille", "Céline", "Françoise", "Brigitte", "Carmen", "Isabel", "María", "Lucía", "Ana", "Teresa", "Pilar", "Анна", "Мария", "Елена", "Ольга", "Наталья", "Татьяна", "Ирина", "Екатерина")
+
+
+def _any(words: tuple, shouted: bool = True) -> str:
+    """One of the words, as written or in capitals."""
+    return "|".join(sorted({*words, *([w.upper() for w in words if w not in ("Miss", "Ms", "Don")] if shouted else [])}, key=lambda t: (-len(t), t)))
+
+
+TITLES = _any((*TITLES_M, *TITLES_F, *TITLES_N))
+#: Titles (Herr Dr.), or words that present a name.
+NAME_HEAD = rf"(?:(?:{TITLES})\.?(?: (?:{TITLES})\.?)* |M\. |(?i:my name is|ich heiße|mein name ist|je m['’]appelle|me llamo|mi nombre es|меня зовут) )"
+NAME_WORD = r"\p{Lu}[\p{L}'’\-]+"
+NAME_FIRST = r"(?:(?:\p{Lu}\.|von|van|der|den|de|del|la|di|da) )"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{NAME_HEAD}{NAME_FIRST}{{0,3}}{NAME_WORD}(?: {NAME_FIRST}{{0,3}}{NAME_WORD}){{0,2}}|(?=\p{{Lu}})(?:{_any(KNOWN_M + KNOWN_F)}) {NAME_FIRST}{{0,3}}{NAME_WORD}(?: {NAME_WORD})?)"
 
 #: Kind and pattern; the first that fits an entity is its kind.
-KINDS = (("email", EMAIL), ("secret", SECRET), ("access_key", ACCESS_KEY), ("iban", IBAN), ("ip", IP), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("name", NAME))
+KINDS = (("email", EMAIL), ("secret", SECRET), ("access_key", ACCESS_KEY), ("iban", IBAN), ("ip", IP), ("ipv6", IPV6), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("name", NAME))
 #: Kinds made of digits may stand after a letter; no other starts inside a word, which settles most positions of a text at once.
 _DIGITS = ("ip", "ssn", "card")
 ENTITY = "(?:(?<![A-Za-z0-9])(?:{})|(?=\\d)(?:{}))".format("|".join(p for k, p in KINDS if k not in _DIGITS and k != "phone"), "|".join(p for k, p in KINDS if k in _DIGITS)) + f"|(?=[+(\\d])(?:{PHONE})"
@@ -54,8 +74,10 @@ GIVEN_M_CYR = ("Адам", "Борис", "Виктор", "Глеб", "Денис
 GIVEN_F_CYR = ("Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Ирина", "Клара", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Софья")
 SYLLABLES = ("ba", "de", "fi", "go", "ka", "le", "mi", "no", "pa", "re", "si", "to", "va", "we", "zi", "lu")
 SYLLABLES_CYR = ("ба", "де", "фи", "го", "ка", "ле", "ми", "но", "па", "ре", "си", "то", "ва", "ве", "зи", "лу")
-SECRET_PREFIX = r"""^(?:(?:password|passwd|pwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}["']?|AKIA|ASIA)"""
-NAME_PREFIX = rf"^(?:{TITLES})\.? "
+SECRET_PREFIX = rf"^(?:{SECRET_HEAD}|AKIA|ASIA)"
+NAME_PREFIX = rf"^{NAME_HEAD}"
+#: Hexadecimal secrets agree in either case.
+UPPER_HEX = r"^(?=.*[A-F])[0-9A-F]{16,}$"
 MAX_DRAWS = 60
 
 
@@ -75,16 +97,24 @@ def prefix_of(kind, entity):
     )
 
 
+def _ipv6_groups(text: str) -> str:
+    """Eight groups without leading zeros, lower case."""
+    left, right = (f"filter(split(coalesce(get(split(lower({text}), '::'), {i}), ''), ':'), g -> g <> '')" for i in (0, 1))
+    return f"array_join(transform(concat({left}, array_repeat('0', 8 - size({left}) - size({right})), {right}), g -> regexp_replace(g, '^0+(?=.)', '')), ':')"
+
+
 def canonical(kind, entity):
     """The form in which mentions of one entity agree."""
     core = F.substring(entity, F.length(prefix_of(kind, entity)) + 1, F.length(entity))
-    male, female = F.regexp_like(entity, F.lit(rf"^(?:{'|'.join(TITLES_M)})\b")), F.regexp_like(entity, F.lit(rf"^(?:{'|'.join(TITLES_F)})\b"))
+    male, female = (F.regexp_like(entity, F.lit(rf"^(?:{_any(t + k)})(?![\p{{L}}\p{{N}}])")) for t, k in ((TITLES_M + ("M.",), KNOWN_M), (TITLES_F, KNOWN_F)))
     gender = F.when(male, "m:").when(female, "f:").otherwise("n:")
     return (
         F.when(kind == "email", F.lower(core))
         .when(kind.isin("card", "phone", "ssn"), F.regexp_replace(core, r"\D", ""))
         .when(kind == "iban", F.regexp_replace(core, " ", ""))
-        .when(kind == "name", F.concat(gender, core))
+        .when(kind == "name", F.concat(gender, F.initcap(core)))
+        .when(kind == "ipv6", F.expr(_ipv6_groups("entity")))
+        .when((kind == "secret") & F.regexp_like(core, F.lit(UPPER_HEX)), F.lower(core))
         .otherwise(core)
     )
 
@@ -146,6 +176,7 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
         WHEN 'phone' THEN {_digits('canon', 'h')}
         WHEN 'ssn' THEN {_digits('canon', 'h')}
         WHEN 'ip' THEN concat_ws('.', 1 + {_at('h', '0')} % 223, {_at('h', '1')} % 256, {_at('h', '2')} % 256, 1 + {_at('h', '3')} % 254)
+        WHEN 'ipv6' THEN concat('2001:db8:', array_join(transform(sequence(0, 5), i -> lower(hex({_at('h', 'i')} % 65536))), ':'))
         WHEN 'name' THEN concat(left(canon, 2), {_name('h')})
         WHEN 'iban' THEN concat(left(canon, 2), {_shape('substring(canon, 3)', 'h')})
         ELSE {_shape('canon', 'h')} END"""
@@ -179,7 +210,9 @@ def rendered():
     spaced = """aggregate(split(entity, ''), named_struct('out', '', 'n', 0), (a, c) -> CASE WHEN c <> ' '
         THEN named_struct('out', concat(a.out, substring(surrogate, a.n + 1, 1)), 'n', a.n + 1) ELSE named_struct('out', concat(a.out, c), 'n', a.n) END, a -> a.out)"""
     return F.expr(f"""CASE WHEN kind IN ('card', 'phone', 'ssn') THEN {filled} WHEN kind = 'iban' THEN {spaced}
-        WHEN kind = 'name' THEN concat(prefix, substring(surrogate, 3)) ELSE concat(prefix, surrogate) END""")
+        WHEN kind IN ('ip', 'ipv6') THEN surrogate
+        WHEN kind = 'name' THEN concat(prefix, CASE WHEN core = upper(core) THEN upper(substring(surrogate, 3)) ELSE substring(surrogate, 3) END)
+        WHEN kind = 'secret' AND core RLIKE '{UPPER_HEX}' THEN concat(prefix, upper(surrogate)) ELSE concat(prefix, surrogate) END""")
 
 
 def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -191,7 +224,7 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     mentions = found.select("digest", F.posexplode("found").alias("pos", "entity")).withColumn("kind", kind_of(F.col("entity")))
     mentions = materialise(mentions.withColumns({"prefix": prefix_of(F.col("kind"), F.col("entity")), "canon": canonical(F.col("kind"), F.col("entity"))}))
     table = materialise(surrogates(mentions.select("kind", "canon").distinct(), key))
-    new = mentions.join(table, ["kind", "canon"]).withColumn("new", rendered())
+    new = mentions.withColumn("core", F.expr("substring(entity, length(prefix) + 1)")).join(table, ["kind", "canon"]).withColumn("new", rendered())
     per_text = materialise(new.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("__pii_new")))
     src = docs.select(*kept).withColumn("__pii", F.md5(F.encode(text, "UTF-8")))
     # Replacements grow with the texts: joined by a shuffle at every size.

@@ -43,3 +43,21 @@ def test_collisions_draw_again(spark):
 
 def test_empty(spark):
     assert replace_pii(spark.createDataFrame([], SCHEMA), "k").count() == 0
+
+
+def test_forms_in_any_case(spark):
+    hidden = {
+        'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"': "9233A8", 'token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"': "9233a8", "API_KEY=Zq81hdkW02": "Zq81", "Password: hunter2345": "hunter", "db_password=Zq81hdkW03": "Zq81",
+        '{"apiKey": "Zq81hdkW04"}': "Zq81", "from fe80::1c2b:9 on": "1c2b", "at FE80:0:0:0:0:0:1C2B:9.": "1C2B", "+33 6 12 34 56 78": "12 34", "(555)123-4567": "123", "06 12 34 56 78": "34 56", "+49 (0)30 1234567": "1234567",
+        "MR. JOHN SMITH": "SMITH", "saw John Smith there": "Smith", "Mr John Smith": "Smith", "Herr Dr. Müller": "Müller", "Mr J. Jones": "Jones", "Mlle Dupont": "Dupont", "my name is Ada Lovelace": "Lovelace",
+    }
+    plain = ["password: ------", "the token is here", "std::vector and 12:30:45", "tokens: none", "A Thing Of Note"]
+    rows = [(i, t, None, None) for i, t in enumerate([*hidden, *plain])]
+    got = {rows[r.doc_id][1]: r for r in replace_pii(spark.createDataFrame(rows, SCHEMA), "k").collect()}
+    for text, part in hidden.items():
+        assert part not in got[text].text and got[text].n_entities == 1, (text, got[text].text)
+    assert all(got[t].text == t and got[t].n_entities == 0 for t in plain)
+    shouted, spoken = (next(r.text for t, r in got.items() if t.startswith(k)) for k in ("TOKEN", "token"))
+    assert re.match(r'TOKEN = "[0-9A-F]{40}"$', shouted) and shouted.lower() == spoken
+    assert got["from fe80::1c2b:9 on"].text.split()[1] == got["at FE80:0:0:0:0:0:1C2B:9."].text.split()[1][:-1]
+    assert got["MR. JOHN SMITH"].text == "MR. " + got["Mr John Smith"].text[3:].upper() and got["Mr John Smith"].text[3:] in got["saw John Smith there"].text
