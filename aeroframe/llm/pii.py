@@ -13,7 +13,8 @@ written so.
 Surrogates are checked against each other and against all real entities of their
 kind; where two would coincide, or one would be a real entity, the smallest keeps
 its draw and the others draw again until none is left, so distinct entities stay
-distinct.
+distinct. What is unsettled after ``GROW`` draws grows by a syllable (names) or a
+digit (all else; IPv4 addresses turn into IPv6 ones) in each further draw.
 
 Texts are joined to their replacements by a digest of the text, one row per
 distinct text with entities; a text is rebuilt from the pieces between mentions.
@@ -79,6 +80,8 @@ NAME_PREFIX = rf"^{NAME_HEAD}"
 #: Hexadecimal secrets agree in either case.
 UPPER_HEX = r"^(?=.*[A-F])[0-9A-F]{16,}$"
 MAX_DRAWS = 60
+#: From this draw on a surrogate is longer by a syllable or digit each draw, so the space grows past any number of entities.
+GROW = 8
 
 
 def kind_of(entity):
@@ -152,10 +155,15 @@ def _pick(words: tuple, h: str, i: str) -> str:
     return f"element_at(array({items}), cast({_at(h, i)} % {len(words)} AS int) + 1)"
 
 
+def _grown(piece: str) -> str:
+    """A piece for each draw j from GROW on, nothing before it."""
+    return f"CASE WHEN draw < {GROW} THEN '' ELSE array_join(transform(sequence({GROW}, draw), j -> {piece}), '') END"
+
+
 def _name(h: str) -> str:
     """Gender, script and number of words as in the canonical form m:, f: or n: and name."""
     words = "split(substring(canon, 3), ' ')"
-    latin, cyrillic = [f"concat(initcap({_pick(s, h, '101')}), {_pick(s, h, '102')}, {_pick(s, h, '103')}, {_pick(s, h, '104')}, {e})" for s, e in ((SYLLABLES, "'n'"), (SYLLABLES_CYR, "'н'"))]
+    latin, cyrillic = [f"concat(initcap({_pick(s, h, '101')}), {_pick(s, h, '102')}, {_pick(s, h, '103')}, {_pick(s, h, '104')}, {_grown(_pick(s, h, '200 + j'))}, {e})" for s, e in ((SYLLABLES, "'n'"), (SYLLABLES_CYR, "'н'"))]
 
     def given(m, f):
         return f"CASE WHEN canon LIKE 'm:%' OR (canon LIKE 'n:%' AND {_at(h, '7')} % 2 = 0) THEN {_pick(m, h, 'i')} ELSE {_pick(f, h, 'i')} END"
@@ -170,16 +178,18 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
     with_key = entities.withColumn("h", F.sha2(F.concat_ws("\u0001", F.lit(key), "kind", "canon", F.col("draw").cast("string")), 256))
     domain = "concat('mail', substring(sha2(concat('{k}', split(canon, '@')[1]), 256), 1, 8), '.example.', element_at(array('com', 'net', 'org'), cast(pmod(xxhash64(canon), 3) AS int) + 1))"
     domain = domain.replace("{k}", key.replace("'", ""))
+    more = _grown(f"cast({_at('h', '200 + j')} % 10 AS string)")
     out = f"""CASE kind
-        WHEN 'email' THEN concat({_shape("split(canon, '@')[0]", 'h')}, '@', {domain})
-        WHEN 'card' THEN {_luhn(_digits('canon', 'h'))}
-        WHEN 'phone' THEN {_digits('canon', 'h')}
-        WHEN 'ssn' THEN {_digits('canon', 'h')}
-        WHEN 'ip' THEN concat_ws('.', 1 + {_at('h', '0')} % 223, {_at('h', '1')} % 256, {_at('h', '2')} % 256, 1 + {_at('h', '3')} % 254)
-        WHEN 'ipv6' THEN concat('2001:db8:', array_join(transform(sequence(0, 5), i -> lower(hex({_at('h', 'i')} % 65536))), ':'))
+        WHEN 'email' THEN concat({_shape("split(canon, '@')[0]", 'h')}, {more}, '@', {domain})
+        WHEN 'card' THEN {_luhn(f"concat({_digits('canon', 'h')}, {more})")}
+        WHEN 'phone' THEN concat({_digits('canon', 'h')}, {more})
+        WHEN 'ssn' THEN concat({_digits('canon', 'h')}, {more})
+        WHEN 'ip' THEN CASE WHEN draw < {GROW} THEN concat_ws('.', 1 + {_at('h', '0')} % 223, {_at('h', '1')} % 256, {_at('h', '2')} % 256, 1 + {_at('h', '3')} % 254)
+            ELSE concat('2001:db8:4:', array_join(transform(sequence(0, 4), i -> lower(hex({_at('h', 'i')} % 65536))), ':')) END
+        WHEN 'ipv6' THEN concat('2001:db8:6:', array_join(transform(sequence(0, 4), i -> lower(hex({_at('h', 'i')} % 65536))), ':'))
         WHEN 'name' THEN concat(left(canon, 2), {_name('h')})
-        WHEN 'iban' THEN concat(left(canon, 2), {_shape('substring(canon, 3)', 'h')})
-        ELSE {_shape('canon', 'h')} END"""
+        WHEN 'iban' THEN concat(left(canon, 2), {_shape('substring(canon, 3)', 'h')}, {more})
+        ELSE concat({_shape('canon', 'h')}, {more}) END"""
     return with_key.withColumn("surrogate", F.expr(out)).drop("h")
 
 
@@ -206,9 +216,9 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 def rendered():
     """The surrogate in the mention's own format: prefix, punctuation, title."""
     filled = """aggregate(split(entity, ''), named_struct('out', '', 'n', 0), (a, c) -> CASE WHEN c RLIKE '[0-9]'
-        THEN named_struct('out', concat(a.out, substring(surrogate, a.n + 1, 1)), 'n', a.n + 1) ELSE named_struct('out', concat(a.out, c), 'n', a.n) END, a -> a.out)"""
+        THEN named_struct('out', concat(a.out, substring(surrogate, a.n + 1, 1)), 'n', a.n + 1) ELSE named_struct('out', concat(a.out, c), 'n', a.n) END, a -> concat(a.out, substring(surrogate, a.n + 1)))"""
     spaced = """aggregate(split(entity, ''), named_struct('out', '', 'n', 0), (a, c) -> CASE WHEN c <> ' '
-        THEN named_struct('out', concat(a.out, substring(surrogate, a.n + 1, 1)), 'n', a.n + 1) ELSE named_struct('out', concat(a.out, c), 'n', a.n) END, a -> a.out)"""
+        THEN named_struct('out', concat(a.out, substring(surrogate, a.n + 1, 1)), 'n', a.n + 1) ELSE named_struct('out', concat(a.out, c), 'n', a.n) END, a -> concat(a.out, substring(surrogate, a.n + 1)))"""
     return F.expr(f"""CASE WHEN kind IN ('card', 'phone', 'ssn') THEN {filled} WHEN kind = 'iban' THEN {spaced}
         WHEN kind IN ('ip', 'ipv6') THEN surrogate
         WHEN kind = 'name' THEN concat(prefix, CASE WHEN core = upper(core) THEN upper(substring(surrogate, 3)) ELSE substring(surrogate, 3) END)

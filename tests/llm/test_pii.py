@@ -1,6 +1,6 @@
 import re
 
-from aeroframe.llm.pii import replace_pii
+from aeroframe.llm.pii import drawn, rendered, replace_pii, surrogates
 
 SCHEMA = "doc_id long, text string, n_entities string, digest string"
 A = "Write to hnp.46@mail3.example.com or HNP.46@mail3.example.com, call +1 (264) 555-1012 or +1 264 555 1012. Card 4619 6464 2608 8949 and 4619646426088949."
@@ -61,3 +61,19 @@ def test_forms_in_any_case(spark):
     assert re.match(r'TOKEN = "[0-9A-F]{40}"$', shouted) and shouted.lower() == spoken
     assert got["from fe80::1c2b:9 on"].text.split()[1] == got["at FE80:0:0:0:0:0:1C2B:9."].text.split()[1][:-1]
     assert got["MR. JOHN SMITH"].text == "MR. " + got["Mr John Smith"].text[3:].upper() and got["Mr John Smith"].text[3:] in got["saw John Smith there"].text
+
+
+def test_more_entities_than_surrogates(spark):
+    # One-word names have 16**4 surrogates; the rest grow.
+    names = spark.range(70_000).selectExpr("'name' AS kind", "concat('m:Person', id) AS canon")
+    few = spark.sql("SELECT 'secret' AS kind, '......' AS canon UNION ALL SELECT 'secret', '-_-_-_'")
+    got = surrogates(names.unionByName(few), "k")
+    n, distinct, letters = got.selectExpr("count(1)", "count(DISTINCT kind, surrogate)", "count_if(kind = 'name' AND surrogate RLIKE '^m:[A-Z][a-z]+$')").first()
+    assert (n, distinct, letters) == (70_002, 70_002, 70_000)
+    # Every kind takes a late draw in its own form.
+    late = [("card", "4619646426088949"), ("phone", "12645551012"), ("ssn", "123456789"), ("ip", "78.241.210.149"), ("iban", "DE89370400440532013000"), ("email", "a@m.example.com")]
+    out = {r.kind: r.surrogate for r in drawn(spark.createDataFrame(late, "kind string, canon string").selectExpr("*", "9 AS draw"), "k").collect()}
+    assert [len(out[k]) for k in ("card", "phone", "ssn", "iban")] == [18, 13, 11, 24] and luhn(out["card"])
+    assert out["ip"].startswith("2001:db8:4:") and re.match(r"[a-z]\d\d@mail", out["email"])
+    e = spark.sql("SELECT 'ssn' AS kind, '' AS prefix, '123-45-6789' AS entity, '123-45-6789' AS core, '98765432101' AS surrogate")
+    assert e.select(rendered()).first()[0] == "987-65-432101"
