@@ -15,9 +15,9 @@ a component. So every candidate pair is verified or already connected, and no
 link is lost or capped.
 
 Defined results: null or empty text and text without words have an empty set
-and link with nothing; fewer than five words are one shingle; a null id sorts
-after every other id; rows that repeat an id are one document, linked through
-any of them; an empty table gives an empty table.
+and link with nothing; fewer than five words are one shingle; rows without an
+id are documents of their own by text, and sort after all ids below 2**62; rows
+that repeat an id are one document, linked through any of them; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -38,7 +38,8 @@ ROWS, BANDS = 5, 40
 PER_CENT = 75
 #: Least share of equal minima for a pair to be read in full: 0.75 less four standard errors of 200 minima.
 LEAST_ESTIMATE = 0.625
-LAST_ID = 2**63 - 1
+#: Keys of rows without an id start here.
+OWN = 2**62
 #: Single documents of a bucket are compared pair by pair up to this number, beyond it by blocks of BLOCK.
 FEW, BLOCK = 12, 512
 #: Ids that are broadcast at most (8 MB of them); longer lists are shuffled.
@@ -93,7 +94,7 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, count: int = ROWS * BANDS) -> DataFrame:
-    """id, n_shingles, cls (digest of the set) and sig (``count`` 32-bit minima); null digest and sig for an empty set."""
+    """id, void (the row has none), n_shingles, cls (digest of the set) and sig (``count`` 32-bit minima); null digest and sig for an empty set."""
 
     @tidy
     def run(batches):
@@ -105,13 +106,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHING
                 n.append(len(s))
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(minima(s, a, b).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["id", "n_shingles", "cls", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["id", "void", "n_shingles", "cls", "sig"])
 
-    return _narrow(docs, id_col, text_col).mapInArrow(run, "id long, n_shingles long, cls binary, sig binary")
+    return _narrow(docs, id_col, text_col).mapInArrow(run, "id long, void boolean, n_shingles long, cls binary, sig binary")
+
+
+def own_key(*cols):
+    """A key for a row that has no id of its own: a digest of the columns in the upper half of the ids."""
+    return F.lit(OWN) + F.xxhash64(*cols).bitwiseAND(F.lit(OWN - 1))
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    key, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return docs.select(F.coalesce(key, own_key(text)).alias("id"), text.alias("text"), key.isNull().alias("void"))
 
 
 def only(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -233,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, n_shingles, component_id, kept."""
     sigs = materialise(signatures(docs, id_col, text_col, shingle, rows * bands))
     classes = sigs.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"))
-    members = materialise(sigs.select("id", "n_shingles", "cls").join(classes, "cls", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"), F.col("rep").isNotNull().alias("any")))
+    members = materialise(sigs.select("id", "void", "n_shingles", "cls").join(classes, "cls", "left").select("id", "void", "n_shingles", F.coalesce("rep", "id").alias("rep"), F.col("rep").isNotNull().alias("any")))
     # An id whose rows have different sets ties their classes together.
     torn = members.groupBy("id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1).select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a <> b")
 
@@ -271,5 +278,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = connected_components(star_links.unionByName(few).unionByName(many))
 
     out = members.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("comp", F.when(F.col("any"), F.coalesce("component", "rep")).otherwise(F.col("id")))
-    real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return out.select(real("id").alias(id_col), "n_shingles", real("comp").alias("component_id"), (F.col("id") == F.col("comp")).alias("kept"))
+    # A group led by a row without an id has none either.
+    own = members.groupBy("id").agg(F.bool_and("void").alias("void")).where("void").select(F.col("id").alias("comp"), F.lit(True).alias("own"))
+    own = materialise(own)
+    if not own.isEmpty():
+        out = out.join(own, "comp", "left")
+    else:
+        out = out.withColumn("own", F.lit(None).cast("boolean"))
+    return out.select(F.when(~F.col("void"), F.col("id")).alias(id_col), "n_shingles", F.when(F.col("own").isNull(), F.col("comp")).alias("component_id"), (F.col("id") == F.col("comp")).alias("kept"))

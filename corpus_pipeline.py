@@ -8,6 +8,7 @@ columns of ``documents``.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aeroframe.llm import bpe, language_id, line_dedup, minhash_dedup, mixing
@@ -25,8 +26,18 @@ def line_stage(spark, docs, sf_dir):
 
 
 def near_stage(spark, docs, sf_dir):
-    stay = minhash_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__stay_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay_id")), "left_semi").dropDuplicates(["doc_id"])
+    """Rows of one id and different texts are documents of their own, the first text under its id; so are rows without an id."""
+    digest, own = F.md5(F.encode("text", "UTF-8")), minhash_dedup.own_key("doc_id", "text")
+    torn = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.coalesce(digest, F.lit(""))).alias("__first"), F.max(F.coalesce(digest, F.lit(""))).alias("__last"))
+    torn = materialise(torn.where("__first <> __last").select("doc_id", "__first"))
+    n = torn.count()
+    keyed = docs.join(F.broadcast(torn) if n <= minhash_dedup.BROADCAST_IDS else torn, "doc_id", "left") if n else docs.withColumn("__first", F.lit(None).cast("string"))
+    first = F.col("__first").isNull() | (F.col("__first") == F.coalesce(digest, F.lit("")))
+    keyed = keyed.withColumn("__key", F.coalesce(F.when(first, F.col("doc_id").cast("long")), own)).drop("__first")
+    stay = minhash_dedup.near_duplicates(keyed, "__key").where("kept").select("__key").distinct()
+    # Rows of one key and text differ in other columns at most: the first in their order stays.
+    rank = F.row_number().over(Window.partitionBy("__key", digest).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")]))
+    return keyed.join(stay, "__key", "left_semi").withColumn("__rank", rank).where("__rank = 1").select(*docs.columns)
 
 
 def mixing_stage(spark, docs, sf_dir):

@@ -63,3 +63,12 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
     odd = spark.createDataFrame([(1, "some words of text here", "en", "s", 3, "x", 4), (None, None, None, None, None, None, None)], SCHEMA + ", id string, lead int")
     for name, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, odd, str(tmp_path)).columns == odd.columns, name
+
+
+def test_near_stage_keeps_texts_without_an_own_id(spark, tmp_path):
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join(f"{k}{rng.randrange(900)}" for _ in range(60)) for k in "abcde")
+    data = [(None, a, "en", "s", 1), (None, a, "en", "r", 1), (None, b, "en", "s", 1), (None, c + " more", "en", "s", 1), (1, c, "en", "s", 1), (2, d, "en", "s", 1), (2, e, "en", "s", 1), (2, e, "en", "r", 1), (3, b + " end", "en", "s", 1)]
+    got = corpus_pipeline.near_stage(spark, spark.createDataFrame(data, SCHEMA), str(tmp_path)).collect()
+    # 1 and 3 stay apart though each is near a text without id.
+    assert sorted((r.doc_id or 0, r.text, r.source) for r in got) == sorted([(0, a, "r"), (1, c, "s"), (2, d, "s"), (2, e, "r"), (3, b + " end", "s")])
