@@ -43,8 +43,8 @@ def fusion_gate(m: DataFrame) -> DataFrame:
 
 
 def products_gate(m: DataFrame) -> DataFrame:
-    """Observed cells and hull share, ortho coverage; a hull share under 0.3 is a warning."""
-    out = gate(m, {"observed_cells": F.col("observed_cells") >= 1000, "hull_fraction": F.col("hull_frac") >= 0.08, "ortho": F.col("ortho_frac") > 0.5}, ["observed_cells", "hull_frac", "ortho_frac"])
+    """Observed cells and hull share, ortho coverage (not asked where null: no ortho); a hull share under 0.3 is a warning."""
+    out = gate(m, {"observed_cells": F.col("observed_cells") >= 1000, "hull_fraction": F.col("hull_frac") >= 0.08, "ortho": F.col("ortho_frac").isNull() | (F.col("ortho_frac") > 0.5)}, ["observed_cells", "hull_frac", "ortho_frac"])
     return out.withColumn("warning", F.get_json_object("metrics", "$.hull_frac").cast("double") < 0.3)
 
 

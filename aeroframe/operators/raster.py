@@ -274,21 +274,41 @@ def bilinear(points: DataFrame, grid: DataFrame, row: str = "y", column: str = "
     return points.join(got, id_col)
 
 
+def hull_spans(corners: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row, first, last) of the cells of a filled hull, its outline drawn too. Corners (col, row) are whole cells."""
+    spans: dict[int, list[float]] = {}
+    for (x0, y0), (x1, y1) in zip(corners, np.roll(corners, -1, axis=0)):
+        steps = int(max(abs(x1 - x0), abs(y1 - y0), 1))
+        for t in range(steps + 1):
+            x, y = np.floor(x0 + (x1 - x0) * t / steps + 0.5), np.floor(y0 + (y1 - y0) * t / steps + 0.5)
+            s = spans.setdefault(int(y), [x, x])
+            s[0], s[1] = min(s[0], x), max(s[1], x)
+    return [(y, int(a), int(b)) for y, (a, b) in sorted(spans.items())]
+
+
 def hull_fraction(observed: DataFrame) -> float:
-    """Share of observed cells inside the convex hull of the largest closed component. Rows (row, col, value 0/1), dense."""
+    """Share of observed cells among all cells in the convex hull of the largest closed component. Rows (row, col, value 0/1), dense."""
     from .components import grid_components
-    from .kernels import convex_hull, polygon_area
+    from .kernels import convex_hull
 
-    closed = closing(observed, 5)
-    parts = grid_components(closed.where("value = 1"))
-    top = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    seen = observed.where("value = 1")
+    size = observed.agg(F.max("row").alias("r"), F.max("col").alias("c"), F.count_if(F.col("value") == 1).alias("n")).first()
+    if size["n"] < 3:
+        return 0.0
+    # Outside the grid counts as empty, so the closing leaves no cell within two of its border.
+    closed = closing(observed, 5).where("value = 1").where(F.col("row").between(2, size["r"] - 2) & F.col("col").between(2, size["c"] - 2))
+    parts = grid_components(closed)
+    top = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").orderBy(F.desc("n"), "component").limit(1)
     # A hull's corners are among each row's first and last cell: bounded by the grid's height.
     ends = parts.join(top.select("component"), "component", "left_semi").groupBy("row").agg(F.min("col").alias("a"), F.max("col").alias("b")).collect()
     if not ends:
         return 0.0
-    pts = np.array([(c + dx, r["row"] + dy) for r in ends for c in (r["a"], r["b"]) for dx in (-0.5, 0.5) for dy in (-0.5, 0.5)], float)
-    inside = parts.join(top.select("component"), "component", "left_semi").join(observed.where("value = 1").select("row", "col"), ["row", "col"], "left_semi").count()
-    return inside / max(polygon_area(convex_hull(pts)), 1e-9)
+    pts = np.array(sorted({(r[c], r["row"]) for r in ends for c in ("a", "b")}), float)
+    flat = len(np.unique(pts[:, 0])) == 1 or len(np.unique(pts[:, 1])) == 1
+    spans = hull_spans(pts[[0, -1]] if flat else np.asarray(convex_hull(pts), float))
+    rows = observed.sparkSession.createDataFrame(spans, "row long, first long, last long")
+    inside = seen.select("row", "col").join(F.broadcast(rows), "row").where("col BETWEEN first AND last").count()
+    return inside / sum(b - a + 1 for _, a, b in spans)
 
 
 def mask_iou(cells: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:

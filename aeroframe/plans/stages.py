@@ -44,6 +44,15 @@ class Runner:
             raise GateFailure(f"stage {stage} has not passed")
         return self.spark.read.parquet(f"{self.folder}/{stage}/{name}")
 
+    def optional(self, stage: str, name: str) -> DataFrame | None:
+        """A table that the stage may have left out."""
+        try:
+            return self.table(stage, name)
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return None
+            raise
+
     def gate(self, stage: str):
         try:
             return self.spark.read.schema(GATE).json(f"{self.folder}/{stage}/gate").first()
@@ -86,7 +95,9 @@ class Runner:
 
 
 def products_stage(r: Runner):
-    """Points (x, y, z) of the stage ``fusion`` to height rasters: highest points, holes filled low, ground, terrain."""
+    """Points (x, y, z) of the stage ``fusion`` to height rasters: highest points, holes filled low, ground, terrain.
+
+    Its gate asks for ortho coverage where ``fusion`` has a table ``ortho`` (row, col, alpha) on the same grid."""
     from ..functions.grids import cell, grid_spec
     from ..operators import gates, raster
 
@@ -101,7 +112,11 @@ def products_stage(r: Runner):
     cells = ground.join(dtm, ["row", "col"]).select("row", "col", F.col("value").alias("dsm"), F.when(F.col("value").isNotNull(), F.col("dtm")).alias("dtm"), "ground", "observed")
     cells.write.mode("overwrite").parquet(f"{r.folder}/products/cells")
     cells = r.spark.read.parquet(f"{r.folder}/products/cells")
-    m = cells.agg(F.count_if("observed").alias("observed_cells"), F.avg(F.col("observed").cast("int")).alias("hull_frac"), F.lit(1.0).alias("ortho_frac"))
+    m = cells.agg(F.count_if("observed").alias("observed_cells"), F.count("dsm").alias("surface"))
+    ortho = r.optional("fusion", "ortho")
+    filled = None if ortho is None else ortho.where("alpha > 0").select("row", "col").distinct().count()
+    hull = raster.hull_fraction(cells.select("row", "col", F.col("observed").cast("int").alias("value")))
+    m = m.select("observed_cells", F.lit(hull).alias("hull_frac"), (F.lit(filled).cast("double") / F.greatest("surface", F.lit(1))).alias("ortho_frac"))
     return {"spec": r.spark.createDataFrame([spec.asDict()])}, gates.products_gate(m)
 
 

@@ -254,3 +254,27 @@ def test_records_and_suppression(spark):
     rows = [(1, "w", 0.9, 0.0, 0.0, 10.0, 10.0), (1, "w", 0.8, 1.0, 1.0, 11.0, 11.0), (1, "w", 0.7, 20.0, 20.0, 30.0, 30.0), (2, "w", 0.5, 0.0, 0.0, 0.0, 0.0)]
     got = buildings.suppress(spark.createDataFrame(rows, "image int, label string, score double, x0 double, y0 double, x1 double, y1 double"), ["image"]).collect()
     assert sorted((r.image, r.score) for r in got) == [(1, 0.7), (1, 0.9), (2, 0.5)]
+
+
+def test_hull_fraction(spark):
+    def hull(cells, n=12):
+        have = set(cells)
+        return raster.hull_fraction(spark.createDataFrame([(r, c, int((r, c) in have)) for r in range(n) for c in range(n)], "row long, col long, value int"))
+
+    square = [(r, c) for r in range(3, 9) for c in range(3, 9)]
+    assert hull(square) == 1.0 and hull([x for x in square if x != (5, 5)]) == 35 / 36
+    # A far cell is no part of the hull; a triangle fills its own.
+    assert hull([*square, (11, 11)]) == 1.0 and hull([(3, 3), (3, 4)]) == 0.0
+    assert raster.hull_spans(np.array([(0, 0), (4, 0), (0, 4)], float)) == [(0, 0, 4), (1, 0, 3), (2, 0, 2), (3, 0, 1), (4, 0, 0)]
+
+
+def test_products_gate_is_measured(spark, tmp_path):
+    pts = spark.range(6400).select((F.col("id") % 80 * 0.5 + 0.1).alias("x"), (F.floor(F.col("id") / 80) * 0.5 + 0.1).alias("y"), F.lit(1.0).alias("z"))
+    pts.write.parquet(str(tmp_path / "run/fusion/points"))
+    spark.createDataFrame([("fusion", True, [], "{}", 0.0, "k")], stages.GATE).write.json(str(tmp_path / "run/fusion/gate"))
+    r = stages.Runner(spark, str(tmp_path / "run"), config.override(config.DEFAULTS, ["products.gsd=0.5", "products.max_window_m=1"]))
+    _, gate = stages.products_stage(r)
+    m = gate.first()
+    assert m.passed and '"hull_frac":1.0' in m.metrics and "ortho_frac" not in m.metrics
+    spark.createDataFrame([(5, 5, 255), (5, 6, 0)], "row long, col long, alpha int").write.parquet(str(tmp_path / "run/fusion/ortho"))
+    assert stages.products_stage(r)[1].first().failures == ["ortho"]
