@@ -1,55 +1,70 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-Vectors are turned into binary codes: rotations learned on a bounded sample by
+Vectors are turned into binary codes: a rotation learned on a bounded sample by
 alternating between the codes and the rotation that fits them best (iterative
-quantisation), one rotation after the other until ``bits`` signs are there. For
-the largest inner product, vectors get one more component that brings all to
-the same length, so that angle and product order alike.
-
-A code is cut into 16-bit substrings, each indexed. Codes within Hamming radius
-r agree with the query's on some substring to within r // substrings bits, so
-probing every index that far retrieves all of them. What is found is ranked by
-the exact product of the original vectors. The radius is the ``quantile`` of the
-code distances of true neighbours, measured by brute force on the sample; where
-a block holds fewer than k codes within it, the radius grows until k are found.
-
-Queries and candidates are dealt by hashes of their ids into blocks of bounded
-size; a block of queries meets a block of candidates in one task, which holds
-one index, and the k best of every block are merged. No block depends on the
-data's clusters, so repeated or close vectors make no task larger than others.
+quantisation), more rotations where ``bits`` exceeds the dimensions. For the
+largest inner product, vectors get one more component that brings all to the
+same length, so that angle and product order alike.
+
+A code is cut into 16-bit substrings, each indexed. By the pigeonhole, a code
+within Hamming radius r of the query's agrees with it on some substring k to
+within reach_k bits, where the sum of (reach_k + 1) is r + 1. So a query probes,
+in every index, the keys that differ from its own in at most reach_k bits, and
+what those keys list holds every code within r; nothing else is looked at. The
+listed codes' full distance is checked, and those within r are ranked by the
+exact product of the original vectors. The radius is the ``quantile`` of the
+code distances between a sample of queries and their true neighbours among all
+rows. A query that finds fewer than k searches again with a wider radius.
+
+Each index is dealt into cells of about ``cell`` rows: ranges of its keys, and
+for a key with more rows than that, parts of it by a hash of the id. A directory
+of 2**16 entries a substring, whatever the size of the table, tells a query the
+cells its probed keys lie in. A row goes to one cell of each index, a query to
+the cells it probes; a task holds one cell's index and lets the queries stream
+past it. No cell depends on how rows cluster, so repeated or close vectors make
+no task larger than others.
 
 Defined results: vectors that are null, empty, zero, of another length than most
 or that hold null or non-finite components take no part, nor do null ids; rows
-that repeat an id and its vector count once; ties go to the smaller id; fewer
-than k candidates are all returned; an empty table gives an empty table.
+that repeat an id and its vector count once, rows that repeat an id with another
+vector are candidates of their own; ties go to the smaller id; fewer than k
+candidates are all returned; columns other than id and vector play no part,
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BITS = 128
+from .common import materialise, slices, tidy
+
+BITS = 64
 SUB = 16
+KEYS = 1 << SUB
 SAMPLE = 4096
 SAMPLE_QUERIES = 256
-QUANTILE = 0.97
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
+QUANTILE = 0.95
+CELL = 4096
+#: Partitions that cells are dealt to at most; a partition then holds several cells, one after the other.
+MOST_PARTITIONS = 20_000
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v) of the vectors that take part, v array<double>."""
-    v = F.col(vec_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
+    """(id, v) of the vectors that take part, v of floats as they are given or of doubles."""
+    given = vectors.schema[vec_col].dataType
+    kind = "float" if isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType) else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(fine)
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dims = common[0]["n"] if common else 0
-    return rows.where(F.size("v") == dims).dropDuplicates(["id", "v"])
+    return rows.where(F.size("v") == (common[0]["n"] if common else 0))
 
 
 def learn_rotations(x: np.ndarray, bits: int, rounds: int = 15) -> np.ndarray:
@@ -80,92 +95,240 @@ def codes(x: np.ndarray, rotations: np.ndarray) -> np.ndarray:
     return np.packbits(x @ rotations >= 0, axis=1).view(np.uint16)
 
 
-def distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    a, b = q.view(np.uint64), c.view(np.uint64)
-    return sum(np.bitwise_count(a[:, None, k] ^ b[None, :, k]).astype(np.int16) for k in range(a.shape[1]))
-
-
-def learned_radius(x: np.ndarray, rotations: np.ndarray, longest: float, k: int, quantile: float) -> int:
-    """The code distance that ``quantile`` of the sample's true k nearest do not exceed."""
-    if len(x) <= k + 1:
-        return rotations.shape[1]
-    q = x[:SAMPLE_QUERIES]
-    near = q @ x.T
-    near[np.arange(len(q)), np.arange(len(q))] = -np.inf
-    top = np.argpartition(-near, k, axis=1)[:, :k]
-    ham = distances(codes(lengthened(q, None), rotations), codes(lengthened(x, longest), rotations))
-    return int(np.quantile(np.take_along_axis(ham, top, axis=1), quantile, method="higher"))
-
-
-class Index:
-    """Substring indexes over one block of codes."""
-
-    def __init__(self, code: np.ndarray):
-        self.code = np.ascontiguousarray(code)
-        self.subs = [np.unique(self.code[:, k], return_inverse=True) for k in range(code.shape[1])]
-
-    def within(self, q: np.ndarray, radius: int) -> np.ndarray:
-        """(queries, codes) mask of all codes within the radius, found by pigeonhole probes of every substring."""
-        reach = radius // len(self.subs)
-        found = np.zeros((len(q), len(self.code)), bool)
-        for k, (keys, where) in enumerate(self.subs):
-            hit = np.bitwise_count(q[:, k, None] ^ keys[None, :]) <= reach
-            found |= hit[:, where]
-        return found & (distances(q, self.code) <= radius)
-
-
-def nearest_in_block(qid, qv, cid, cv, qcode, ccode, radius: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score) of each query's k best among the retrieved."""
-    index, bits = Index(ccode), ccode.shape[1] * SUB
-    out = []
-    for at in range(0, len(qid), 128):
-        part = slice(at, at + 128)
-        ids, need = qid[part], np.array([min(k, int((cid != i).sum())) for i in qid[part]])
-        mask, r = np.zeros((len(ids), len(cid)), bool), radius
-        todo = np.arange(len(ids))
-        while len(todo):
-            mask[todo] = index.within(qcode[part][todo], r) & (cid[None, :] != ids[todo, None])
-            todo = todo[mask[todo].sum(axis=1) < need[todo]]
-            r = min(bits, r + len(index.subs))
-        for j in range(len(ids)):
-            hits = np.flatnonzero(mask[j])
-            score = np.einsum("ij,j->i", cv[hits], qv[at + j])
-            best = np.lexsort((cid[hits], -score))[:k]
-            out.append((np.full(len(best), ids[j]), cid[hits][best], score[best]))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-
-
-def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, bits: int = BITS, sample: int = SAMPLE, quantile: float = QUANTILE, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Code distance of p[i] and q[i]."""
+    return np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int16)
+
+
+def reaches(radius: int, subs: int) -> list[int]:
+    """Bits to probe in each substring, -1 for none: the sum of (reach + 1) is radius + 1."""
+    each, more = divmod(radius + 1, subs)
+    return [min(SUB, each - 1 + (k < more)) for k in range(subs)]
+
+
+def flips(reach: int) -> np.ndarray:
+    """All keys of at most ``reach`` ones: a key's probes are its exclusive-or with them."""
+    out = [sum(1 << b for b in at) for n in range(reach + 1) for at in combinations(range(SUB), n)]
+    return np.array(out, np.uint16)
+
+
+def spread(ids: np.ndarray) -> np.ndarray:
+    """A hash of ids that deals a frequent key's rows to its cells."""
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
+
+
+class Directory:
+    """Which cells hold a substring's key: ``first`` (-1 where no row has it) and ``width``, both (substrings, 2**16)."""
+
+    def __init__(self, counts: np.ndarray, cell: int):
+        subs = len(counts)
+        self.first, self.width = np.full((subs, KEYS), -1, np.int32), np.ones((subs, KEYS), np.int32)
+        self.cells = 0
+        for k in range(subs):
+            n = counts[k]
+            target = max(1.0, n.sum() / max(1, math.ceil(n.sum() / cell)))
+            hot = n > target
+            plain = np.flatnonzero((n > 0) & ~hot)
+            if len(plain):
+                at = ((np.cumsum(n[plain]) - n[plain] / 2) // target).astype(np.int64)
+                at = np.unique(at, return_inverse=True)[1]
+                self.first[k, plain] = self.cells + at
+                self.cells += int(at.max()) + 1
+            for key in np.flatnonzero(hot):
+                self.first[k, key], self.width[k, key] = self.cells, math.ceil(n[key] / target)
+                self.cells += int(self.width[k, key])
+
+    def of_row(self, ids: np.ndarray, code: np.ndarray, k: int) -> np.ndarray:
+        """The one cell of substring k's index that lists each row."""
+        key = code[:, k]
+        return self.first[k, key] + (spread(ids) % self.width[k, key].astype(np.uint64)).astype(np.int32)
+
+    def of_query(self, key: int, masks: np.ndarray, k: int) -> np.ndarray:
+        """The cells of substring k's index that hold a probed key."""
+        probes = masks ^ key
+        first = self.first[k, probes]
+        there = first >= 0
+        first, width = first[there], self.width[k, probes[there]]
+        wide = width > 1
+        parts = [first[~wide], *(np.arange(f, f + w) for f, w in zip(first[wide], width[wide]))]
+        return np.unique(np.concatenate(parts)) if len(first) else first
+
+
+class Cell:
+    """One cell of substring k's index: its rows by key, in lists that probes look up."""
+
+    def __init__(self, ids: np.ndarray, code: np.ndarray, vectors: np.ndarray, k: int):
+        order = np.argsort(code[:, k], kind="stable")
+        self.ids, self.code, self.vectors, self.k = ids[order], code[order], vectors[order], k
+        self.count = np.bincount(self.code[:, k], minlength=KEYS).astype(np.int32)
+        self.start = (np.cumsum(self.count) - self.count).astype(np.int32)
+
+    def listed(self, code: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) positions of all that the probed keys list."""
+        probes = code[:, self.k, None] ^ masks
+        n = self.count[probes]
+        q, m = np.nonzero(n)
+        n, start = n[q, m], self.start[probes[q, m]]
+        row = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(q, n), row
+
+    def within(self, code: np.ndarray, masks: np.ndarray, reach: list[int], radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) positions of the listed within the radius; a pair that an earlier substring lists too is left to that one."""
+        q, row = self.listed(code, masks)
+        near = distances(code[q], self.code[row]) <= radius
+        q, row = q[near], row[near]
+        apart = np.bitwise_count(code[q, : self.k] ^ self.code[row, : self.k])
+        own = (apart > np.array(reach[: self.k])).all(axis=1)
+        return q[own], row[own]
+
+    def best(self, ids: np.ndarray, code: np.ndarray, vectors: np.ndarray, masks: np.ndarray, reach: list[int], radius: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, row id, score) of each query's k best among those within the radius."""
+        q, row = self.within(code, masks, reach, radius)
+        other = self.ids[row] != ids[q]
+        q, row = q[other], row[other]
+        score = np.einsum("ij,ij->i", self.vectors[row], vectors[q])
+        order = np.lexsort((self.ids[row], -score, q))
+        q, row, score = q[order], row[order], score[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        top = rank < k
+        return ids[q[top]], self.ids[row[top]], score[top]
+
+
+def matrix(column) -> np.ndarray:
+    """A list column of equal lengths as rows."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def true_distances(coded: DataFrame, q: list, rotations: np.ndarray, k: int) -> list[int]:
+    """Code distances between sampled queries (rows of id and v) and their k true nearest among all rows."""
+    ids, x = np.array([r["id"] for r in q]), np.array([r["v"] for r in q], float)
+    code = codes(lengthened(x, None), rotations)
+
+    @tidy
+    def run(batches):
+        kept = [(np.empty(0), np.empty(0, np.int16))] * len(ids)
+        for b in slices(batches, 2048):
+            score = x @ matrix(b.column(1)).astype(float).T
+            there, own = matrix(b.column(2)).astype(np.uint16), b.column(0).to_numpy()
+            score[ids[:, None] == own] = -np.inf
+            for i in range(len(ids)):
+                top = np.argpartition(-score[i], k - 1)[:k] if score.shape[1] > k else np.arange(score.shape[1])
+                s, d = np.concatenate([kept[i][0], score[i, top]]), np.concatenate([kept[i][1], distances(there[top], code[i])])
+                top = np.argsort(-s, kind="stable")[:k]
+                kept[i] = s[top], d[top]
+        for i, (s, d) in enumerate(kept):
+            fine = np.isfinite(s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(fine.sum(), i)), pa.array(s[fine]), pa.array(d[fine].astype(np.int32))], ["q", "score", "far"])
+
+    found = coded.select("id", "v", "code").mapInArrow(run, "q long, score double, far int")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "far")
+    return [r["far"] for r in found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("far").collect()]
+
+
+def probe(coded: DataFrame, queries: DataFrame, directory: Directory, radius: int, subs: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): in every cell a query probes, its k best within the radius."""
+    reach = reaches(radius, subs)
+    used = [j for j in range(subs) if reach[j] >= 0]
+    schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("side", T.IntegerType()), T.StructField("sub", T.IntegerType()), *coded.schema.fields])
+
+    def routed(b, at, cells, side, sub):
+        fixed = [pa.array(cells.astype(np.int64)), pa.array(np.full(len(cells), side, np.int32)), pa.array(np.full(len(cells), sub, np.int32))]
+        return pa.RecordBatch.from_arrays([*fixed, *b.take(pa.array(at)).columns], schema.names)
+
+    @tidy
+    def rows(batches):
+        for b in slices(batches, 2048):
+            code = matrix(b.column("code")).astype(np.uint16)
+            for j in used:
+                yield routed(b, np.arange(b.num_rows), directory.of_row(b.column("id").to_numpy(), code, j), 0, j)
+
+    @tidy
+    def asked(batches):
+        masks = {j: flips(reach[j]) for j in used}
+        for b in slices(batches, 128):
+            code = matrix(b.column("code")).astype(np.uint16)
+            for j in used:
+                cells = [directory.of_query(c, masks[j], j) for c in code[:, j]]
+                yield routed(b, np.repeat(np.arange(b.num_rows), [len(c) for c in cells]), np.concatenate([*cells, np.empty(0, np.int32)]), 1, j)
+
+    @tidy
+    def search(batches):
+        masks = {j: flips(reach[j]) for j in used}
+        here, pending, index = None, [], None
+        for b in slices(batches, 128):
+            cell, side = b.column("cell").to_numpy(), b.column("side").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cell * 2 + side)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                part = b.slice(lo, hi - lo)
+                ids, code, v = part.column("id").to_numpy(), matrix(part.column("code")).astype(np.uint16), matrix(part.column("v")).astype(float)
+                if cell[lo] != here:
+                    here, pending, index = cell[lo], [], None
+                if side[lo] == 0:
+                    pending.append((ids, code, v))
+                    continue
+                j = part.column("sub")[0].as_py()
+                if index is None:
+                    index, pending = Cell(*(np.concatenate(x) for x in zip(*pending)), j), []
+                found = index.best(ids, code, v, masks[j], reach, radius, k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+
+    both = coded.mapInArrow(rows, schema).unionByName(queries.mapInArrow(asked, schema))
+    parts = max(1, min(directory.cells, MOST_PARTITIONS))
+    dealt = both.repartitionById(parts, F.pmod("cell", F.lit(parts)).cast("int")).sortWithinPartitions("cell", "side")
+    return dealt.mapInArrow(search, "query_id long, vec_id long, score double")
+
+
+def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, bits: int = BITS, sample: int = SAMPLE, sample_queries: int = SAMPLE_QUERIES, quantile: float = QUANTILE, cell: int = CELL) -> DataFrame:
     """Each query row's k nearest: query_id, rank, vec_id, score.
 
     ``is_query``: a condition over column ``id``. ``sample``: expected rows the
-    rotations and the radius are fitted on."""
-    rows = usable(vectors, id_col, vec_col)
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"), F.max(length).alias("longest")).first()
-    schema = "query_id long, vec_id long, score double"
+    rotations are fitted on, ``sample_queries`` of which find the radius.
+    ``bits``: a multiple of 16."""
+    rows, subs = usable(vectors, id_col, vec_col), bits // SUB
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest")).first()
     if not size["n"]:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     longest = size["longest"] * (1 + 1e-9)
     share = min(1.0, sample / size["n"])
-    fit = rows.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).orderBy("id").collect()
-    x = np.array([r["v"] for r in fit] or [rows.first()["v"]], float)
-    rotations = learn_rotations(lengthened(x, longest), bits)
-    radius = learned_radius(x, rotations, longest, k, quantile)
-
-    q_blocks, c_blocks = max(1, math.ceil(size["q"] / query_block)), max(1, math.ceil(size["n"] / candidate_block))
-    block = lambda n, what: F.pmod(F.xxhash64("id", F.lit(what)), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = rows.where(is_query).withColumn("qb", block(q_blocks, "q")).withColumn("cb", every(c_blocks))
-    candidates = rows.withColumn("cb", block(c_blocks, "c")).withColumn("qb", every(q_blocks))
-
-    def cell(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        qv, cv = np.stack(q["v"].to_numpy()).astype(float), np.stack(c["v"].to_numpy()).astype(float)
-        got = nearest_in_block(q["id"].to_numpy(), qv, c["id"].to_numpy(), cv, codes(lengthened(qv, None), rotations), codes(lengthened(cv, longest), rotations), radius, k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got)))
-
-    found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(cell, schema)
+    fit = rows.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).orderBy(F.xxhash64("id", F.lit("order")), "id").limit(2 * sample).collect() or [rows.first()]
+    rotations = learn_rotations(lengthened(np.array([r["v"] for r in fit], float), longest), bits)
+
+    def encoder(longest):
+        @tidy
+        def run(batches):
+            for b in slices(batches, 2048):
+                if b.num_rows:
+                    code = codes(lengthened(matrix(b.column(1)).astype(float), longest), rotations)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * subs), pa.array(code.astype(np.int32).ravel()))
+                    yield pa.RecordBatch.from_arrays([*b.columns, lists], ["id", "v", "code"])
+
+        return run
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("code", T.ArrayType(T.IntegerType()))])
+    coded = materialise(rows.dropDuplicates(["id", "v"]).mapInArrow(encoder(longest), schema))
+    # At most 2**16 rows a substring, whatever the table's size.
+    seen = coded.select(F.posexplode("code").alias("sub", "key")).groupBy("sub", "key").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros((subs, KEYS), np.int64)
+    counts[seen["sub"].to_numpy(), seen["key"].to_numpy()] = seen["n"].to_numpy()
+    directory = Directory(counts, cell)
+    far = true_distances(coded, fit[:sample_queries], rotations, k)
+    radius = int(np.quantile(far, quantile, method="higher")) if far else bits
+
+    todo, found, wider = coded.where(is_query).select("id", "v").mapInArrow(encoder(None), schema), None, subs
+    while True:
+        here = materialise(probe(coded, todo, directory, radius, subs, k))
+        enough = here.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
+        short = todo.join(enough, F.col("id") == F.col("query_id"), "left_anti")
+        if radius >= bits or short.isEmpty():
+            found = here if found is None else found.unionByName(here)
+            break
+        ready = here.join(enough, "query_id", "left_semi")
+        found = ready if found is None else found.unionByName(ready)
+        todo, radius, wider = materialise(short), min(bits, radius + wider), 2 * wider
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
