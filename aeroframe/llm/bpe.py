@@ -21,6 +21,7 @@ columns named like the output are replaced, all others are kept.
 from __future__ import annotations
 
 import base64
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,9 @@ from .common import slices, tidy
 
 LEAF = 8192
 PIECE_LEAF = 128
+#: Matches a worker remembers in each of two generations.
+REMEMBERED = 200_000
+_NO_RANK = 1 << 62
 _SAFE = regex.compile(r"(?<=\S)(?=\s)")
 _LOADED: dict = {}
 
@@ -56,18 +60,18 @@ class Bpe:
     # pieces: matches of the pattern
     def merge(self, piece: bytes) -> list[int]:
         """Merge the neighbours of lowest rank, leftmost first, until none has a rank."""
-        ranks = self.ranks
+        rank = self.ranks.get
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        pairs = [rank(a + b, _NO_RANK) for a, b in zip(parts, parts[1:])]
+        while pairs and (least := min(pairs)) < _NO_RANK:
+            at = pairs.index(least)
+            parts[at] += parts.pop(at + 1)
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], _NO_RANK)
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], _NO_RANK)
+        return [self.ranks[p] for p in parts]
 
     def piece_ids(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
@@ -174,15 +178,19 @@ class Bpe:
 
 
 class _Pieces(dict):
-    """Match to the bytes of its ids; forgets all when it has grown large."""
+    """Match to the bytes of its ids. What a generation looked up again outlives it, the rest is forgotten."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.bpe.piece_ids(piece.encode("utf-8", "replace")), "<u4").tobytes()
-        if len(self) > 150_000:
+        ids = self.older.get(piece)
+        if ids is None:
+            found = self.bpe.piece_ids(piece.encode("utf-8", "replace"))
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
         if len(piece) <= 256:
             self[piece] = ids
