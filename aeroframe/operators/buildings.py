@@ -149,17 +149,24 @@ def cloud_metrics(points: DataFrame, key: str) -> DataFrame:
     p = p.join(m, key).where((F.col("n_in") < 10) | F.col("inside"))
     rel = F.col("z") - F.col("datum")
     out = p.groupBy(key).agg(F.max(rel).alias("peak_height"), F.avg(rel).alias("mean_height"), F.percentile(rel, 0.3).alias("eave_height"), F.first("datum").alias("ground_level"), F.count(F.lit(1)).alias("n_points"))
-    # The hull's corners are extreme in some strip of x: two points a strip and distinct x.
-    strip = p.groupBy(key, "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    # A hull of hulls: a task keeps the corners of what it has seen of each key, then a key's corners meet.
+    def corners(batches):
+        seen: dict = {}
+        for pdf in batches:
+            for k, part in pdf.groupby(key, sort=False, dropna=False):
+                xy = part[["x", "y"]].to_numpy(float)
+                seen[k] = kernels.convex_hull(np.concatenate([seen[k], xy]) if k in seen else xy)
+        for k, xy in seen.items():
+            yield pd.DataFrame({key: [k] * len(xy), "x": xy[:, 0], "y": xy[:, 1]})
 
     def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy = np.concatenate([pdf[["x", "lo"]].to_numpy(float), pdf[["x", "hi"]].to_numpy(float)])
+        xy = pdf[["x", "y"]].to_numpy(float)
         h = kernels.convex_hull(xy)
         w, d, _, _ = kernels.min_rectangle(xy)
         return pd.DataFrame({key: [pdf[key].iloc[0]], "footprint_area": [kernels.polygon_area(h)], "perimeter": [kernels.perimeter(h)], "rectangle_area": [w * d]})
 
     kind = points.schema[key].dataType.simpleString()
-    shape = strip.groupBy(key).applyInPandas(hull, f"`{key}` {kind}, footprint_area double, perimeter double, rectangle_area double")
+    shape = p.select(key, "x", "y").mapInPandas(corners, f"`{key}` {kind}, x double, y double").groupBy(key).applyInPandas(hull, f"`{key}` {kind}, footprint_area double, perimeter double, rectangle_area double")
     return out.join(shape, key).withColumn("volume", F.col("footprint_area") * F.col("mean_height"))
 
 

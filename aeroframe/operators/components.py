@@ -5,10 +5,13 @@ grouping and one join, and its edges are written to the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from . import kernels
+from .joins import even_join
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
@@ -23,9 +26,10 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        big = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        big = even_join(both, least, ["u"], ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        big = materialise(big)
         least = big.groupBy("u").agg(F.min("v").alias("m"))
-        moved = big.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = even_join(big, least, ["u"], ["v"]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialise(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
@@ -42,21 +46,28 @@ def _all_stars(e: DataFrame) -> bool:
     return per.where("low > 1 OR (low = 1 AND n > 1)").isEmpty()
 
 
-def grid_components(cells: DataFrame, width: int = 1 << 31) -> DataFrame:
+def grid_components(cells: DataFrame, width: int = 1 << 31, tile: int = 256) -> DataFrame:
     """Four-neighbour components of the listed cells (row, col): row, col, component.
 
-    Runs of neighbours in a row are one node, so a solid area costs a node a row
-    and not one a cell. The component is row * width + col of its first cell."""
+    Cells are labelled inside tiles first; only labels that meet across a tile's
+    border are tied by stars. The component is row * width + col of its first cell."""
+    here = lambda c: F.floor(F.col(c) / tile)
     c = cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).distinct()
-    w = Window.partitionBy("row").orderBy("col")
-    c = c.withColumn("run", F.sum(F.coalesce((F.col("col") - F.lag("col").over(w) > 1).cast("long"), F.lit(0))).over(w))
-    runs = materialise(c.groupBy("row", "run").agg(F.min("col").alias("a"), F.max("col").alias("b")).withColumn("id", F.col("row") * width + F.col("a")))
-    # Runs of touching rows meet through the cells of the shorter description: every cell of a run looks up its column below.
-    up = c.join(runs.select("row", "run", "id"), ["row", "run"]).select("row", "col", "id")
-    below = up.select((F.col("row") - 1).alias("row"), "col", F.col("id").alias("b"))
-    edges = up.withColumnRenamed("id", "a").join(below, ["row", "col"]).select("a", "b").distinct()
-    found = connected_components(edges, runs.select("id"))
-    return up.join(found, "id").select("row", "col", "component")
+
+    def label(t):
+        row, col = t["row"].to_numpy(), t["col"].to_numpy()
+        local = kernels.label_mask(row - row.min(), col - col.min())
+        first = pd.Series(row * width + col).groupby(local).transform("min")
+        return pd.DataFrame({"row": row, "col": col, "id": first})
+
+    c = materialise(c.groupBy(here("row"), here("col")).applyInPandas(label, "row long, col long, id long"))
+    edges = None
+    for r, k, last in ((1, 0, F.pmod("row", F.lit(tile)) == tile - 1), (0, 1, F.pmod("col", F.lit(tile)) == tile - 1)):
+        near = c.where(last).select((F.col("row") + r).alias("row"), (F.col("col") + k).alias("col"), F.col("id").alias("a"))
+        met = near.join(c.withColumnRenamed("id", "b"), ["row", "col"]).select("a", "b")
+        edges = met if edges is None else edges.unionByName(met)
+    found = connected_components(edges.distinct())
+    return c.join(found, "id", "left").select("row", "col", F.coalesce("component", "id").alias("component"))
 
 
 def face_components(faces: DataFrame) -> DataFrame:

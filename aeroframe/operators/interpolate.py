@@ -9,9 +9,9 @@ from ..functions.geodesy import wrap_degrees
 
 
 def unwrap_degrees(df: DataFrame, value: str, keys: list[str], order: list[str], out: str | None = None) -> DataFrame:
-    """Adds whole turns so that no step exceeds half a turn; the first value of each key stays. Nulls are stepped over by the caller."""
+    """Adds whole turns so that no step exceeds half a turn; the first value of each key stays, nulls are stepped over."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    step = F.col(value) - F.lag(value).over(w)
+    step = F.col(value) - F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     wrapped = wrap_degrees(step)
     # A step of exactly half a turn keeps its sign.
     fix = F.when(F.abs(step) < 180, 0.0).otherwise(F.when((wrapped == -180) & (step > 0), 180.0).otherwise(wrapped) - step)
@@ -19,28 +19,32 @@ def unwrap_degrees(df: DataFrame, value: str, keys: list[str], order: list[str],
 
 
 def interpolate(samples: DataFrame, targets: DataFrame, keys: list[str], value: str, t: str = "t", seq: str = "seq", angle: bool = False) -> DataFrame:
-    """Each target row with ``value`` interpolated linearly between the samples on both sides of its time, clamped at both ends.
-
-    Samples and targets are one sorted stream per key: a target takes the last
-    sample at or before it and the first one at or after it, so nothing is
-    compared pairwise. Null and NaN samples are left out; of samples at one time
-    the last by ``seq`` counts on the left and the first on the right. A key
-    without samples gives null."""
-    s = samples.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(t).cast("double").alias("__t"), F.col(value).cast("double").alias("__v"), F.col(seq).cast("long").alias("__seq"))
-    if angle:
-        s = unwrap_degrees(s, "__v", keys, ["__t", "__seq"])
-    extra = [c for c in targets.columns if c not in keys and c != value]
-    pack = F.struct(*extra).alias("__row")
-    mark = lambda df, kind, row: df.withColumn("__kind", F.lit(kind)) if row is None else df
-    k = targets.select(*keys, F.col(t).cast("double").alias("__t"), F.lit(None).cast("double").alias("__v"), F.lit(None).cast("long").alias("__seq"), pack, F.lit(1).alias("__kind"))
-    row_type = k.schema["__row"].dataType
-    both = mark(s.withColumn("__row", F.lit(None).cast(row_type)), 0, None).unionByName(k)
-    point = F.when(F.col("__kind") == 0, F.struct("__t", "__v"))
+    """Each target row with ``value`` interpolated linearly between the samples on both sides of its time, clamped at both ends."""
+    return interpolate_fields(samples, targets, keys, {value: angle}, t, seq)
+
+
+def interpolate_fields(samples: DataFrame, targets: DataFrame, keys: list[str], fields: dict[str, bool], t: str = "t", seq: str = "seq") -> DataFrame:
+    """``interpolate`` for several fields at once; ``fields`` tells of each whether it is an angle that wraps.
+
+    Samples and targets are one sorted stream per key, whatever the number of
+    fields: a target takes the last sample at or before it and the first one at or
+    after it that have the field, so nothing is compared pairwise. Null and NaN
+    values are left out; of samples at one time the last by ``seq`` counts on the
+    left and the first on the right. A key without samples gives null."""
+    given = lambda f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")).alias(f"__v_{f}")
+    s = samples.select(*keys, F.col(t).cast("double").alias("__t"), F.col(seq).cast("long").alias("__seq"), *map(given, fields))
+    for f, angle in fields.items():
+        if angle:
+            s = unwrap_degrees(s, f"__v_{f}", keys, ["__t", "__seq"])
+    extra = [c for c in targets.columns if c not in keys and c not in fields]
+    k = targets.select(*keys, F.col(t).cast("double").alias("__t"), F.struct(*extra).alias("__row"), F.lit(1).alias("__kind"))
+    both = s.withColumn("__kind", F.lit(0)).unionByName(k, allowMissingColumns=True)
     left = Window.partitionBy(*keys).orderBy("__t", "__kind", "__seq").rowsBetween(Window.unboundedPreceding, 0)
     right = Window.partitionBy(*keys).orderBy(F.col("__t").desc(), "__kind", F.col("__seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumns({"__a": F.last(point, ignorenulls=True).over(left), "__b": F.last(point, ignorenulls=True).over(right)}).where("__kind = 1")
-    out = linear(F.col("__t"), F.col("__a"), F.col("__b"))
-    return both.select(*keys, "__row.*", (wrap_degrees(out) if angle else out).alias(value))
+    point = lambda f: F.when(F.col(f"__v_{f}").isNotNull(), F.struct("__t", F.col(f"__v_{f}").alias("__v")))
+    both = both.withColumns({f"__a_{f}": F.last(point(f), ignorenulls=True).over(left) for f in fields}).withColumns({f"__b_{f}": F.last(point(f), ignorenulls=True).over(right) for f in fields}).where("__kind = 1")
+    out = {f: linear(F.col("__t"), F.col(f"__a_{f}"), F.col(f"__b_{f}")) for f in fields}
+    return both.select(*keys, "__row.*", *[(wrap_degrees(out[f]) if angle else out[f]).alias(f) for f, angle in fields.items()])
 
 
 def linear(t: Column, a: Column, b: Column) -> Column:
@@ -74,8 +78,7 @@ def synchronise(samples: DataFrame, frames: DataFrame, keys: list[str], offset:
     out = frames.select(*keys, "name", (F.col("t") + offset).alias("t"))
     samples = rebased(samples, out, keys)
     ends = spans(samples, keys)
-    for f, (_, angle) in SYNC_FIELDS.items():
-        out = interpolate(samples, out, keys, f, angle=angle and wrap_angles)
+    out = interpolate_fields(samples, out, keys, {f: angle and wrap_angles for f, (_, angle) in SYNC_FIELDS.items()})
     out = out.join(ends, keys, "left").withColumn("in_span", F.coalesce(F.col("t").between(F.col("span_from"), F.col("span_to")), F.lit(False)))
     out = out.select(*keys, "name", F.bround("t", 4).alias("t"), "in_span", *[F.bround(f, d).alias(f) for f, (d, _) in SYNC_FIELDS.items()])
     source = F.when(F.col("abs_alt").isNotNull(), "abs_alt").when(F.col("rel_alt").isNotNull(), "rel_alt").otherwise("none")

@@ -105,21 +105,15 @@ def rejection_reasons(spark, d):
 @query(f"""WITH p AS (SELECT s.id, c.cam_order, (cam_z-z)/sqrt((cam_x-x)*(cam_x-x)+(cam_y-y)*(cam_y-y)+(cam_z-z)*(cam_z-z))/(1+0.01*sqrt((cam_x-x)*(cam_x-x)+(cam_y-y)*(cam_y-y)+(cam_z-z)*(cam_z-z))) AS score FROM ({SPOTS}) s, ({CAMS}) c)
   SELECT id, cam_order, round(score, 8) AS score FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, cam_order) = 1""")
 def best_view(spark, d):
-    return visibility.best_view(_views(spark, d), ["id"], take=["cam_order", "score"]).select("id", "cam_order", F.round("score", 8).alias("score"))
-
-
-def _views(spark, d):
-    from ..functions.vectors import norm
-
     v = Views(spark, d)
-    ray = [F.col(f"cam_{c}") - F.col(c) for c in "xyz"]
-    return v.spots().crossJoin(visibility.camera_table(v.cams())).withColumn("score", visibility.view_score(ray[2] / norm(*ray), norm(*ray)))
+    return visibility.best_cameras(v.spots(), v.cams(), "id").select("id", "cam_order", F.round("score", 8).alias("score"))
 
 
 @query(f"""WITH p AS (SELECT s.id, c.cam_order, (cam_z-z)/sqrt((cam_x-x)*(cam_x-x)+(cam_y-y)*(cam_y-y)+(cam_z-z)*(cam_z-z))/(1+0.01*sqrt((cam_x-x)*(cam_x-x)+(cam_y-y)*(cam_y-y)+(cam_z-z)*(cam_z-z))) AS score FROM ({SPOTS}) s, ({CAMS}) c)
   SELECT id, cast(row_number() OVER (PARTITION BY id ORDER BY score DESC, cam_order) AS int) AS rank, cam_order FROM p QUALIFY rank <= 5""")
 def topk_views(spark, d):
-    return visibility.top_views(_views(spark, d), ["id"], 5).select("id", "rank", "cam_order")
+    v = Views(spark, d)
+    return visibility.best_cameras(v.spots(), v.cams(), "id", 5).select("id", "rank", "cam_order")
 
 
 @query(f"""WITH f AS (SELECT id AS fid, x, y, z FROM ({SPOTS})), p AS (SELECT fid, 1.0*(cam_z-z)/sqrt((cam_x-x)*(cam_x-x)+(cam_y-y)*(cam_y-y)+(cam_z-z)*(cam_z-z)) > cos(radians(20)) AS hit FROM f, ({CAMS}) c WHERE cam_order % 10 = 0)

@@ -3,21 +3,57 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What the open scratch contexts delete when they end: folders and tables, the innermost context last.
+_OPEN: list[list[tuple[str, str]]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; a local one only where the session names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder name under ``spark.checkpoint.dir``. Where the session names none, a local session gets a folder of its own and a cluster an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
         top = spark.sparkContext.getCheckpointDir()
-        if not top:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
-            top = spark.sparkContext.getCheckpointDir()
-    return f"{top}/aeroframe-{uuid.uuid4().hex}"
+    made = f"{top}/aeroframe-{uuid.uuid4().hex}"
+    _note("folder", made)
+    return made
+
+
+def _note(kind: str, name: str) -> None:
+    if _OPEN:
+        _OPEN[-1].append((kind, name))
+
+
+def save_table(df_writer, name: str, where: str) -> str:
+    """Save as a catalog table at a path; a scratch context drops it."""
+    df_writer.option("path", where).saveAsTable(name)
+    _note("table", name)
+    return name
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """On leaving, deletes the intermediate tables that operators wrote inside. Consume their results before that:
+
+    ``with scratch(spark): near_duplicates(docs).write.parquet(out)``"""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for kind, name in _OPEN.pop():
+            if kind == "table":
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            else:
+                path = spark._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, where: str | None = None) -> DataFrame:

@@ -25,8 +25,10 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
 
 def folder_frames(images: DataFrame, hz: float) -> DataFrame:
     """An image folder as a clip: frame_index by name, t = frame_index / hz."""
-    i = F.row_number().over(Window.orderBy("name")) - 1
-    return images.withColumn("frame_index", i.cast("long")).withColumn("t", F.col("frame_index") / F.lit(float(hz)))
+    from ..operators.joins import numbered
+
+    images = numbered(images, "name", "frame_index")
+    return images.withColumn("frame_index", (F.col("frame_index") - 1).cast("long")).withColumn("t", F.col("frame_index") / F.lit(float(hz)))
 
 
 def thin_frames(frames: DataFrame, fps: float, hz: float) -> DataFrame:
