@@ -16,13 +16,19 @@ exact product of the original vectors. The radius is the ``quantile`` of the
 code distances between a sample of queries and their true neighbours among all
 rows. A query that finds fewer than k searches again with a wider radius.
 
-Each index is dealt into cells of about ``cell`` rows: ranges of its keys, and
-for a key with more rows than that, parts of it by a hash of the id. A directory
-of 2**16 entries a substring, whatever the size of the table, tells a query the
-cells its probed keys lie in. A row goes to one cell of each index, a query to
-the cells it probes; a task holds one cell's index and lets the queries stream
-past it. No cell depends on how rows cluster, so repeated or close vectors make
-no task larger than others.
+The search has two rounds. The first has the radius within which half the sampled
+queries have 2 k codes; the k-th best product found there bounds the query's k-th
+nearest from below. The second has the whole radius, and of what it retrieves only
+products of the bound or more leave a task: a few times k a query, however many
+cells it probes.
+
+Each index is dealt into at most ``cell`` rows a cell, fewer where there would be
+less than a cell for every partition: ranges of its keys, and for a key with more
+rows than that, parts of it by a hash of the id. A directory of 2**16 entries a
+substring, whatever the size of the table, tells a query the cells its probed keys
+lie in. A row goes to one cell of each index, a query to the cells it probes; a
+task holds one cell's index and lets the queries stream past it. No cell depends on
+how rows cluster, so repeated or close vectors make no task larger than others.
 
 Defined results: vectors that are null, empty, zero, of another length than most
 or that hold null or non-finite components take no part, nor do null ids; rows
@@ -51,7 +57,8 @@ KEYS = 1 << SUB
 SAMPLE = 4096
 SAMPLE_QUERIES = 256
 QUANTILE = 0.95
-CELL = 4096
+#: Rows of an index cell: at most, and where cells are made smaller so that every partition has one, at least.
+CELL, LEAST_CELL = 65_536, 2048
 #: Partitions that cells are dealt to at most; a partition then holds several cells, one after the other.
 MOST_PARTITIONS = 20_000
 
@@ -182,12 +189,14 @@ class Cell:
         own = (apart > np.array(reach[: self.k])).all(axis=1)
         return q[own], row[own]
 
-    def best(self, ids: np.ndarray, code: np.ndarray, vectors: np.ndarray, masks: np.ndarray, reach: list[int], radius: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query id, row id, score) of each query's k best among those within the radius."""
+    def best(self, ids: np.ndarray, code: np.ndarray, vectors: np.ndarray, bound: np.ndarray, masks: np.ndarray, reach: list[int], radius: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, row id, score) of each query's k best among those within the radius that reach its bound."""
         q, row = self.within(code, masks, reach, radius)
         other = self.ids[row] != ids[q]
         q, row = q[other], row[other]
         score = np.einsum("ij,ij->i", self.vectors[row], vectors[q])
+        reached = score >= bound[q]
+        q, row, score = q[reached], row[reached], score[reached]
         order = np.lexsort((self.ids[row], -score, q))
         q, row, score = q[order], row[order], score[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
@@ -201,37 +210,47 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def true_distances(coded: DataFrame, q: list, rotations: np.ndarray, k: int) -> list[int]:
-    """Code distances between sampled queries (rows of id and v) and their k true nearest among all rows."""
-    ids, x = np.array([r["id"] for r in q]), np.array([r["v"] for r in q], float)
+def sampled_distances(coded: DataFrame, q: list, rotations: np.ndarray, k: int) -> tuple[list[int], np.ndarray]:
+    """Of sampled queries (rows of id and v): the code distances of their k true nearest among all rows, and how many rows lie at each code distance, one line a query."""
+    ids, x, bits = np.array([r["id"] for r in q]), np.array([r["v"] for r in q], float), rotations.shape[1]
     code = codes(lengthened(x, None), rotations)
 
     @tidy
     def run(batches):
         kept = [(np.empty(0), np.empty(0, np.int16))] * len(ids)
+        lie = np.zeros((len(ids), bits + 1), np.int64)
         for b in slices(batches, 2048):
             score = x @ matrix(b.column(1)).astype(float).T
             there, own = matrix(b.column(2)).astype(np.uint16), b.column(0).to_numpy()
             score[ids[:, None] == own] = -np.inf
             for i in range(len(ids)):
+                far = distances(there, code[i])
+                lie[i] += np.bincount(far, minlength=bits + 1)
                 top = np.argpartition(-score[i], k - 1)[:k] if score.shape[1] > k else np.arange(score.shape[1])
-                s, d = np.concatenate([kept[i][0], score[i, top]]), np.concatenate([kept[i][1], distances(there[top], code[i])])
+                s, d = np.concatenate([kept[i][0], score[i, top]]), np.concatenate([kept[i][1], far[top]])
                 top = np.argsort(-s, kind="stable")[:k]
                 kept[i] = s[top], d[top]
         for i, (s, d) in enumerate(kept):
             fine = np.isfinite(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(fine.sum(), i)), pa.array(s[fine]), pa.array(d[fine].astype(np.int32))], ["q", "score", "far"])
+            at = np.flatnonzero(lie[i])
+            nulls = lambda n, kind: pa.nulls(n, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(fine.sum(), i)), pa.array(s[fine]), pa.array(d[fine].astype(np.int32)), nulls(int(fine.sum()), pa.int64())], ["q", "score", "far", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), nulls(len(at), pa.float64()), pa.array(at.astype(np.int32)), pa.array(lie[i, at])], ["q", "score", "far", "n"])
 
-    found = coded.select("id", "v", "code").mapInArrow(run, "q long, score double, far int")
+    found = materialise(coded.select("id", "v", "code").mapInArrow(run, "q long, score double, far int, n long"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "far")
-    return [r["far"] for r in found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("far").collect()]
+    near = found.where("n IS NULL").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("far").collect()
+    lie = np.zeros((len(ids), bits + 1), np.int64)
+    for r in found.where("n IS NOT NULL").groupBy("q", "far").agg(F.sum("n").alias("n")).collect():
+        lie[r["q"], r["far"]] = r["n"]
+    return [r["far"] for r in near], lie
 
 
 def probe(coded: DataFrame, queries: DataFrame, directory: Directory, radius: int, subs: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score): in every cell a query probes, its k best within the radius."""
+    """(query_id, vec_id, score): in every cell a query probes, its k best within the radius that reach its ``bound``."""
     reach = reaches(radius, subs)
     used = [j for j in range(subs) if reach[j] >= 0]
-    schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("side", T.IntegerType()), T.StructField("sub", T.IntegerType()), *coded.schema.fields])
+    schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("side", T.IntegerType()), T.StructField("sub", T.IntegerType()), *queries.schema.fields])
 
     def routed(b, at, cells, side, sub):
         fixed = [pa.array(cells.astype(np.int64)), pa.array(np.full(len(cells), side, np.int32)), pa.array(np.full(len(cells), sub, np.int32))]
@@ -267,16 +286,17 @@ def probe(coded: DataFrame, queries: DataFrame, directory: Directory, radius: in
                 ids, code, v = part.column("id").to_numpy(), matrix(part.column("code")).astype(np.uint16), matrix(part.column("v")).astype(float)
                 if cell[lo] != here:
                     here, pending, index = cell[lo], [], None
+                bound = part.column("bound").to_numpy(zero_copy_only=False)
                 if side[lo] == 0:
                     pending.append((ids, code, v))
                     continue
                 j = part.column("sub")[0].as_py()
                 if index is None:
                     index, pending = Cell(*(np.concatenate(x) for x in zip(*pending)), j), []
-                found = index.best(ids, code, v, masks[j], reach, radius, k)
+                found = index.best(ids, code, v, bound, masks[j], reach, radius, k)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
 
-    both = coded.mapInArrow(rows, schema).unionByName(queries.mapInArrow(asked, schema))
+    both = coded.withColumn("bound", F.lit(0.0)).select(queries.columns).mapInArrow(rows, schema).unionByName(queries.mapInArrow(asked, schema))
     parts = max(1, min(directory.cells, MOST_PARTITIONS))
     dealt = both.repartitionById(parts, F.pmod("cell", F.lit(parts)).cast("int")).sortWithinPartitions("cell", "side")
     return dealt.mapInArrow(search, "query_id long, vec_id long, score double")
@@ -315,11 +335,18 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     seen = coded.select(F.posexplode("code").alias("sub", "key")).groupBy("sub", "key").agg(F.count(F.lit(1)).alias("n")).toArrow()
     counts = np.zeros((subs, KEYS), np.int64)
     counts[seen["sub"].to_numpy(), seen["key"].to_numpy()] = seen["n"].to_numpy()
-    directory = Directory(counts, cell)
-    far = true_distances(coded, fit[:sample_queries], rotations, k)
+    n, parts = int(counts[0].sum()), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    directory = Directory(counts, min(cell, max(LEAST_CELL, math.ceil(n * subs / parts))))
+    far, lie = sampled_distances(coded, fit[:sample_queries], rotations, k)
     radius = int(np.quantile(far, quantile, method="higher")) if far else bits
-
-    todo, found, wider = coded.where(is_query).select("id", "v").mapInArrow(encoder(None), schema), None, subs
+    first = min(radius, int((np.median(np.cumsum(lie, axis=1), axis=0) < 2 * k).sum()))
+
+    queries = materialise(coded.where(is_query).select("id", "v").mapInArrow(encoder(None), schema))
+    near = probe(coded, queries.withColumn("bound", F.lit(float("-inf"))), directory, first, subs, k)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    bounds = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), (F.col("score") - F.abs("score") * 1e-12).alias("bound"))
+    todo = materialise(queries.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf")))))
+    found, wider = None, subs
     while True:
         here = materialise(probe(coded, todo, directory, radius, subs, k))
         enough = here.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")

@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from aeroframe.llm.ann import BITS, CELL, KEYS, SUB, Cell, Directory, codes, flips, learn_rotations, lengthened, reaches, search
+from aeroframe.llm.ann import BITS, KEYS, SUB, Cell, Directory, codes, flips, learn_rotations, lengthened, reaches, search
 from aeroframe.llm.q_ann import op4_nearest_neighbours
 
 GIVEN = os.environ.get("TEST_ANN_DIR", "/root/testdata/sf0.1")
@@ -106,10 +106,10 @@ def test_directory_splits_hot_keys_and_keeps_cells_even():
     code[:15_000] = code[0]
     ids = np.arange(len(code))
     counts = np.stack([np.bincount(code[:, k], minlength=KEYS) for k in range(2)])
-    d = Directory(counts, CELL)
+    d = Directory(counts, 4096)
     for k in range(2):
         cells = d.of_row(ids, code, k)
-        assert (cells >= 0).all() and np.bincount(cells).max() <= 1.3 * CELL
+        assert (cells >= 0).all() and np.bincount(cells).max() <= 1.3 * 4096
         masks = flips(2)
         asked = set(d.of_query(int(code[0, k]), masks, k).tolist())
         near = np.bitwise_count(code[:, k] ^ code[0, k]) <= 2
