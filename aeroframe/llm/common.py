@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise, shared_dir  # noqa: F401
+from ..operators.joins import LEAST_HOT, even_join  # noqa: F401
+from ..session import materialise, save_table, scratch, shared_dir  # noqa: F401
 
 #: ASCII white space, as the contracts write it.
 WS = r"[\x20\x09-\x0D]"
@@ -32,6 +33,23 @@ def with_text(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn(text_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
+#: Keys of rows without an id start here; ids below it sort before them.
+OWN = 2**62
+
+
+def own_key(*cols):
+    """A key for a row that has no id of its own: a digest of the columns in the upper half of the ids."""
+    return F.lit(OWN) + F.xxhash64(*cols).bitwiseAND(F.lit(OWN - 1))
+
+
+def frequent_values(df: DataFrame, column, parts: int, sample_rows: int) -> list:
+    """Values of over half a partition's share of the rows in a sample of ``sample_rows`` expected rows, at most ``2 * parts``."""
+    n = df.count()
+    seen = df.sample(False, min(1.0, sample_rows / max(n, 1)), 7).select(column.alias("v"))
+    hot = seen.groupBy("v").count().where(F.col("count") >= max(8, min(n, sample_rows) / (2 * parts)))
+    return [r["v"] for r in hot.orderBy(F.desc("count"), "v").limit(2 * parts).collect()]
+
+
 def slices(batches, rows: int = 256):
     """Small batches, so that a task holds few texts and their results at a time."""
     for b in batches:

@@ -6,11 +6,14 @@ stand next to each other and each row is compared in full with its neighbour.
 Leading bytes that a bounded sample shows to be frequent are dealt out further
 by a salt of the id, so a group of copies (or a common opening) that holds a
 third of all rows is sorted by many tasks; the runs those tasks find, one row
-per text and salt, are then merged by the text's digest and length.
+per text and salt, are then brought together by digest and length and merged
+where their texts are equal in full.
 
 Defined results: null text equals empty text; among equal texts the smallest
 id stays, a null id sorts last; rows that repeat an id and text are members of
-the same group; an empty table gives an empty table.
+the same group; a very long text is one row of the sort, which spills; columns
+other than id and text play no part, whatever their names; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_WS, WS, materialise
+from .common import NOT_WS, WS, frequent_values, materialise
 
 LEAD = 48
 #: Rows of the sample that looks for frequent leading bytes.
@@ -35,15 +38,6 @@ def leading(text, n: int = LEAD):
     return normalised(head)
 
 
-def frequent_leads(keyed: DataFrame, parts: int, sample_rows: int) -> list[str]:
-    """Leading strings of over half a partition's share of the rows, at most ``2 * parts``."""
-    n = keyed.count()
-    seen = keyed.select("lead").sample(False, min(1.0, sample_rows / max(n, 1)), 7)
-    size = min(n, sample_rows)
-    hot = seen.groupBy("lead").count().where(F.col("count") >= max(8, size / (2 * parts)))
-    return [r["lead"] for r in hot.orderBy(F.desc("count"), "lead").limit(2 * parts).collect()]
-
-
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
@@ -52,7 +46,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = raw.withColumn("lead", leading(F.col("text")))
-    hot = frequent_leads(keyed, parts, sample_rows)
+    hot = frequent_values(keyed, F.col("lead"), parts, sample_rows)
     salt = F.when(F.col("lead").isin(hot), F.pmod(F.xxhash64("id"), F.lit(parts)) + 1).otherwise(0) if hot else F.lit(0).cast("long")
     dealt = keyed.withColumn("salt", salt.cast("long")).repartitionByRange("lead", "salt")
 
@@ -65,7 +59,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select(
             "id", "lead", "salt", "run", "first_of_run",
             F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"),
-            F.length("norm").alias("len"),
+            F.when(F.col("first_of_run") & (F.col("salt") > 0), F.col("norm")).alias("norm"),
         )
         .withColumn("run_keep", F.min("id").over(run))
         .withColumn("run_size", F.count(F.lit(1)).over(run))
@@ -73,9 +67,9 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if hot:
         rows = materialise(rows)
         split = rows.where("salt > 0")
-        runs = split.where("first_of_run")
-        merged = runs.groupBy("sha", "len").agg(F.min("run_keep").alias("keep_id"), F.sum("run_size").alias("group_size"))
-        runs = runs.select("lead", "salt", "run", "sha", "len").join(merged, ["sha", "len"]).select("lead", "salt", "run", "keep_id", "group_size")
+        # At most one run a text and salt, so a text's list of runs is as short as there are partitions.
+        runs = split.where("first_of_run").groupBy("sha", "norm").agg(F.min("run_keep").alias("keep_id"), F.sum("run_size").alias("group_size"), F.collect_list(F.struct("lead", "salt", "run")).alias("at"))
+        runs = runs.select(F.explode("at").alias("at"), "keep_id", "group_size").select("at.*", "keep_id", "group_size")
         split = split.join(runs, ["lead", "salt", "run"]).select("id", "keep_id", "group_size", "sha")
         whole = rows.where("salt = 0").select("id", F.col("run_keep").alias("keep_id"), F.col("run_size").alias("group_size"), "sha")
         out = whole.unionByName(split)

@@ -7,6 +7,8 @@ several centroids: spherical k-means over a sample of its training documents of
 ``per_language`` expected rows. The language of the closest centroid by cosine
 is the prediction; a text that lies farther from every centroid than the
 ``rejection`` share of what training documents of that language do is rejected.
+Short texts lie farther away, so what is far enough is learned by length too, from
+excerpts of a few words of the sampled documents.
 
 The model (buckets' frequencies, a few centroids a language) has a size set by
 ``dims``, ``clusters`` and the number of languages, none of which grows with the
@@ -15,8 +17,10 @@ rows; only that much reaches the driver and goes out to the tasks.
 Defined results: null text and text without letters are ``und`` with score 0 and
 rejected; the score is the cosine, from 0 to 1; without training rows everything
 is ``und``; an empty table gives an empty table; input columns named like an
-output are replaced, all others are kept. A null id counts as the empty string
-when folds are dealt.
+output, in any case, are replaced, all others are kept. A null id counts as the
+empty string when folds are dealt. Rows are sampled by id and text, so rows that
+repeat an id are drawn one by one, and rows that repeat both are fitted on once.
+A very long text is one row whose grams are counted in its task.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ ITERATIONS = 8
 #: A text is rejected below this share of the cosine that all but 1 in 500 sampled documents of its language reach.
 REJECTION = 0.5
 UND = "und"
+#: Words of the excerpts that show how far short texts lie.
+EXCERPTS = (1, 2, 4, 8, 16)
 _ALPHA: list[np.ndarray] = []
 
 
@@ -76,7 +82,7 @@ class Model:
     languages: list[str]
     centroids: np.ndarray
     idf: np.ndarray
-    least: dict[str, float]
+    least: dict[str, tuple[np.ndarray, np.ndarray]]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         counts = gram_counts(text, len(self.idf))
@@ -85,7 +91,8 @@ class Model:
         cos = self.centroids @ vector(counts, self.idf)
         at = int(np.argmax(cos))
         score = float(min(1.0, max(0.0, cos[at])))
-        return self.languages[at], score, score < self.least[self.languages[at]]
+        lengths, least = self.least[self.languages[at]]
+        return self.languages[at], score, score < float(np.interp(np.log(counts.sum()), lengths, least))
 
 
 def _cluster(vectors: np.ndarray, k: int, iterations: int) -> np.ndarray:
@@ -111,7 +118,7 @@ def fold(id_col: str):
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", dims: int = DIMS, per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS, iterations: int = ITERATIONS, rejection: float = REJECTION) -> Model:
     """Learn from ``train``. ``per_language`` bounds, in expectation, the rows a language's clusters are fitted on."""
-    rows = train.select(F.xxhash64(F.col(order_col).cast("string"), F.lit("fit")).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = train.select(F.xxhash64(F.col(order_col).cast("string"), F.col(text_col).cast("string"), F.lit("fit")).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
 
     @tidy
     def frequencies(batches):
@@ -136,27 +143,42 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", order_
         return Model([], np.zeros((0, dims), np.float32), idf, {})
 
     share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
-    sample = rows.where(F.pmod("h", F.lit(1 << 40)) < F.element_at(share, F.col("lang")) * F.lit(float(1 << 40)))
+    sample = rows.where(F.pmod("h", F.lit(1 << 40)) < F.element_at(share, F.col("lang")) * F.lit(float(1 << 40))).dropDuplicates(["lang", "h"])
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["h", "text"], kind="stable")
         found = [c for t in group["text"] if (c := gram_counts(t, dims)) is not None]
         if not found:
-            return pd.DataFrame({"lang": [], "least": [], "centroid": []})
+            return pd.DataFrame({"lang": [], "lengths": [], "least": [], "centroid": []})
         vectors = np.stack([vector(c, idf) for c in found])
         cents = _cluster(vectors, clusters, iterations)
-        least = float(np.quantile((vectors @ cents.T).max(axis=1), 0.002)) * rejection
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "least": least, "centroid": [c.astype(float).tolist() for c in cents]})
-
-    got = sample.groupBy("lang").applyInPandas(centroids, "lang string, least double, centroid array<double>").collect()
+        lengths, least = [], []
+        for words in (*EXCERPTS, None):
+            parts = [c for t, h in zip(group["text"], group["h"]) if (c := gram_counts(_excerpt(t, words, h), dims)) is not None] if words else found
+            cos = np.array([(cents @ vector(c, idf)).max() for c in parts])
+            lengths.append(float(np.log(np.median([c.sum() for c in parts]))))
+            least.append(float(np.quantile(cos, 0.002)) * rejection)
+        # A longer text is never allowed to lie farther than a shorter one.
+        order = np.argsort(lengths, kind="stable")
+        lengths, least = np.array(lengths)[order], np.maximum.accumulate(np.array(least)[order])
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "lengths": [lengths.tolist()] * len(cents), "least": [least.tolist()] * len(cents), "centroid": [c.astype(float).tolist() for c in cents]})
+
+    got = sample.groupBy("lang").applyInPandas(centroids, "lang string, lengths array<double>, least array<double>, centroid array<double>").collect()
     got.sort(key=lambda r: (r["lang"], r["centroid"]))
-    return Model([r["lang"] for r in got], np.array([r["centroid"] for r in got], np.float32).reshape(len(got), dims), idf, {r["lang"]: r["least"] for r in got})
+    return Model([r["lang"] for r in got], np.array([r["centroid"] for r in got], np.float32).reshape(len(got), dims), idf, {r["lang"]: (np.array(r["lengths"]), np.array(r["least"])) for r in got})
+
+
+def _excerpt(text: str, words: int, h: int) -> str:
+    """So many neighbouring words from a place that the row's hash chooses."""
+    found = text.split()
+    at = h % max(1, len(found) - words + 1)
+    return " ".join(found[at : at + words])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The input's columns plus lang_pred, score and rejected."""
     src = docs.drop("lang_pred", "score", "rejected")
-    at = src.columns.index(text_col)
+    at = [c.lower() for c in src.columns].index(text_col.lower())
     src = src.withColumn(text_col, F.col(text_col).cast("string"))
     schema = T.StructType([*src.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 

@@ -8,10 +8,16 @@ level holds ``fan_in`` runs they are merged into one run of the next level.
 Batches arrive in ascending document order, so the run that knows a key names
 its smallest document.
 
+A key of many documents (a licence line of a third of them) is counted before
+the rows that hold it are looked up; such keys, at most twice as many as
+partitions, are broadcast, so their rows stay where they are.
+
 Defined results: a null or empty text is one empty line; a null id sorts after
-every other id; rows that repeat an id are one document and are treated alike;
+every other id, and rows without one are documents of their own by text; rows
+that repeat an id are one document, whatever their texts, and none of them loses
+a line to another; a very long text is one row, split line by line in its task;
 an empty table gives an empty table; input columns named ``n_lines`` or
-``n_dropped`` are replaced, every other column is kept.
+``n_dropped``, in any case, are replaced, every other column is kept.
 """
 
 from __future__ import annotations
@@ -23,10 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_BYTES, materialise, shared_dir, slices, tidy
+from .common import LEAST_HOT, WS_BYTES, materialise, own_key, save_table, shared_dir, slices, tidy
 
 MIN_CODE_POINTS = 10
-LAST_ID = 2**63 - 1
+
+
+def document_key(id_col: str, text_col: str):
+    """The id, or a key of its own behind all ids for a row without one."""
+    return F.coalesce(F.col(id_col).cast("long"), own_key(F.col(text_col).cast("string")))
 
 
 def line_key(line: bytes) -> bytes:
@@ -57,7 +67,7 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_code_points: in
                     h2.append(int.from_bytes(h[8:], "little", signed=True))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["id", "h1", "h2"])
 
-    narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    narrow = docs.select(document_key(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, "id long, h1 long, h2 long")
 
 
@@ -79,7 +89,7 @@ class LineRuns:
         name = f"{self.name}_{self.made}"
         self.made += 1
         out = df.select("h1", "h2", "owner").repartition(self.buckets, "h1", "h2")
-        out.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.dir}/{name}").saveAsTable(name)
+        save_table(out.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2"), name, f"{self.dir}/{name}")
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
@@ -102,19 +112,32 @@ class LineRuns:
             level += 1
 
     def add(self, batch: DataFrame) -> DataFrame:
-        keys = batch.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+        keys = batch.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n"))
         known = keys
         owners = []
         for k, name in enumerate(self.runs()):
             run = self.spark.table(name).select("h1", "h2", F.col("owner").alias(f"owner_{k}"))
             known = known.join(run.hint("merge"), ["h1", "h2"], "left")
             owners.append(F.col(f"owner_{k}"))
-        known = known.select("h1", "h2", "first_id", "last_id", F.coalesce(*owners, F.lit(None).cast("long")).alias("run_owner"))
+        known = known.select("h1", "h2", "first_id", "last_id", "n", F.coalesce(*owners, F.lit(None).cast("long")).alias("run_owner"))
         known = materialise(known, f"{self.dir}/known_{self.made}")
         self._write_run(known.where("run_owner IS NULL").withColumnRenamed("first_id", "owner"), 0)
         self.compact()
-        repeated = known.where("run_owner IS NOT NULL OR first_id < last_id").select("h1", "h2", F.coalesce("run_owner", "first_id").alias("keep_id"))
-        return batch.join(repeated, ["h1", "h2"]).where("id <> keep_id").select("id", "h1", "h2")
+        repeated = known.where("run_owner IS NOT NULL OR first_id < last_id").select("h1", "h2", "n", F.coalesce("run_owner", "first_id").alias("keep_id"))
+        rows = batch.count()
+        share = max(LEAST_HOT, rows // (2 * self.buckets))
+        rest, found = batch, None
+        if rows > share and not (often := repeated.where(F.col("n") > share).drop("n")).isEmpty():
+            found = batch.join(F.broadcast(often), ["h1", "h2"])
+            rest = batch.join(F.broadcast(often), ["h1", "h2"], "left_anti")
+        seldom = rest.join(repeated.where(F.col("n") <= share).drop("n"), ["h1", "h2"])
+        return (seldom if found is None else seldom.unionByName(found)).where("id <> keep_id").select("id", "h1", "h2")
+
+    def close(self) -> None:
+        """Takes the runs out of the catalog."""
+        for name in self.runs():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.levels = []
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_code_points: int = MIN_CODE_POINTS, batches: int = 4, fan_in: int = 2) -> DataFrame:
@@ -136,15 +159,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for k in range(len(cuts) + 1):
         out = store.add(rows.where(F.col("part") == k).select("id", "h1", "h2"))
         gone = out if gone is None else gone.unionByName(out)
+    store.close()
     per_doc = gone.groupBy(F.col("id").alias("__ln_id")).agg(F.collect_list(F.struct("h1", "h2")).alias("__ln_gone"))
     return drop_lines(docs, per_doc, id_col, text_col, min_code_points)
 
 
 def drop_lines(docs: DataFrame, per_doc: DataFrame, id_col: str, text_col: str, min_code_points: int) -> DataFrame:
     """Rewrite texts without the lines whose hashes ``per_doc`` lists for their id."""
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    src = docs.select(*kept).withColumn("__ln_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))).join(per_doc, "__ln_id", "left").drop("__ln_id")
-    at = kept.index(text_col)
+    docs = docs.drop("n_lines", "n_dropped")
+    kept = docs.columns
+    src = docs.withColumn("__ln_id", document_key(id_col, text_col)).join(per_doc, "__ln_id", "left").drop("__ln_id")
+    at = [c.lower() for c in kept].index(text_col.lower())
 
     @tidy
     def run(batches):
@@ -161,5 +186,5 @@ def drop_lines(docs: DataFrame, per_doc: DataFrame, id_col: str, text_col: str,
             cols = [b.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*kept, "n_lines", "n_dropped"])
 
-    schema = docs.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in kept]).schema
+    schema = docs.select(*[F.col(c).cast("string").alias(c) if c.lower() == text_col.lower() else F.col(c) for c in kept]).schema
     return src.mapInArrow(run, schema.add("n_lines", "long").add("n_dropped", "long"))

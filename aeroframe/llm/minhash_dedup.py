@@ -4,7 +4,8 @@ A document is the set of its distinct five-word shingles (64-bit hashes of
 lower-cased words). ``BANDS * ROWS`` minima of universal hashes are its
 signature; documents that agree on all rows of a band are candidates. At the
 similarity of 0.75 a pair shares no band with probability
-(1 - 0.75**5)**40 = 2e-5, less above it.
+(1 - 0.75**5)**40 = 2e-5, and its signature's estimate falls under the least
+estimate of 0.625 with probability 3e-5; both fall fast above it.
 
 Documents with equal sets are one class, represented by its smallest id.
 Inside a band's bucket no pairs are listed at first: every member is compared
@@ -31,15 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import materialise, slices, tidy
+from .common import even_join, materialise, own_key, slices, tidy
 
 SHINGLE = 5
 ROWS, BANDS = 5, 40
 PER_CENT = 75
 #: Least share of equal minima for a pair to be read in full: 0.75 less four standard errors of 200 minima.
 LEAST_ESTIMATE = 0.625
-#: Keys of rows without an id start here.
-OWN = 2**62
 #: Single documents of a bucket are compared pair by pair up to this number, beyond it by blocks of BLOCK.
 FEW, BLOCK = 12, 512
 #: Ids that are broadcast at most (8 MB of them); longer lists are shuffled.
@@ -111,11 +110,6 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHING
     return _narrow(docs, id_col, text_col).mapInArrow(run, "id long, void boolean, n_shingles long, cls binary, sig binary")
 
 
-def own_key(*cols):
-    """A key for a row that has no id of its own: a digest of the columns in the upper half of the ids."""
-    return F.lit(OWN) + F.xxhash64(*cols).bitwiseAND(F.lit(OWN - 1))
-
-
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     return docs.select(F.coalesce(key, own_key(text)).alias("id"), text.alias("text"), key.isNull().alias("void"))
@@ -139,7 +133,7 @@ def similar_signatures(pairs: DataFrame, sigs: DataFrame, least: float) -> DataF
             yield x.select(["a", "b"]).filter(pa.array((sa == sb).mean(axis=1) >= least))
 
     sigs = materialise(only(sigs, pairs.select(F.explode(F.array("a", "b")).alias("id"))))
-    both = pairs.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
+    both = even_join(pairs, sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), ["a"], ["b"]).join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -175,7 +169,7 @@ def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
             ok = [alike(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), per_cent) for p, q in zip(*sets_)]
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
+    both = even_join(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), ["a"], ["b"]).join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -202,13 +196,14 @@ def _links_of_blocks(tied: DataFrame, crowds: DataFrame, members: DataFrame, doc
     crowd = crowds.select(F.lit(1).alias("kind"), F.col("band").alias("key"), F.col("id").alias("comp"), "id")
     left, right = (x.select("kind", "key", "comp", "id").unionByName(crowd) for x in (left_a, right_a))
     blocks = lambda x, n: x.groupBy("kind", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(n))
-    cells = materialise(blocks(left, "l").join(blocks(right, "r"), ["kind", "key"]))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     upper = "kind = 0 OR lb <= rb"
     cols = ["kind", "key", "lb", "rb", "comp", "id", "sig", "shingles"]
-    x = left.join(cells, ["kind", "key"]).withColumn("lb", block("l")).withColumn("rb", every("r")).where(upper).join(rich, ["comp", "id"]).select(*[F.col(c).alias(c) for c in cols])
-    y = right.join(cells, ["kind", "key"]).withColumn("rb", block("r")).withColumn("lb", every("l")).where(upper).join(rich, ["comp", "id"]).select(*[F.col(c).alias(c) for c in cols])
+    left, right = materialise(left), materialise(right)
+    cells = materialise(blocks(left, "l").join(blocks(right, "r"), ["kind", "key"]))
+    x = even_join(left, cells, ["kind", "key"], ["id"]).withColumn("lb", block("l")).withColumn("rb", every("r")).where(upper).join(rich, ["comp", "id"]).select(*[F.col(c).alias(c) for c in cols])
+    y = even_join(right, cells, ["kind", "key"], ["id"]).withColumn("rb", block("r")).withColumn("lb", every("l")).where(upper).join(rich, ["comp", "id"]).select(*[F.col(c).alias(c) for c in cols])
 
     def cell(x, y):
         import pandas as pd
@@ -240,15 +235,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, n_shingles, component_id, kept."""
     sigs = materialise(signatures(docs, id_col, text_col, shingle, rows * bands))
     classes = sigs.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"))
-    members = materialise(sigs.select("id", "void", "n_shingles", "cls").join(classes, "cls", "left").select("id", "void", "n_shingles", F.coalesce("rep", "id").alias("rep"), F.col("rep").isNotNull().alias("any")))
+    narrow = sigs.select("id", "void", "n_shingles", "cls")
+    members = materialise(even_join(narrow, classes, ["cls"], ["id"], "left").select("id", "void", "n_shingles", F.coalesce("rep", "id").alias("rep"), F.col("rep").isNotNull().alias("any")))
     # An id whose rows have different sets ties their classes together.
-    torn = members.groupBy("id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1).select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a <> b")
+    torn = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("id", "a")
+    torn = members.select("id", F.col("rep").alias("b")).distinct().join(torn, "id").where("a <> b").select("a", "b")
 
     reps = materialise(sigs.where("cls IS NOT NULL").join(classes.select("cls", F.col("rep").alias("id")), ["cls", "id"], "left_semi").dropDuplicates(["cls", "id"]).select("id", "sig"))
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(F.substring(F.col("sig"), k * (4 * rows) + 1, F.lit(4 * rows)), k))
-    in_band = reps.select("id", F.explode(band).alias("band"))
+    in_band = materialise(reps.select("id", F.explode(band).alias("band")))
     shared = in_band.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    in_band = materialise(in_band.join(shared, "band").select("band", "id", "lo"))
+    in_band = materialise(even_join(in_band, shared, ["band"], ["id"]).select("band", "id", "lo"))
 
     # Every member against its bucket's hub.
     pairs = materialise(in_band.where("id > lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct())
@@ -258,10 +255,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = materialise(in_band.join(stars, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp")).distinct())
     sizes = spread.select("comp", "id").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
     open_bands = spread.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    spread = materialise(spread.join(open_bands, "band", "left_semi").join(sizes, "comp").select("band", "id", "comp", "n"))
+    spread = materialise(even_join(spread, open_bands, ["band"], ["id"], "left_semi"))
+    spread = materialise(even_join(spread, sizes, ["comp"], ["id", "band"]).select("band", "id", "comp", "n"))
     # Single documents: pair by pair where a bucket has few, else by blocks.
     singles = spread.where("n = 1").select("band", "id")
-    singles = materialise(singles.join(singles.groupBy("band").agg(F.count(F.lit(1)).alias("s")), "band").where("s > 1"))
+    singles = materialise(even_join(singles, singles.groupBy("band").agg(F.count(F.lit(1)).alias("s")), ["band"], ["id"]).where("s > 1"))
     few = singles.where(F.col("s") <= FEW)
     few = few.select("band", F.col("id").alias("a")).join(few.select("band", F.col("id").alias("b")), "band").where("a < b").select("a", "b").distinct()
     few = _links_of_pairs(materialise(few.join(pairs, ["a", "b"], "left_anti")), docs, reps, id_col, text_col, shingle, per_cent)
@@ -272,17 +270,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tied = parts.where("n > 1").join(others, "band").where((F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("comp") < F.col("comp_b"))))
     tied = materialise(tied.select(F.col("comp").alias("big"), F.col("comp_b").alias("small")).distinct())
     listed = tied.select(F.explode(F.array("big", "small")).alias("comp")).unionByName(crowds.select(F.col("id").alias("comp"))).distinct()
-    listed = materialise(spread.select("comp", "id").distinct().join(listed, "comp", "left_semi"))
+    listed = materialise(even_join(materialise(spread.select("comp", "id").distinct()), listed, ["comp"], ["id"], "left_semi"))
     many = _links_of_blocks(tied, crowds, listed, docs, reps, id_col, text_col, shingle, per_cent)
     star_links = stars.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
     comp = connected_components(star_links.unionByName(few).unionByName(many))
 
-    out = members.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("comp", F.when(F.col("any"), F.coalesce("component", "rep")).otherwise(F.col("id")))
+    out = even_join(members, comp.select(F.col("id").alias("rep"), "component"), ["rep"], ["id"], "left").withColumn("comp", F.when(F.col("any"), F.coalesce("component", "rep")).otherwise(F.col("id")))
     # A group led by a row without an id has none either.
     own = members.groupBy("id").agg(F.bool_and("void").alias("void")).where("void").select(F.col("id").alias("comp"), F.lit(True).alias("own"))
     own = materialise(own)
     if not own.isEmpty():
-        out = out.join(own, "comp", "left")
+        out = even_join(out, own, ["comp"], ["id"], "left")
     else:
         out = out.withColumn("own", F.lit(None).cast("boolean"))
     return out.select(F.when(~F.col("void"), F.col("id")).alias(id_col), "n_shingles", F.when(F.col("own").isNull(), F.col("comp")).alias("component_id"), (F.col("id") == F.col("comp")).alias("kept"))

@@ -4,8 +4,11 @@ Personal data and secrets are found by one pattern, and every distinct entity
 gets one keyed surrogate of its kind: e-mail addresses keep the shape of their
 local part and get a reserved domain, phone numbers and cards keep their
 punctuation and digit count (cards also a right check digit), network addresses
-stay network addresses, secrets keep their alphabet and prefix, names keep title,
-gender, script and number of words. An entity is compared in a canonical form
+stay network addresses (of private or documentation ranges), account numbers get
+right check digits, international phone numbers keep their country code, secrets
+keep their alphabet and prefix, names keep title, gender, script and number of
+words. A name's gender is its title's or given name's; mentions that tell none are
+the one that others of the same name tell, if those agree. An entity is compared in a canonical form
 (lower case, digits alone, name without its title), so all its mentions, however
 written, get the same surrogate, in capitals where a name or hexadecimal secret is
 written so.
@@ -18,18 +21,23 @@ digit (all else; IPv4 addresses turn into IPv6 ones) in each further draw.
 
 Texts are joined to their replacements by a digest of the text, one row per
 distinct text with entities; a text is rebuilt from the pieces between mentions.
+Texts that a bounded sample shows to be frequent (empty ones, say) are dealt to
+all tasks by a hash of their other columns.
 
 Defined results: null text stays null and has no entities; a repeated row or text
-gets the same replacements; an empty table gives an empty table; input columns
-named like an output are replaced, all others are kept.
+gets the same replacements; a very long text is one row, searched in its task; an
+empty table gives an empty table; input columns named like an output, in any case,
+are replaced, all others are kept.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import even_join, frequent_values, materialise
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"
 #: What introduces a secret, in any case, after a word's start or _ (db_password, API_KEY, "Password": ).
@@ -79,9 +87,10 @@ SECRET_PREFIX = rf"^(?:{SECRET_HEAD}|AKIA|ASIA)"
 NAME_PREFIX = rf"^{NAME_HEAD}"
 #: Hexadecimal secrets agree in either case.
 UPPER_HEX = r"^(?=.*[A-F])[0-9A-F]{16,}$"
-MAX_DRAWS = 60
 #: From this draw on a surrogate is longer by a syllable or digit each draw, so the space grows past any number of entities.
 GROW = 8
+#: Rows of the sample that looks for frequent texts.
+SAMPLE_ROWS = 20_000
 
 
 def kind_of(entity):
@@ -109,11 +118,12 @@ def _ipv6_groups(text: str) -> str:
 def canonical(kind, entity):
     """The form in which mentions of one entity agree."""
     core = F.substring(entity, F.length(prefix_of(kind, entity)) + 1, F.length(entity))
-    male, female = (F.regexp_like(entity, F.lit(rf"^(?:{_any(t + k)})(?![\p{{L}}\p{{N}}])")) for t, k in ((TITLES_M + ("M.",), KNOWN_M), (TITLES_F, KNOWN_F)))
-    gender = F.when(male, "m:").when(female, "f:").otherwise("n:")
+    starts = lambda c, words: F.regexp_like(c, F.lit(rf"^(?:{_any(words)})(?![\p{{L}}\p{{N}}])"))
+    gender = F.when(starts(entity, TITLES_M + ("M.",)), "m:").when(starts(entity, TITLES_F), "f:").when(starts(core, KNOWN_M), "m:").when(starts(core, KNOWN_F), "f:").otherwise("n:")
     return (
         F.when(kind == "email", F.lower(core))
-        .when(kind.isin("card", "phone", "ssn"), F.regexp_replace(core, r"\D", ""))
+        .when(kind == "phone", F.concat(F.when(F.startswith(core, F.lit("+")), "+").otherwise(""), F.regexp_replace(core, r"\D", "")))
+        .when(kind.isin("card", "ssn"), F.regexp_replace(core, r"\D", ""))
         .when(kind == "iban", F.regexp_replace(core, " ", ""))
         .when(kind == "name", F.concat(gender, F.initcap(core)))
         .when(kind == "ipv6", F.expr(_ipv6_groups("entity")))
@@ -122,6 +132,10 @@ def canonical(kind, entity):
     )
 
 
+#: What a phone number keeps: its country code (of one, two or three digits, as the numbering plan has it) or its leading 0.
+PHONE_KEPT = "^(?:[+](?:[17]|2[07]|3[0-469]|4[^2]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})|0)"
+
+
 #: A keyed number for place i; `h` is the SHA-256 of key, kind, entity and draw.
 def _at(h: str, i: str) -> str:
     return f"pmod(xxhash64({h}, {i}), 1048576)"
@@ -150,6 +164,13 @@ def _luhn(digits: str) -> str:
     return f"concat({body}, cast((10 - {total} % 10) % 10 AS string))"
 
 
+def _iban(country: str, account: str) -> str:
+    """Country, the two check digits that make the number 1 modulo 97, and account."""
+    rest = f"""aggregate(split(concat({account}, {country}, '00'), ''), 0, (a, c) -> CASE WHEN c RLIKE '[0-9]' THEN (a * 10 + cast(c AS int)) % 97
+        WHEN c RLIKE '[A-Z]' THEN (a * 100 + ascii(c) - 55) % 97 ELSE a END)"""
+    return f"concat({country}, lpad(cast(98 - {rest} AS string), 2, '0'), {account})"
+
+
 def _pick(words: tuple, h: str, i: str) -> str:
     items = ", ".join("'" + w + "'" for w in words)
     return f"element_at(array({items}), cast({_at(h, i)} % {len(words)} AS int) + 1)"
@@ -182,13 +203,13 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
     out = f"""CASE kind
         WHEN 'email' THEN concat({_shape("split(canon, '@')[0]", 'h')}, {more}, '@', {domain})
         WHEN 'card' THEN {_luhn(f"concat({_digits('canon', 'h')}, {more})")}
-        WHEN 'phone' THEN concat({_digits('canon', 'h')}, {more})
+        WHEN 'phone' THEN concat(regexp_extract(canon, '{PHONE_KEPT}', 0), {_digits("substring(canon, length(regexp_extract(canon, '" + PHONE_KEPT + "', 0)) + 1)", 'h')}, {more})
         WHEN 'ssn' THEN concat({_digits('canon', 'h')}, {more})
-        WHEN 'ip' THEN CASE WHEN draw < {GROW} THEN concat_ws('.', 1 + {_at('h', '0')} % 223, {_at('h', '1')} % 256, {_at('h', '2')} % 256, 1 + {_at('h', '3')} % 254)
+        WHEN 'ip' THEN CASE WHEN draw < {GROW} THEN concat_ws('.', 10, {_at('h', '1')} % 256, {_at('h', '2')} % 256, 1 + {_at('h', '3')} % 254)
             ELSE concat('2001:db8:4:', array_join(transform(sequence(0, 4), i -> lower(hex({_at('h', 'i')} % 65536))), ':')) END
         WHEN 'ipv6' THEN concat('2001:db8:6:', array_join(transform(sequence(0, 4), i -> lower(hex({_at('h', 'i')} % 65536))), ':'))
         WHEN 'name' THEN concat(left(canon, 2), {_name('h')})
-        WHEN 'iban' THEN concat(left(canon, 2), {_shape('substring(canon, 3)', 'h')}, {more})
+        WHEN 'iban' THEN {_iban('left(canon, 2)', f"concat({_shape('substring(canon, 5)', 'h')}, {more})")}
         ELSE concat({_shape('canon', 'h')}, {more}) END"""
     return with_key.withColumn("surrogate", F.expr(out)).drop("h")
 
@@ -197,7 +218,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """Distinct (kind, canon) to (kind, canon, surrogate), one to one and apart from all real entities."""
     taken, todo, done = materialise(entities.select("kind", "canon")), None, None
     todo = taken.withColumn("draw", F.lit(0))
-    for draw in range(MAX_DRAWS):
+    for draw in count():
         now = drawn(todo, key)
         others = taken.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("real"))
         if done is not None:
@@ -210,13 +231,19 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         todo = judged.where("NOT ok").select("kind", "canon", F.lit(draw + 1).alias("draw"))
         if todo.isEmpty():
             return done
-    raise RuntimeError(f"no free surrogates after {MAX_DRAWS} draws")
+
+
+def told_names(names: DataFrame) -> DataFrame:
+    """(canon, told): names of untold gender and the one form of told gender that other mentions of the name agree on."""
+    by_name = names.select(F.substring("canon", 3, 1 << 30).alias("name"), F.left("canon", F.lit(2)).alias("g"))
+    by_name = by_name.groupBy("name").agg(*[F.bool_or(F.col("g") == f"{g}:").alias(g) for g in "mfn"]).where("n AND m <> f")
+    return by_name.select(F.concat(F.lit("n:"), "name").alias("canon"), F.concat(F.when(F.col("m"), "m:").otherwise("f:"), "name").alias("told"))
 
 
 def rendered():
     """The surrogate in the mention's own format: prefix, punctuation, title."""
     filled = """aggregate(split(entity, ''), named_struct('out', '', 'n', 0), (a, c) -> CASE WHEN c RLIKE '[0-9]'
-        THEN named_struct('out', concat(a.out, substring(surrogate, a.n + 1, 1)), 'n', a.n + 1) ELSE named_struct('out', concat(a.out, c), 'n', a.n) END, a -> concat(a.out, substring(surrogate, a.n + 1)))"""
+        THEN named_struct('out', concat(a.out, substring(digits, a.n + 1, 1)), 'n', a.n + 1) ELSE named_struct('out', concat(a.out, c), 'n', a.n) END, a -> concat(a.out, substring(digits, a.n + 1)))""".replace("digits", "ltrim('+', surrogate)")
     spaced = """aggregate(split(entity, ''), named_struct('out', '', 'n', 0), (a, c) -> CASE WHEN c <> ' '
         THEN named_struct('out', concat(a.out, substring(surrogate, a.n + 1, 1)), 'n', a.n + 1) ELSE named_struct('out', concat(a.out, c), 'n', a.n) END, a -> concat(a.out, substring(surrogate, a.n + 1)))"""
     return F.expr(f"""CASE WHEN kind IN ('card', 'phone', 'ssn') THEN {filled} WHEN kind = 'iban' THEN {spaced}
@@ -227,18 +254,32 @@ def rendered():
 
 def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The input's columns with ``text_col`` rewritten, plus n_entities."""
-    kept = [c for c in docs.columns if c != "n_entities"]
+    docs = docs.drop("n_entities")
+    kept = docs.columns
     text = F.col(text_col).cast("string")
-    found = docs.select(F.md5(F.encode(text, "UTF-8")).alias("digest"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("found")).where(F.size("found") > 0)
+    digest = F.md5(F.encode(text, "UTF-8"))
+    found = docs.select(digest.alias("digest"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("found")).where(F.size("found") > 0)
     found = found.groupBy("digest").agg(F.first("found").alias("found"))
     mentions = found.select("digest", F.posexplode("found").alias("pos", "entity")).withColumn("kind", kind_of(F.col("entity")))
     mentions = materialise(mentions.withColumns({"prefix": prefix_of(F.col("kind"), F.col("entity")), "canon": canonical(F.col("kind"), F.col("entity"))}))
-    table = materialise(surrogates(mentions.select("kind", "canon").distinct(), key))
-    new = mentions.withColumn("core", F.expr("substring(entity, length(prefix) + 1)")).join(table, ["kind", "canon"]).withColumn("new", rendered())
+    entities = materialise(mentions.select("kind", "canon").distinct())
+    told = materialise(told_names(entities.where("kind = 'name'")))
+    untold = told.select(F.lit("name").alias("kind"), "canon")
+    table = materialise(surrogates(entities.join(untold, ["kind", "canon"], "left_anti"), key))
+    names = table.where("kind = 'name'").select(F.col("canon").alias("told"), "surrogate")
+    table = table.unionByName(told.join(names, "told").select(F.lit("name").alias("kind"), "canon", "surrogate"))
+    core = mentions.withColumn("core", F.expr("substring(entity, length(prefix) + 1)"))
+    new = even_join(core, table, ["kind", "canon"], ["digest", "pos"]).withColumn("new", rendered())
     per_text = materialise(new.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("__pii_new")))
-    src = docs.select(*kept).withColumn("__pii", F.md5(F.encode(text, "UTF-8")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = frequent_values(docs, F.coalesce(digest, F.lit("")), parts, SAMPLE_ROWS)
+    others = [c for c, kind in docs.dtypes if c.lower() != text_col.lower() and kind in ("bigint", "int", "string", "double", "date", "timestamp")]
+    is_hot = lambda c: F.coalesce(c, F.lit("")).isin(hot) if hot else F.lit(False)
+    src = docs.withColumn("__pii", digest).withColumn("__salt", F.when(is_hot(F.col("__pii")), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0).cast("long"), F.lit(parts))).otherwise(0))
+    salts = F.when(is_hot(F.col("__pii")), F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    per_text = per_text.withColumnRenamed("digest", "__pii").withColumn("__salt", F.explode(salts))
     # Replacements grow with the texts: joined by a shuffle at every size.
-    both = src.join(per_text.withColumnRenamed("digest", "__pii").hint("merge"), "__pii", "left")
+    both = src.join(per_text.hint("merge"), ["__pii", "__salt"], "left")
     pieces = F.split(text, ENTITY, -1)
     joined = F.concat_ws("", F.flatten(F.zip_with(pieces, F.col("__pii_new.new"), lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))))
     return both.withColumn(text_col, F.when(F.col("__pii_new").isNotNull(), joined).otherwise(text)).select(*kept, F.coalesce(F.size("__pii_new"), F.lit(0)).cast("long").alias("n_entities")).withColumn("n_entities", F.greatest("n_entities", F.lit(0).cast("long")))

@@ -16,7 +16,8 @@ run over distinct (order + 1)-grams, not over positions.
 Defined results: a null url or one without ``://`` has empty host and path and
 no rule; without accepted or without rejected URLs to learn from every URL that
 no rule decides is allowed (there is no ratio); an empty table gives an empty
-table; repeated ids stay as they are.
+table; repeated and null ids stay as they are; a very long url is one row whose
+grams are spread; columns other than id and url play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise
+from .common import LEAST_HOT, ascii_lower, materialise
 
 #: (verdict, host, path)
 RULES = (
@@ -38,6 +39,8 @@ ORDER = 4
 #: Characters that pad a URL's start and mark its end.
 START, END = "\u0002", "\u0003"
 ALPHABET = 256.0
+#: Contexts of one character that are broadcast at most; Unicode has a tenth more.
+BROADCAST_ROWS = 1_000_000
 
 
 def after_scheme(url):
@@ -83,14 +86,19 @@ def model(counts: DataFrame, order: int) -> DataFrame:
 def gram_scores(wanted: DataFrame, lm: DataFrame, order: int) -> DataFrame:
     """(gram) to (gram, ratio): log P_accepted - log P_rejected of its last character.
 
-    Every gram looks up its suffixes and their contexts in one join."""
+    Every gram looks up its suffixes and their contexts. Those of one character at
+    most are asked for by all grams; there are no more of them than characters, and
+    as many as ``BROADCAST_ROWS`` are broadcast. The others are one join."""
     look = F.expr(
         f"""concat(
           transform(sequence(0, {order}), k -> named_struct('k', k, 's', right(gram, k + 1), 'ctx', false)),
           transform(sequence(0, {order}), k -> named_struct('k', k, 's', left(right(gram, k + 1), k), 'ctx', true)))"""
     )
     rows = wanted.select("gram", F.explode(look).alias("q")).select("gram", "q.k", "q.s", "q.ctx")
-    hits = rows.join(lm, "s", "left").na.fill(0, ["n_a", "n_r", "c_a", "c_r", "t_a", "t_r"])
+    lm = materialise(lm)
+    short = lm.where("length(s) <= 1")
+    short = F.broadcast(short) if short.count() <= BROADCAST_ROWS else short
+    hits = rows.where("length(s) <= 1").join(short, "s", "left").unionByName(rows.where("length(s) > 1").join(lm.where("length(s) > 1"), "s", "left")).na.fill(0, ["n_a", "n_r", "c_a", "c_r", "t_a", "t_r"])
     aggs = []
     for k in range(order + 1):
         for c, ctx in (("n_a", False), ("n_r", False), ("c_a", True), ("c_r", True), ("t_a", True), ("t_r", True)):
@@ -121,7 +129,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     lm = model(learn.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), order)
 
     judged = urls.where("fold IS NULL OR fold = 0").select("text", "by_rule", "n", F.explode(grams(F.col("text"), order)).alias("gram"))
-    ratios = gram_scores(judged.select("gram").distinct(), lm, order)
+    ratios = gram_scores(materialise(judged.select("gram").distinct()), lm, order)
     per_url = judged.groupBy("text", "by_rule", "gram").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("times"))
     scored = per_url.join(ratios, "gram").groupBy("text", "by_rule").agg((F.sum(F.col("ratio") * F.col("times")) / F.sum("times")).alias("score"), F.first("n").alias("n"))
     scored = materialise(scored)
@@ -135,5 +143,14 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     open_urls = scored.where("by_rule IS NULL").select("text", F.col("score"))
     by_method = F.when(F.col("score") < threshold, F.lit("block")).otherwise(F.lit("allow"))
     decided = rows.where("by_rule IS NOT NULL").select("page_id", "host", "path", "rule", F.col("by_rule").alias("verdict"), F.lit(None).cast("double").alias("score"))
-    rest = rows.where("by_rule IS NULL").join(open_urls, "text", "left").select("page_id", "host", "path", "rule", by_method.alias("verdict"), "score")
+    # Urls of very many pages, at most twice as many as partitions, are broadcast.
+    undecided, parts = rows.where("by_rule IS NULL"), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = scored.where("by_rule IS NULL").agg(F.sum("n")).first()[0] or 0
+    share = max(LEAST_HOT, total // (2 * parts))
+    often = materialise(scored.where("by_rule IS NULL").where(F.col("n") > share).select("text", "score"))
+    if total > share and not often.isEmpty():
+        rest = undecided.join(F.broadcast(often), "text").unionByName(undecided.join(F.broadcast(often), "text", "left_anti").join(open_urls, "text", "left"))
+    else:
+        rest = undecided.join(open_urls, "text", "left")
+    rest = rest.select("page_id", "host", "path", "rule", by_method.alias("verdict"), "score")
     return decided.unionByName(rest).withColumnRenamed("page_id", id_col)
