@@ -4,6 +4,13 @@ Language ID drops what it rejects, line dedup rewrites texts, near-dedup keeps
 one document of each group, mixing repeats or drops documents to its sources'
 targets, and BPE encodes what is left. Every stage but the last returns the
 columns of ``documents``.
+
+Defined results: null, empty and letterless texts are rejected by the first stage;
+rows without an id, and rows that repeat an id with another text, are documents of
+their own in near-dedup and are never merged by their id; rows that repeat id and
+text are one document, of which the first in the order of the other columns stays;
+a very long text goes through whole; columns beyond those of ``documents`` are kept
+up to the last stage, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aeroframe.llm import bpe, language_id, line_dedup, minhash_dedup, mixing
-from aeroframe.llm.common import materialise
+from aeroframe.llm.common import even_join, materialise, own_key, scratch, shared_dir
 
 
 def language_stage(spark, docs, sf_dir):
@@ -27,11 +34,14 @@ def line_stage(spark, docs, sf_dir):
 
 def near_stage(spark, docs, sf_dir):
     """Rows of one id and different texts are documents of their own, the first text under its id; so are rows without an id."""
-    digest, own = F.md5(F.encode("text", "UTF-8")), minhash_dedup.own_key("doc_id", "text")
+    digest, own = F.md5(F.encode("text", "UTF-8")), own_key("doc_id", "text")
     torn = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.coalesce(digest, F.lit(""))).alias("__first"), F.max(F.coalesce(digest, F.lit(""))).alias("__last"))
     torn = materialise(torn.where("__first <> __last").select("doc_id", "__first"))
     n = torn.count()
-    keyed = docs.join(F.broadcast(torn) if n <= minhash_dedup.BROADCAST_IDS else torn, "doc_id", "left") if n else docs.withColumn("__first", F.lit(None).cast("string"))
+    if n:
+        keyed = docs.join(F.broadcast(torn), "doc_id", "left") if n <= minhash_dedup.BROADCAST_IDS else even_join(docs, torn, ["doc_id"], ["text"], "left")
+    else:
+        keyed = docs.withColumn("__first", F.lit(None).cast("string"))
     first = F.col("__first").isNull() | (F.col("__first") == F.coalesce(digest, F.lit("")))
     keyed = keyed.withColumn("__key", F.coalesce(F.when(first, F.col("doc_id").cast("long")), own)).drop("__first")
     stay = minhash_dedup.near_duplicates(keyed, "__key").where("kept").select("__key").distinct()
@@ -61,9 +71,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """All stages over ``documents``; what a stage wrote on its way is deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = materialise(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        kept = shared_dir(spark)
+        with scratch(spark):
+            docs = materialise(stage(spark, docs, sf_dir), kept)
+    return STAGES[-1][1](spark, docs, sf_dir)
