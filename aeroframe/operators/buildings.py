@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import compass
+from ..functions.grids import roof_height, to_local
+from ..functions.vectors import norm
 from ..session import materialise
 from . import kernels
 from .components import grid_components
 from .gates import first_reason
+from .mesh import ridge_points, ring_edges, wall_quads
 from .raster import binary_opening, curvature, dilate, disk_filter, roughness
 
 # Extraction defaults.
@@ -130,6 +133,55 @@ def roof_meshes(buildings: DataFrame, key: str = "component") -> DataFrame:
     return buildings.select(key, "ring", "kind", "params").mapInPandas(run, f"{key} long, grp int, k int, " + ", ".join(f"{c}{n} double" for n in range(3) for c in "xyz"))
 
 
+PARAMETERS = ("c", "a", "b", "zr", "s", "v0", "u0")
+
+
+def regular_buildings(cells: DataFrame, grid: DataFrame, xmin: float, ymax: float, gsd: float, key: str = "component") -> DataFrame:
+    """Whole buildings: key, ring (map metres), shape, iou, angle, ox, oy, corners (of the ring in the roof's frame, ridge ends put in), kind, params, residual, base_z, ground_z, eave_m, ridge_m, area_m2.
+
+    Cells as ``extract`` gives them; grid: row, col, dtm. Walls stand on the lowest
+    tenth of the terrain round the outline and heights count from its median. A roof
+    that would dip to within half a metre of the base is flat at the median sample."""
+    fp = footprints(cells, xmin, ymax, gsd, key)
+    mean = lambda c: F.aggregate("ring", F.lit(0.0), lambda a, p: a + p[c]) / F.size("ring")
+    fp = materialise(fp.withColumns({"ox": mean("x"), "oy": mean("y")}))
+    samples = materialise(roof_samples(cells, xmin, ymax, gsd, fp.select(key, "ox", "oy", "angle"), key=key))
+    models = roofs(samples, key).join(samples.groupBy(key).agg(F.percentile("z", 0.5).alias("mid_z")), key)
+    # Terrain in a band round the outline, under the building where there is none.
+    reach = max(1, round(1.0 / gsd))
+    steps = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if abs(i) + abs(j) <= reach]
+    own = cells.select(key, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+    near = own.select(key, F.explode(F.array(*[F.struct((F.col("row") + i).alias("row"), (F.col("col") + j).alias("col")) for i, j in steps])).alias("c")).select(key, "c.*").distinct()
+    terrain = grid.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "dtm").where("dtm IS NOT NULL")
+    band = near.join(own, [key, "row", "col"], "left_anti").join(terrain, ["row", "col"])
+    heights = lambda df, p: df.groupBy(key).agg(F.percentile("dtm", 0.1).alias(f"{p}base"), F.percentile("dtm", 0.5).alias(f"{p}ground"))
+    below = heights(own.join(terrain, ["row", "col"]), "under_").join(heights(band, ""), key, "left")
+    below = below.select(key, F.coalesce("base", "under_base").alias("base_z"), F.coalesce("ground", "under_ground").alias("ground_z"))
+    b = fp.join(models, key).join(below, key)
+    u, v = to_local(F.col("p.x"), F.col("p.y"), "ox", "oy", "angle")
+    rings = b.select(key, "kind", "params", F.posexplode("ring").alias("k", "p"), "ox", "oy", "angle").withColumns({"u": u, "v": v})
+    rings = rings.groupBy(key).agg(F.first("kind").alias("kind"), F.first("params").alias("params"), F.transform(F.sort_array(F.collect_list(F.struct("k", "u", "v"))), lambda c: F.struct(c["u"].alias("x"), c["v"].alias("y"))).alias("ring"))
+    e = ring_edges(rings, key).join(rings.select(key, F.try_element_at("params", F.lit("v0")).alias("v0"), F.try_element_at("params", F.lit("u0")).alias("u0")), key)
+    parts = [ridge_points(e.where(cond), axis, at, key) for cond, axis, at in (("v0 IS NOT NULL", "y", F.col("v0")), ("u0 IS NOT NULL", "x", F.col("u0")), ("v0 IS NULL AND u0 IS NULL", "x", F.lit(float("-inf"))))]
+    corners = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x", "y"))), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))).alias("corners"))
+    p = F.struct(*[F.try_element_at("params", F.lit(n)).alias(n) for n in PARAMETERS])
+    b = b.join(corners, key).withColumn("tops", F.transform("corners", lambda c: roof_height(F.col("kind"), c["x"], c["y"], p)))
+    dips = F.array_min("tops") <= F.col("base_z") + 0.5
+    flat = F.greatest(F.col("mid_z"), F.col("base_z") + 0.5)
+    b = b.withColumns({"kind": F.when(dips, "flat").otherwise(F.col("kind")), "params": F.when(dips, F.create_map(F.lit("c"), flat)).otherwise(F.col("params")), "tops": F.when(dips, F.transform("tops", lambda _: flat)).otherwise(F.col("tops"))})
+    area = F.abs(F.aggregate(F.sequence(F.lit(0), F.size("ring") - 1), F.lit(0.0), lambda a, i: a + F.get("ring", i)["x"] * F.get("ring", (i + 1) % F.size("ring"))["y"] - F.get("ring", (i + 1) % F.size("ring"))["x"] * F.get("ring", i)["y"])) / 2
+    return b.select(key, "ring", "shape", "iou", "angle", "ox", "oy", "corners", "tops", "kind", "params", "residual", "base_z", "ground_z", (F.array_min("tops") - F.col("ground_z")).alias("eave_m"), (F.array_max("tops") - F.col("ground_z")).alias("ridge_m"), area.alias("area_m2"))
+
+
+def building_walls(buildings: DataFrame, cell: float = 2.0, key: str = "component") -> DataFrame:
+    """Wall cells of ``regular_buildings``, in the roof's frame."""
+    n = F.size("corners")
+    e = buildings.select(key, "base_z", "corners", "tops", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    a, b = F.get("corners", F.col("k")), F.get("corners", (F.col("k") + 1) % n)
+    e = e.select(key, "k", "base_z", a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1"), F.get("tops", F.col("k")).alias("z0"), F.get("tops", (F.col("k") + 1) % n).alias("z1"))
+    return wall_quads(e.withColumn("len", norm(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))), cell, key)
+
+
 def cloud_metrics(points: DataFrame, key: str) -> DataFrame:
     """Measures of classified clouds, one row per key: heights by percentiles, hull area and perimeter, smallest rectangle.
 

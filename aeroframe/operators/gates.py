@@ -25,26 +25,26 @@ def ingest_gate(frames: DataFrame, keys: list[str], min_frames: int = 20, min_co
     return gate(m, {"min_keyframes": F.col("n") >= min_frames, "telemetry_coverage": F.col("coverage") >= min_coverage}, ["n", "coverage"], keys)
 
 
-def sfm_gate(m: DataFrame, min_ratio: float = 0.8, max_reproj: float = 1.5) -> DataFrame:
-    return gate(m, {"registered": F.col("registered_ratio") >= min_ratio, "reprojection": F.col("reproj_px") <= max_reproj}, ["registered_ratio", "reproj_px"])
+def sfm_gate(m: DataFrame, min_ratio: float = 0.8, max_reproj: float = 1.5, keys: list[str] | None = None) -> DataFrame:
+    return gate(m, {"registered": F.col("registered_ratio") >= min_ratio, "reprojection": F.col("reproj_px") <= max_reproj}, ["registered_ratio", "reproj_px"], keys)
 
 
-def georef_gate(m: DataFrame, max_rmse: float = 3.0, max_up: float = 3.0) -> DataFrame:
+def georef_gate(m: DataFrame, max_rmse: float = 3.0, max_up: float = 3.0, keys: list[str] | None = None) -> DataFrame:
     """A missing hold-out error fails; a missing up error passes."""
-    return gate(m, {"holdout_rmse": F.coalesce(F.col("rmse_holdout_m") <= max_rmse, F.lit(False)), "up_error": F.coalesce(F.col("up_error_deg") <= max_up, F.lit(True))}, ["rmse_holdout_m", "up_error_deg"])
+    return gate(m, {"holdout_rmse": F.coalesce(F.col("rmse_holdout_m") <= max_rmse, F.lit(False)), "up_error": F.coalesce(F.col("up_error_deg") <= max_up, F.lit(True))}, ["rmse_holdout_m", "up_error_deg"], keys)
 
 
-def depth_gate(m: DataFrame, min_accepted: float = 0.5, min_consistency: float = 0.5) -> DataFrame:
-    return gate(m, {"accepted": F.col("accepted_ratio") >= min_accepted, "consistency": F.col("consistency") >= min_consistency}, ["accepted_ratio", "consistency"])
+def depth_gate(m: DataFrame, min_accepted: float = 0.5, min_consistency: float = 0.5, keys: list[str] | None = None) -> DataFrame:
+    return gate(m, {"accepted": F.col("accepted_ratio") >= min_accepted, "consistency": F.col("consistency") >= min_consistency}, ["accepted_ratio", "consistency"], keys)
 
 
-def fusion_gate(m: DataFrame) -> DataFrame:
-    return gate(m, {"kept_faces": F.col("kept_face_ratio") >= 0.6, "faces": F.col("faces") > 1000}, ["kept_face_ratio", "faces"])
+def fusion_gate(m: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return gate(m, {"kept_faces": F.col("kept_face_ratio") >= 0.6, "faces": F.col("faces") > 1000}, ["kept_face_ratio", "faces"], keys)
 
 
-def products_gate(m: DataFrame) -> DataFrame:
+def products_gate(m: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Observed cells and hull share, ortho coverage (not asked where null: no ortho); a hull share under 0.3 is a warning."""
-    out = gate(m, {"observed_cells": F.col("observed_cells") >= 1000, "hull_fraction": F.col("hull_frac") >= 0.08, "ortho": F.col("ortho_frac").isNull() | (F.col("ortho_frac") > 0.5)}, ["observed_cells", "hull_frac", "ortho_frac"])
+    out = gate(m, {"observed_cells": F.col("observed_cells") >= 1000, "hull_fraction": F.col("hull_frac") >= 0.08, "ortho": F.col("ortho_frac").isNull() | (F.col("ortho_frac") > 0.5)}, ["observed_cells", "hull_frac", "ortho_frac"], keys)
     return out.withColumn("warning", F.get_json_object("metrics", "$.hull_frac").cast("double") < 0.3)
 
 

@@ -117,3 +117,17 @@ def central_windows(df: DataFrame, keys: list[str], order: list[str], size: int,
     holds = F.filter(starts, lambda s: (F.col("i") >= s) & (F.col("i") < s + size))
     best = F.array_min(F.transform(holds, lambda s: F.struct(F.abs(2 * F.col("i") - 2 * s - (F.least(F.lit(size), F.col("n")) - 1)).alias("off"), s.alias("start"))))
     return df.withColumn("window_start", best["start"]).drop("i", "n")
+
+
+def interval_counts(left: DataFrame, right: DataFrame, keys: list[str], start: str, t: str, seconds: int, id_col: str) -> DataFrame:
+    """id, n: how many right rows of its keys lie within so many seconds after each left row.
+
+    Both sides are dealt to time slots of the interval's length, a left row to two of
+    them, so the join is an equi-join on keys and slot and no key is one group."""
+    slot = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (seconds * 1_000_000))
+    far = F.expr(f"make_dt_interval(0, 0, 0, {seconds})")
+    a = left.select(*keys, id_col, F.col(start).alias("__from"), F.explode(F.array(slot(start), slot(start) + 1)).alias("__slot"))
+    b = right.select(*keys, F.col(t).alias("__t"), slot(t).alias("__slot"))
+    hit = a.join(b, [*keys, "__slot"]).where((F.col("__t") >= F.col("__from")) & (F.col("__t") < F.col("__from") + far))
+    n = hit.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    return left.select(id_col).join(n, id_col, "left").select(id_col, F.coalesce("n", F.lit(0)).alias("n"))

@@ -160,11 +160,17 @@ def ring_measures(rings: DataFrame, key: str = "ring_id") -> DataFrame:
     ).withColumn("area", F.abs("signed_area"))
 
 
+def ring_pixels(rings: DataFrame, xmin: float, ymax: float, gsd: float, key: str = "ring_id") -> DataFrame:
+    """Rings in map metres in the pixels of a raster, to a tenth: key, px (array of px, py)."""
+    place = lambda p: F.struct(F.round((p["x"] - xmin) / gsd, 1).alias("px"), F.round((F.lit(ymax) - p["y"]) / gsd, 1).alias("py"))
+    return rings.select(key, F.transform("ring", place).alias("px"))
+
+
 def counter_clockwise(ring, signed_area):
     return F.when(signed_area < 0, F.reverse(ring)).otherwise(ring)
 
 
-def ridge_points(edges: DataFrame, axis: str, at: float, key: str = "ring_id") -> DataFrame:
+def ridge_points(edges: DataFrame, axis: str, at, key: str = "ring_id") -> DataFrame:
     """Ring corners in order with the points where edges cross the ridge line put between: key, pos, x, y."""
     p, q = F.col(f"{axis}0") - at, F.col(f"{axis}1") - at
     t = p / (p - q)

@@ -146,7 +146,7 @@ def tile_kernel(df: DataFrame, kernel, halo: int, tile: int = 256, value: str =
     spread = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)))
     box_ = df.groupBy(*keys).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
     src = df.select(*keys, "row", "col", F.col(value).cast("double").alias("v")).withColumn("tr", spread("row")).withColumn("tc", spread("col"))
-    src = src.join(F.broadcast(box_), keys) if keys else src.crossJoin(box_)
+    src = src.join(box_, keys) if keys else src.crossJoin(box_)  # Spark broadcasts the boxes where they are small
     src = src.where("tr BETWEEN floor(r0 / %d) AND floor(r1 / %d) AND tc BETWEEN floor(c0 / %d) AND floor(c1 / %d)" % (tile, tile, tile, tile))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

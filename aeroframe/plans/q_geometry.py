@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import camera, geodesy, grids
@@ -218,7 +219,7 @@ def ground_filter(spark, d):
 
 @query()
 def terrain(spark, d):
-    return raster.terrain(raster.ground_filter(Views(spark, d).grid(), 2.0, 20.0), 2.0)
+    return raster.terrain(raster.ground_filter(Views(spark, d).grid(), 2.0, 20.0), 2.0).select("row", "col", F.round("dtm", 6).alias("dtm"))
 
 
 @query()
@@ -228,7 +229,9 @@ def building_extraction(spark, d):
     block = (F.floor(F.col("row") / 25) + F.floor(F.col("col") / 25)) % 2 == 0
     inner = block & (F.col("row") % 25).between(4, 20) & (F.col("col") % 25).between(4, 20)
     dtm = F.col("row") * 0.05
-    g = g.select("row", "col", (dtm + F.when(inner, F.lit(6.0)).otherwise(0.0)).alias("dsm"), dtm.alias("dtm"), F.col("value").isNotNull().alias("observed"))
+    # A block is as high as a third of its cells' mean value.
+    height = F.avg("value").over(Window.partitionBy(F.floor(F.col("row") / 25), F.floor(F.col("col") / 25))) / 3
+    g = g.select("row", "col", (dtm + F.when(inner, height).otherwise(0.0)).alias("dsm"), dtm.alias("dtm"), F.col("value").isNotNull().alias("observed"))
     found = buildings.extract(g, 1.0)
     return buildings.records(found, 1.0).join(buildings.footprints(found, 0.0, 50.0, 1.0).select("component", "shape", "iou"), "component")
 
@@ -372,21 +375,23 @@ def texture_provenance(spark, d):
 
 @query()
 def suppressed_boxes(spark, d):
-    t = Views(spark, d).table("lineitem").select((F.col("l_orderkey") % 500).alias("image"), F.col("l_returnflag").alias("label"), F.col("l_discount").alias("score"), (F.col("l_quantity")).alias("x0"), (F.col("l_tax") * 100).alias("y0"), (F.col("l_quantity") + 9).alias("x1"), (F.col("l_tax") * 100 + 7).alias("y1"))
+    t = Views(spark, d).table("lineitem").select(F.expr("l_orderkey div 16").alias("image"), F.col("l_returnflag").alias("label"), F.col("l_discount").alias("score"), (F.col("l_quantity")).alias("x0"), (F.col("l_tax") * 100).alias("y0"), (F.col("l_quantity") + 9).alias("x1"), (F.col("l_tax") * 100 + 7).alias("y1"))
     return buildings.suppress(t, ["image"])
 
 
 @query()
 def atlas_packing(spark, d):
-    t = Views(spark, d).table("part").select((F.col("p_partkey") % 10).alias("atlas"), F.col("p_partkey").alias("id"), (F.col("p_size") * 7 + 1).cast("long").alias("w"), (F.col("p_size") * 3 + 2).cast("long").alias("h"))
+    t = Views(spark, d).table("part").select(F.expr("p_partkey div 200").alias("atlas"), F.col("p_partkey").alias("id"), (F.col("p_size") * 7 + 1).cast("long").alias("w"), (F.col("p_size") * 3 + 2).cast("long").alias("h"))
     return mesh.shelf_pack(t, "atlas", 2048)
 
 
 @query()
 def roof_models(spark, d):
     s = Views(spark, d).spots()
-    roof = F.when(F.col("id") % 4 == 0, 9 - 0.4 * F.abs(F.col("y") % 20 - 10)).when(F.col("id") % 4 == 1, F.lit(7.0)).otherwise(5 + 0.2 * (F.col("x") % 20))
-    return buildings.roofs(s.select((F.col("id") % 4).alias("component"), (F.col("x") % 20).alias("u"), (F.col("y") % 20).alias("v"), roof.alias("z")))
+    s = s.withColumn("component", F.expr("id div 50"))
+    k = F.col("component") % 4
+    roof = F.when(k == 0, 9 - 0.4 * F.abs(F.col("y") % 20 - 10)).when(k == 1, F.lit(7.0)).when(k == 2, 8 - 0.3 * F.abs(F.col("x") % 20 - 9)).otherwise(5 + 0.2 * (F.col("x") % 20))
+    return buildings.roofs(s.select("component", (F.col("x") % 20).alias("u"), (F.col("y") % 20).alias("v"), roof.alias("z")))
 
 
 @query(f"""WITH t AS (SELECT row, col, value IS NULL AS hole, row%7 AS r FROM ({GRID})) SELECT row, col, cast(CASE WHEN hole AND col%3 > 0 THEN row+col ELSE r END AS bigint) AS r, hole AND col%3 > 0 AS filled FROM t""")

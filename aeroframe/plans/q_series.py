@@ -169,9 +169,9 @@ def clock_text(spark, d):
 
 @query()
 def synchronised_frames(spark, d):
-    """Telemetry fields at every frame of a clip, in one pass per field."""
+    """All telemetry fields at every frame of a clip, in one pass."""
     v = Views(spark, d)
-    s = v.samples().select("user_id", "seq", "t", *[(F.col("value") / k).alias(f) for k, f in enumerate(interpolate.SYNC_FIELDS, 1)])
+    s = v.samples().select("user_id", "seq", "t", *[(F.col("value") / (k + 0.7)).alias(f) for k, f in enumerate(interpolate.SYNC_FIELDS)])
     return interpolate.synchronise(s, v.frames().withColumn("name", F.format_string("frame_%06d", "event_id")), ["user_id"])
 
 

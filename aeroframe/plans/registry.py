@@ -21,6 +21,11 @@ def query(sql: str | None = None):
     return add
 
 
+def twin(name: str, sql: str) -> None:
+    """Gives a registered query its SQL twin."""
+    ORACLES[name] = sql
+
+
 # Points of a cloud.
 PTS = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, cast((l_partkey*37+l_linenumber*11)%1000 as double)/10 AS x,
   cast((l_orderkey*53+l_suppkey*17)%1000 as double)/10 AS y, l_extendedprice/5000 AS z FROM lineitem"""

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .config import stable_hash
 
 GATE = "stage string, passed boolean, failures array<string>, metrics string, seconds double, key string"
@@ -120,15 +121,73 @@ def products_stage(r: Runner):
     return {"spec": r.spark.createDataFrame([spec.asDict()])}, gates.products_gate(m)
 
 
+def ingest_stage(r: Runner):
+    """Telemetry (a file or folder, ``inputs.telemetry``) at the frames of a clip (``inputs.frames``: name, t): one row a frame."""
+    from ..operators import gates, interpolate
+    from ..sources.telemetry import read_telemetry
+
+    samples = read_telemetry(r.spark, r.inputs["telemetry"]).drop("source").withColumn("clip", F.lit(0))
+    frames = r.spark.read.parquet(r.inputs["frames"]).select(F.lit(0).alias("clip"), "name", "t")
+    out = materialise(interpolate.synchronise(samples, frames, ["clip"]).drop("clip"))
+    return {"frames": out}, gates.ingest_gate(out, [], r.config["ingest"]["min_keyframes"])
+
+
+def georef_stage(r: Runner):
+    """The similarity from a sparse model (tables ``images`` and ``points`` of the stage ``sfm``) to local metres about the first frame's position."""
+    from ..functions.geodesy import geodetic_to_enu, utm_epsg
+    from ..operators import estimate, gates
+    from ..operators.joins import numbered
+
+    seen = gates.usable_frames(r.table("sfm", "images"), r.table("ingest", "frames"), [])
+    first = seen.orderBy("name").select("lat", "lon", "alt", utm_epsg("lat", "lon").alias("epsg")).first()
+    enu = geodetic_to_enu("lat", "lon", "alt", first["lat"], first["lon"], first["alt"])
+    rows = numbered(seen, "name", "idx").select("idx", "name", *[F.col("centre")[i].alias(c) for i, c in enumerate("xyz")], *[v.alias(f"e{c}") for v, c in zip(enu, "xyz")], *[F.col("r_cw")[6 + i].alias(f"a{c}") for i, c in enumerate("xyz")], "gimbal_yaw", "gimbal_pitch")
+    got = estimate.solve_frame(materialise(rows), r.table("sfm", "points"), r.config["georef"])
+    row = (got["scale"], got["rotation"], got["translation"], first["lat"], first["lon"], first["alt"], first["epsg"], got["rmse_holdout_m"], got["up_error_deg"], got["orientation_prior"])
+    frame = r.spark.createDataFrame([row], "scale double, rotation array<double>, translation array<double>, lat0 double, lon0 double, alt0 double, epsg int, rmse_holdout_m double, up_error_deg double, orientation string")
+    return {"frame": frame, "residuals": got["residuals"]}, gates.georef_gate(frame)
+
+
+def fusion_stage(r: Runner):
+    """Depth pixels (table ``pixels`` of the stage ``depth``: image, row, col, z, conf, r, g, b, in the model's units) to one cloud in local metres.
+
+    Poses and depths move with the georeferenced frame; pixels that are unsure, far, coarse or grazing are left out."""
+    from ..functions.camera import unproject_pinhole
+    from ..functions.geodesy import camera_centre, pose_to_enu
+    from ..functions.vectors import mat_vec, transpose
+    from ..operators import depth, gates, visibility
+
+    c, f = r.config["fusion"], r.table("georef", "frame").first()
+    cams = r.table("sfm", "images").select("image", "fx", "fy", "cx", "cy", "r_cw", "t_cw")
+    rot, t = pose_to_enu(F.col("r_cw"), F.col("t_cw"), f["scale"], F.array(*map(F.lit, f["rotation"])), [F.lit(v) for v in f["translation"]])
+    cams = materialise(cams.withColumns({"r_cw": rot, "t_cw": t}))
+    cams = cams.withColumns(dict(zip(("cam_x", "cam_y", "cam_z"), camera_centre(F.col("r_cw"), F.col("t_cw")))))
+    pix = r.table("depth", "pixels").withColumn("z", F.col("z") * f["scale"]).join(visibility.camera_table(cams), "image")
+    pix = visibility.grazing_ok(pix, F.col("fx"), F.col("fy"), F.col("cx"), F.col("cy"))
+    fx = r.table("sfm", "images").agg(F.percentile("fx", 0.5)).first()[0]
+    kept = depth.fusion_pixels(pix, fx, c["voxel_m"], c["max_depth_m"], c["footprint"])
+    k = F.struct("fx", "fy", "cx", "cy")
+    x, y, z = unproject_pinhole(F.col("col") + 0.5, F.col("row") + 0.5, F.col("z"), k)
+    away = mat_vec(transpose(F.col("r_cw")), (x, y, z))
+    rays = kept.select(*[(v + F.col(f"cam_{a}")).alias(a) for v, a in zip(away, "xyz")], "cam_x", "cam_y", "cam_z", F.col("conf").alias("w"), *[F.col(c).cast("double").alias(c) for c in "rgb"])
+    points = materialise(depth.surface_points(depth.integrate(rays, c["voxel_m"], c["trunc_m"]), c["voxel_m"], c["least_weight"]))
+    m = points.agg(F.count(F.lit(1)).alias("points"))
+    return {"points": points}, gates.gate(m, {"points": F.col("points") >= c["min_points"]}, ["points"])
+
+
 def completion_stage(r: Runner):
-    """Height rasters to building records and footprints."""
+    """Height rasters to building records, regular buildings with roofs, and their roof and wall meshes."""
     from ..operators import buildings, gates
 
     cells, spec = r.table("products", "cells"), r.table("products", "spec").first()
     found = buildings.extract(cells, spec["gsd"], r.config["completion"])
-    rec = buildings.records(found, spec["gsd"]).join(buildings.footprints(found, spec["xmin"], spec["ymax"], spec["gsd"]), "component")
+    whole = materialise(buildings.regular_buildings(found, cells, spec["xmin"], spec["ymax"], spec["gsd"]))
+    rec = buildings.records(found, spec["gsd"]).join(whole.drop("area_m2", "tops"), "component")
+    roof = buildings.roof_meshes(whole.select("component", F.col("corners").alias("ring"), "kind", "params"))
     m = cells.agg(F.count(F.lit(1)).alias("cells"))
-    return {"buildings": rec, "cells": found}, gates.gate(m, {"grid": F.col("cells") > 0}, ["cells"])
+    return {"buildings": rec, "cells": found, "roofs": roof, "walls": buildings.building_walls(whole)}, gates.gate(m, {"grid": F.col("cells") > 0}, ["cells"])
 
 
+#: Stages whose work is analytics; ``sfm`` and ``depth`` are tables that other tools write into the run's folder, with their gate rows.
 STAGES = [Stage("products", products_stage, ["fusion"]), Stage("completion", completion_stage, ["products"])]
+SURVEY_STAGES = [Stage("ingest", ingest_stage), Stage("georef", georef_stage, ["ingest", "sfm"]), Stage("fusion", fusion_stage, ["georef", "depth"]), *STAGES]

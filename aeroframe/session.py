@@ -69,6 +69,21 @@ def register_views(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
+#: SQL functions of the session: signature and body. The optimiser sees through them, like through any expression.
+SQL_FUNCTIONS = {
+    "aero_wrap_degrees(x DOUBLE) RETURNS DOUBLE": "pmod(x + 180, 360D) - 180",
+    "aero_utm_epsg(lat DOUBLE, lon DOUBLE) RETURNS INT": "cast(CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + floor((lon + 180) / 6) + 1 AS int)",
+    "aero_compass(azimuth DOUBLE) RETURNS STRING": "element_at(array('N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'), cast(floor((pmod(azimuth, 360D) + 22.5) / 45) AS int) % 8 + 1)",
+    "aero_window_starts(n INT, size INT, stride INT) RETURNS TABLE (start INT)": "SELECT explode(array_distinct(concat(sequence(0, greatest(n - size, 0), stride), array(greatest(n - size, 0)))))",
+}
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Makes the library's scalar and table functions known to SQL text of the session."""
+    for head, body in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+
+
 _SHIPPED: set[str] = set()
 
 

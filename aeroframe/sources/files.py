@@ -148,16 +148,37 @@ def geojson_features(buildings: DataFrame, ring="ring_lonlat", properties: list[
     return buildings.select("id", F.to_json(feature).alias("feature")).orderBy("id")
 
 
+def write_text_file(lines: DataFrame, path: str) -> None:
+    """One text file of rows (pos, line) in order of pos, in any store that Spark writes to.
+
+    Tasks format and write the parts; the driver only copies their bytes, one buffer
+    at a time, and puts the file in place by rename."""
+    spark = lines.sparkSession
+    parts = f"{path}.parts"
+    lines.orderBy("pos").select(F.col("line").alias("value")).write.mode("overwrite").text(parts)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    at = lambda p: hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(conf)
+    out = fs.create(at(f"{path}.tmp"), True)
+    for name in sorted(s.getPath().toString() for s in fs.listStatus(at(parts)) if s.getPath().getName().startswith("part-")):
+        part = fs.open(at(name))
+        hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+        part.close()
+    out.close()
+    fs.delete(at(path), False)
+    fs.rename(at(f"{path}.tmp"), at(path))
+    fs.delete(at(parts), True)
+
+
 def write_geojson(buildings: DataFrame, path: str, georeferenced: bool, **kw) -> None:
-    """A feature collection, streamed to one file feature by feature."""
+    """A feature collection in one file, a feature a line."""
     head = '"crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:OGC:1.3:CRS84"}},' if georeferenced else '"note":"NOT georeferenced: local metres",'
-    tmp = f"{path}.tmp"
-    with open(tmp, "w", encoding="utf-8") as f:
-        f.write('{"type":"FeatureCollection",' + head + '"features":[')
-        for i, r in enumerate(geojson_features(buildings, **kw).toLocalIterator()):
-            f.write(("," if i else "") + r["feature"])
-        f.write("]}")
-    os.replace(tmp, path)
+    spark = buildings.sparkSession
+    f = geojson_features(buildings, **kw)
+    first = f.agg(F.min("id")).first()[0]
+    rows = f.select(F.struct(F.lit(1).alias("kind"), F.col("id").cast("long").alias("id")).alias("pos"), F.concat(F.when(F.col("id") == first, "").otherwise(","), "feature").alias("line"))
+    ends = spark.createDataFrame([((0, 0), '{"type":"FeatureCollection",' + head + '"features":['), ((2, 0), "]}")], "pos struct<kind:int,id:long>, line string")
+    write_text_file(rows.unionByName(ends), path)
 
 
 def ply_lines(points: DataFrame) -> DataFrame:
@@ -166,13 +187,10 @@ def ply_lines(points: DataFrame) -> DataFrame:
 
 
 def write_ply(points: DataFrame, path: str) -> None:
-    n = points.count()
-    tmp = f"{path}.tmp"
-    with open(tmp, "w", encoding="ascii") as f:
-        f.write(f"ply\nformat ascii 1.0\nelement vertex {n}\n" + "".join(f"property float {c}\n" for c in "xyz") + "".join(f"property uchar {c}\n" for c in ("red", "green", "blue")) + "end_header\n")
-        for r in ply_lines(points).orderBy("idx").toLocalIterator():
-            f.write(r["line"] + "\n")
-    os.replace(tmp, path)
+    """An ASCII point cloud in one file, in order of idx."""
+    head = f"ply\nformat ascii 1.0\nelement vertex {points.count()}\n" + "".join(f"property float {c}\n" for c in "xyz") + "".join(f"property uchar {c}\n" for c in ("red", "green", "blue")) + "end_header"
+    rows = ply_lines(points).select(F.col("idx").cast("long").alias("pos"), "line")
+    write_text_file(rows.unionByName(points.sparkSession.createDataFrame([(-(1 << 63), head)], "pos long, line string")), path)
 
 
 def las_fields(points: DataFrame, x0: float, y0: float, z0: float, scale: float = 0.001) -> DataFrame:
