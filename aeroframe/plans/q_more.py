@@ -410,6 +410,52 @@ def raster_file(spark, d):
     return spark.read.parquet(where).select("row", "col", "value")
 
 
+@query(f"SELECT row, col, cast(cast(value AS float) AS double) AS value, (3 + (col+0.5)*2)::double AS x, (100 - (row+0.5)*2)::double AS y FROM ({GRID})")
+def geotiff_file(spark, d):
+    from ..sources.rasters import read_geotiff, write_geotiff
+
+    where = f"{shared_dir(spark)}/surface.tif"
+    write_geotiff(Views(spark, d).grid(), where, 50, 50, 3.0, 100.0, 2.0, 32632)
+    return read_geotiff(spark, where).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value", "x", "y")
+
+
+@query(f"SELECT id, cast(round_even((x-x0)/0.001, 0) AS int) AS x, cast(round_even((y-y0)/0.001, 0) AS int) AS y, cast(r*257 AS int) AS r FROM ({SPOTS}), (SELECT min(x) AS x0, min(y) AS y0 FROM ({SPOTS}))")
+def las_file(spark, d):
+    """Records of a LAS file as they lie in it."""
+    import numpy as np
+    import pandas as pd
+
+    where = f"{shared_dir(spark)}/cloud.las"
+    s = Views(spark, d).spots().repartition(4).sortWithinPartitions("id")
+    files.write_las(s, where)
+    kinds = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("rest", "V18"), ("r", "<u2"), ("g", "<u2"), ("b", "<u2")])
+
+    def rows(batches):
+        for b in batches:
+            for content in b["content"]:
+                a = np.frombuffer(bytes(content), kinds, offset=375)
+                yield pd.DataFrame({c: a[c].astype(np.int64) for c in ("x", "y", "z", "r", "g", "b")})
+
+    got = spark.read.format("binaryFile").load(where).select("content").mapInPandas(rows, "x int, y int, z int, r int, g int, b int").select("x", "y", "z", "r").distinct()
+    lo = s.agg(*[F.min(c).alias(f"lo{c}") for c in "xyz"]).first()
+    ids = s.select("id", *[F.rint((F.col(c) - lo[f"lo{c}"]) / 0.001).cast("int").alias(c) for c in "xyz"])
+    return ids.join(got, ["x", "y", "z"]).select("id", "x", "y", "r")
+
+
+@query("SELECT l_suppkey AS image, l_linenumber AS k, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def depth_array_file(spark, d):
+    """Counts written as one depth array and read back."""
+    n = Views(spark, d).table("lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    size = n.agg(F.max("l_suppkey").alias("w"), F.max("l_linenumber").alias("h")).first()
+    w, h = size["w"] + 1, size["h"] + 1
+    dense = spark.range(w * h).select((F.col("id") % w).alias("l_suppkey"), F.floor(F.col("id") / w).cast("int").alias("l_linenumber"), F.col("id").alias("pos"))
+    rows = dense.join(n, ["l_suppkey", "l_linenumber"], "left").na.fill(0.0, ["n"]).orderBy("pos")
+    where = f"{shared_dir(spark)}/counts.bin"
+    files.write_binary_file(spark, where, [f"{w}&{h}&1&".encode(), files.packed(rows, [("n", "<f4")])])
+    got = reconstruction.read_depth_arrays(spark, where).where("depth > 0")
+    return got.select(F.col("col").cast("long").alias("image"), F.col("row").alias("k"), F.col("depth").cast("long").alias("n"))
+
+
 # twins of older queries
 twin("grazing_filter", f"""WITH g AS (SELECT row, col, 30 - coalesce(value, 30) AS z FROM ({GRID})), n AS (SELECT g.row, g.col, g.z, l.z AS zl, r.z AS zr, u.z AS zu, o.z AS zd FROM g LEFT JOIN g l ON l.row = g.row AND l.col = g.col-1 AND l.z > 0 LEFT JOIN g r ON r.row = g.row AND r.col = g.col+1 AND r.z > 0
     LEFT JOIN g u ON u.row = g.row-1 AND u.col = g.col AND u.z > 0 LEFT JOIN g o ON o.row = g.row+1 AND o.col = g.col AND o.z > 0),

@@ -170,6 +170,41 @@ def write_text_file(lines: DataFrame, path: str) -> None:
     fs.delete(at(parts), True)
 
 
+def write_binary_file(spark: SparkSession, path: str, parts: list) -> None:
+    """One binary file of parts in order: bytes, or tables of one column ``data`` whose rows tasks have packed.
+
+    The driver holds one row at a time and puts the file in place by rename, in any
+    store that Spark writes to."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    at = lambda p: hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(conf)
+    out = fs.create(at(f"{path}.tmp"), True)
+    for part in parts:
+        for data in [part] if isinstance(part, (bytes, bytearray)) else (r["data"] for r in part.toLocalIterator()):
+            out.write(bytearray(data))
+    out.close()
+    fs.delete(at(path), False)
+    fs.rename(at(f"{path}.tmp"), at(path))
+
+
+def packed(df: DataFrame, fields: list[tuple[str, str]], extra: dict | None = None) -> DataFrame:
+    """Rows as binary records, one ``data`` value a batch: (column, NumPy type) in the record's order; ``extra`` are constant fields."""
+    import numpy as np
+    import pandas as pd
+
+    extra = extra or {}
+    names = [c for c, _ in fields if c not in extra]
+
+    def run(batches):
+        for b in batches:
+            out = np.zeros(len(b), np.dtype([(c, t) for c, t in fields]))
+            for c, _ in fields:
+                out[c] = extra[c] if c in extra else b[c].to_numpy()
+            yield pd.DataFrame({"data": [out.tobytes()]})
+
+    return df.select(*names).mapInPandas(run, "data binary")
+
+
 def write_geojson(buildings: DataFrame, path: str, georeferenced: bool, **kw) -> None:
     """A feature collection in one file, a feature a line."""
     head = '"crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:OGC:1.3:CRS84"}},' if georeferenced else '"note":"NOT georeferenced: local metres",'
@@ -201,7 +236,7 @@ def las_fields(points: DataFrame, x0: float, y0: float, z0: float, scale: float
 
 
 def write_las(points: DataFrame, path: str) -> None:
-    """LAS 1.4, point format 7, streamed to one file."""
+    """LAS 1.4, point format 7, in one file. Records are packed in tasks."""
     box = points.agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))], F.count(F.lit(1)).alias("n")).first()
     off = [float(box[f"lo{c}"] or 0.0) for c in "xyz"]
     head = bytearray(375)
@@ -211,12 +246,10 @@ def write_las(points: DataFrame, path: str) -> None:
     struct.pack_into("<3d3d", head, 131, *[0.001] * 3, *off)
     struct.pack_into("<6d", head, 179, *[v for c in "xyz" for v in (float(box[f"hi{c}"] or 0.0), float(box[f"lo{c}"] or 0.0))])
     struct.pack_into("<QQ", head, 247, box["n"], box["n"])
-    tmp = f"{path}.tmp"
-    with open(tmp, "wb") as f:
-        f.write(head)
-        for r in las_fields(points, *off).toLocalIterator():
-            f.write(struct.pack("<iiiHBBBBhHdHHH", r["x"], r["y"], r["z"], 0, 0x11, 0, r["class"], 0, 0, 0, 0.0, r["r"], r["g"], r["b"]))
-    os.replace(tmp, path)
+    # The fields of a record, in order.
+    record = [("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("returns", "u1"), ("flags", "u1"), ("class", "u1"), ("user", "u1"), ("angle", "<i2"), ("source", "<u2"), ("time", "<f8"), ("r", "<u2"), ("g", "<u2"), ("b", "<u2")]
+    constant = {"intensity": 0, "returns": 0x11, "flags": 0, "user": 0, "angle": 0, "source": 0, "time": 0.0}
+    write_binary_file(points.sparkSession, path, [bytes(head), packed(las_fields(points, *off), record, constant)])
 
 
 def to_gltf(x, y, z) -> tuple:
@@ -225,26 +258,29 @@ def to_gltf(x, y, z) -> tuple:
 
 
 def write_glb(vertices: DataFrame, faces: DataFrame, path: str, extras: dict | None = None) -> None:
-    """A mesh container: vertices (vid, x, y, z), faces (v0, v1, v2); ids become positions in order of vid."""
-    vs = vertices.select("vid", *[c.alias(n) for c, n in zip(to_gltf("x", "y", "z"), "xyz")]).orderBy("vid")
-    pos, at = bytearray(), {}
-    for r in vs.toLocalIterator():
-        at[r["vid"]] = len(at)
-        pos += struct.pack("<3f", r["x"], r["y"], r["z"])
-    idx = b"".join(struct.pack("<3I", *[at[r[c]] for c in ("v0", "v1", "v2")]) for r in faces.select("v0", "v1", "v2").toLocalIterator())
-    xyz = [struct.unpack_from("<3f", pos, 12 * i) for i in range(len(at))]
+    """A mesh container: vertices (vid, x, y, z), faces (v0, v1, v2); ids become positions in order of vid.
+
+    Positions are numbered, joined to the faces and packed in tasks."""
+    from ..operators.joins import numbered
+    from ..session import materialise
+
+    v = materialise(numbered(vertices.select("vid", *[c.alias(n) for c, n in zip(to_gltf("x", "y", "z"), "xyz")]), "vid", "i"))
+    f = faces.select("v0", "v1", "v2")
+    for c in ("v0", "v1", "v2"):
+        f = f.join(v.select(F.col("vid").alias(c), (F.col("i") - 1).alias(f"i{c}")), c)
+    f = materialise(f.select("iv0", "iv1", "iv2"))
+    box = v.agg(F.count(F.lit(1)).alias("n"), *[g(c).alias(f"{k}{c}") for c in "xyz" for k, g in (("lo", F.min), ("hi", F.max))]).first()
+    n, m = box["n"], f.count()
     doc = {
         "asset": {"version": "2.0", "extras": extras or {}}, "scene": 0, "scenes": [{"nodes": [0]}], "nodes": [{"mesh": 0}], "meshes": [{"primitives": [{"attributes": {"POSITION": 0}, "indices": 1}]}],
-        "buffers": [{"byteLength": len(pos) + len(idx)}], "bufferViews": [{"buffer": 0, "byteOffset": 0, "byteLength": len(pos)}, {"buffer": 0, "byteOffset": len(pos), "byteLength": len(idx)}],
-        "accessors": [{"bufferView": 0, "componentType": 5126, "count": len(at), "type": "VEC3", "min": [min(c) for c in zip(*xyz)], "max": [max(c) for c in zip(*xyz)]}, {"bufferView": 1, "componentType": 5125, "count": len(idx) // 4, "type": "SCALAR"}],
+        "buffers": [{"byteLength": 12 * (n + m)}], "bufferViews": [{"buffer": 0, "byteOffset": 0, "byteLength": 12 * n}, {"buffer": 0, "byteOffset": 12 * n, "byteLength": 12 * m}],
+        "accessors": [{"bufferView": 0, "componentType": 5126, "count": n, "type": "VEC3", "min": [box[f"lo{c}"] for c in "xyz"], "max": [box[f"hi{c}"] for c in "xyz"]}, {"bufferView": 1, "componentType": 5125, "count": 3 * m, "type": "SCALAR"}],
     }
     text = json.dumps(doc).encode()
     text += b" " * (-len(text) % 4)
-    data = bytes(pos) + idx
-    tmp = f"{path}.tmp"
-    with open(tmp, "wb") as f:
-        f.write(struct.pack("<4sIIII", b"glTF", 2, 28 + len(text) + len(data), len(text), 0x4E4F534A) + text + struct.pack("<II", len(data), 0x004E4942) + data)
-    os.replace(tmp, path)
+    size = 12 * (n + m)
+    head = struct.pack("<4sIIII", b"glTF", 2, 28 + len(text) + size, len(text), 0x4E4F534A) + text + struct.pack("<II", size, 0x004E4942)
+    write_binary_file(vertices.sparkSession, path, [head, packed(v.orderBy("i"), [(c, "<f4") for c in "xyz"]), packed(f, [(c, "<u4") for c in ("iv0", "iv1", "iv2")])])
 
 
 def transform_obj(spark: SparkSession, path: str, scale: float, rotation, translation) -> DataFrame:
@@ -264,5 +300,5 @@ def transform_points(points: DataFrame, scale: float, rotation, translation) ->
 
 
 def write_raster(cells: DataFrame, path: str, nodata: float = -9999.0) -> None:
-    """A raster as a table of cells, in row order by file; null becomes nodata. The engine's raster form is Parquet."""
+    """A raster as a table of cells, in row order by file; null becomes nodata. ``rasters.write_geotiff`` makes one image file."""
     cells.withColumn("value", F.coalesce("value", F.lit(nodata)).cast("float")).repartitionByRange("row").sortWithinPartitions("row", "col").write.mode("overwrite").parquet(path)

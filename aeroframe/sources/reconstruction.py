@@ -9,7 +9,6 @@ import struct
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.camera import quaternion_matrix
 from ..functions.geodesy import camera_centre
@@ -223,50 +222,27 @@ def read_ply_faces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "source string, fid long, v0 long, v1 long, v2 long")
 
 
-class DepthArraySource(DataSource):
-    """format("depth_array"): an ASCII ``w&h&c&`` header, then float32; rows (source, row, col, channel, depth).
+def read_depth_arrays(spark: SparkSession, path: str, interleaved: bool = False) -> DataFrame:
+    """source, row, col, channel, depth of arrays with an ASCII ``w&h&c&`` header, then float32; older files have the channels last (``interleaved``)."""
 
-    option interleaved=true reads channels last, as older files have them. Paths
-    are listed on the driver, one partition each; they must be files that the
-    executors can open."""
-
-    @classmethod
-    def name(cls):
-        return "depth_array"
-
-    def schema(self):
-        return "source string, row int, col int, channel int, depth float"
-
-    def reader(self, schema):
-        return _DepthArrayReader(self.options)
-
-
-class _DepthArrayReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths = [p for p in options.get("path", "").split(",") if p]
-        self.last = options.get("interleaved", "false").lower() == "true"
+    def rows(batches):
+        import pandas as pd
 
-    def partitions(self):
-        return [InputPartition(p) for p in self.paths]
+        for b in batches:
+            for source, content in zip(b["path"], b["content"]):
+                row, col, channel, value = depth_cells(bytes(content), interleaved)
+                yield pd.DataFrame({"source": source, "row": row, "col": col, "channel": channel, "depth": value})
 
-    def read(self, partition):
-        with open(partition.value, "rb") as f:
-            data = f.read()
-        for row, col, channel, value in depth_cells(data, self.last):
-            yield partition.value, row, col, channel, value
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "source string, row int, col int, channel int, depth float")
 
 
 def depth_cells(data: bytes, channels_last: bool = False):
-    """(row, col, channel, value) of a depth array's bytes."""
-    at, head = 0, []
-    for _ in range(3):
-        end = data.index(b"&", at)
-        head.append(int(data[at:end]))
-        at = end + 1
-    w, h, c = head
-    values = struct.unpack_from(f"<{w * h * c}f", data, at)
-    for i, v in enumerate(values):
-        if channels_last:
-            yield i // c // w, i // c % w, i % c, v
-        else:
-            yield i // w % h, i % w, i // (w * h), v
+    """(row, col, channel, value) arrays of a depth array's bytes."""
+    import numpy as np
+
+    *head, values = data.split(b"&", 3)
+    w, h, c = map(int, head)
+    v = np.frombuffer(values, "<f4", w * h * c)
+    at = np.unravel_index(np.arange(w * h * c), (h, w, c) if channels_last else (c, h, w))
+    row, col, channel = at if channels_last else (at[1], at[2], at[0])
+    return row, col, channel, v
