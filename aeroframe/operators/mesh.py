@@ -166,6 +166,24 @@ def ring_pixels(rings: DataFrame, xmin: float, ymax: float, gsd: float, key: str
     return rings.select(key, F.transform("ring", place).alias("px"))
 
 
+def plane_axes(nx, ny, nz, angle) -> tuple[list, list]:
+    """Axes of a surface's plane: the level direction ``angle`` laid into it, and the normal's cross product with that."""
+    n, h = [F.col(c) if isinstance(c, str) else c for c in (nx, ny, nz)], [F.cos(angle), F.sin(angle)]
+    along = h[0] * n[0] + h[1] * n[1]
+    e1 = [h[0] - along * n[0], h[1] - along * n[1], -along * n[2]]
+    size = norm(*e1)
+    e1 = [c / size for c in e1]
+    return e1, list(cross(n, e1))
+
+
+def patch_texels(patches: DataFrame, texel: float, key: str = "id", pad: int = 2) -> DataFrame:
+    """Texel centres of flat patches: key, row, col, x, y, z. Patches: key, o, e1, e2 (arrays of 3), s0, s1, t0, t1 (extent along both axes)."""
+    n = lambda a, b: F.greatest(F.lit(4), F.ceil((F.col(b) - F.col(a)) / texel) + 2 * pad).cast("int")
+    p = patches.withColumn("col", F.explode(F.sequence(F.lit(0), n("s0", "s1") - 1))).withColumn("row", F.explode(F.sequence(F.lit(0), n("t0", "t1") - 1)))
+    s, t = (F.col("col") - pad + 0.5) * texel + F.col("s0"), F.col("t1") - (F.col("row") - pad + 0.5) * texel
+    return p.select(key, "row", "col", *[(F.col("o")[i] + s * F.col("e1")[i] + t * F.col("e2")[i]).alias(c) for i, c in enumerate("xyz")])
+
+
 def counter_clockwise(ring, signed_area):
     return F.when(signed_area < 0, F.reverse(ring)).otherwise(ring)
 

@@ -165,7 +165,36 @@ def pixel_reprojection(spark, d):
 
 
 
+@query(f"""WITH d AS ({_DEPTH}), p AS (SELECT s.id, c.cam_order AS image, cam_z - z AS pz, 20*(x-cam_x)/(cam_z-z)+16-0.5 AS u, 20*(cam_y-y)/(cam_z-z)+12-0.5 AS v, sqrt((cam_x-x)*(cam_x-x)+(cam_y-y)*(cam_y-y)+(cam_z-z)*(cam_z-z)) AS dist FROM ({SPOTS}) s, ({CAMS}) c WHERE cam_z - z > 0.1),
+  h AS (SELECT p.id, p.image, pz/dist*20/dist AS score FROM p JOIN d ON d.image = p.image AND d.row = round_even(v, 0) AND d.col = round_even(u, 0) WHERE round_even(u, 0) BETWEEN 0 AND 31 AND round_even(v, 0) BETWEEN 0 AND 23 AND d.z > 0 AND d.z >= pz - greatest(0.8, 0.05*pz) AND pz/dist >= 0.12)
+  SELECT id, image, round(score, 10) AS score FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, image) = 1""")
+def texel_views(spark, d):
+    """The best camera of texels that face up."""
+    t = Views(spark, d).spots().select("id", "x", "y", "z", F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"))
+    return visibility.texel_views(t, _nadir(spark, d), _depth(spark, d)).select("id", "image", F.round("score", 10).alias("score"))
+
+
 # meshes, rings, grids
+@query(f"""WITH p AS (SELECT id, x/sqrt(x*x+y*y+(z+1)*(z+1)) AS nx, y/sqrt(x*x+y*y+(z+1)*(z+1)) AS ny, (z+1)/sqrt(x*x+y*y+(z+1)*(z+1)) AS nz, radians(id%90) AS a FROM ({SPOTS})), h AS (SELECT *, cos(a)*nx + sin(a)*ny AS w FROM p),
+  e AS (SELECT *, cos(a) - w*nx AS hx, sin(a) - w*ny AS hy, -w*nz AS hz FROM h), u AS (SELECT *, hx/sqrt(hx*hx+hy*hy+hz*hz) AS ux, hy/sqrt(hx*hx+hy*hy+hz*hz) AS uy, hz/sqrt(hx*hx+hy*hy+hz*hz) AS uz FROM e)
+  SELECT id, round(ux, 8) AS ux, round(uz, 8) AS uz, round(ny*uz - nz*uy, 8) AS vx, round(nx*uy - ny*ux, 8) AS vz FROM u""")
+def plane_axes(spark, d):
+    """Axes of surfaces in their own planes."""
+    s = Views(spark, d).spots()
+    n = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + (F.col("z") + 1) * (F.col("z") + 1))
+    s = s.select("id", (F.col("x") / n).alias("nx"), (F.col("y") / n).alias("ny"), ((F.col("z") + 1) / n).alias("nz"))
+    u, v = mesh.plane_axes("nx", "ny", "nz", F.radians(F.col("id") % 90))
+    return s.select("id", F.round(u[0], 8).alias("ux"), F.round(u[2], 8).alias("uz"), F.round(v[0], 8).alias("vx"), F.round(v[2], 8).alias("vz"))
+
+
+@query(f"""WITH p AS (SELECT id, s_ AS col, t_ AS row, x + (s_ - 1.5)*0.5 + 1 AS px, z + 2 - (t_ - 1.5)*0.5 AS pz FROM ({SPOTS}), (SELECT unnest(range(8)) AS s_) a, (SELECT unnest(range(8)) AS t_) b WHERE id < 50) SELECT id, cast(row AS int) AS row, cast(col AS int) AS col, round(px, 6) AS x, round(pz, 6) AS z FROM p""")
+def patch_texels(spark, d):
+    """Texel centres of upright patches of two by two metres."""
+    axis = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    p = Views(spark, d).spots().where("id < 50").select("id", F.array("x", "y", "z").alias("o"), axis(1, 0, 0).alias("e1"), axis(0, 0, 1).alias("e2"), F.lit(1.0).alias("s0"), F.lit(3.0).alias("s1"), F.lit(0.0).alias("t0"), F.lit(2.0).alias("t1"))
+    return mesh.patch_texels(p, 0.5).select("id", "row", "col", F.round("x", 6).alias("x"), F.round("z", 6).alias("z"))
+
+
 _FACES = "SELECT o_orderkey AS fid, o_custkey AS v0, (o_orderkey*7)%1500 AS v1, (o_orderkey*13)%1500 AS v2 FROM orders"
 _VERT = "SELECT c_custkey AS vid, cast((c_custkey*37)%1000 as double)/10 AS x, cast((c_custkey*53)%997 as double)/10 AS y, c_acctbal/1000 AS z FROM customer"
 
@@ -287,6 +316,19 @@ def cube_report(spark, d):
     return Views(spark, d).table("lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT event_type, date_trunc('month', ts)::date AS period, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS hi, true AS near FROM events GROUP BY 1, 2""")
+def sketch_rollup(spark, d):
+    """Daily sketches rolled up to months; ``near``: the estimated number of users lies within three per cent of the exact one."""
+    from ..operators.sketches import daily_sketches, rolled_up
+
+    e = Views(spark, d).table("events")
+    month = F.trunc(F.col("day"), "month")
+    got = rolled_up(daily_sketches(e, ["event_type", "user_id"], "ts", "user_id", "value").drop("user_id"), ["event_type"], month)
+    exact = e.groupBy("event_type", F.trunc(F.to_date("ts"), "month").alias("period")).agg(F.countDistinct("user_id").alias("users"))
+    near = F.abs(F.col("distinct") - F.col("users")) <= F.greatest(F.lit(1.0), 0.03 * F.col("users"))
+    return got.join(exact, ["event_type", "period"]).select("event_type", "period", "n", F.round("mean", 6).alias("mean"), "hi", near.alias("near"))
+
+
 @query("""SELECT c_custkey, cast(CASE WHEN c_custkey%120-60 >= 0 THEN 32600 ELSE 32700 END + floor(((c_custkey*7)%360-180+180)/6.0)+1 AS int) AS zone, ['N','NE','E','SE','S','SW','W','NW'][1 + cast(floor(((c_custkey*17)%360 + 22.5)/45) AS int) % 8] AS wind FROM customer""")
 def sql_functions(spark, d):
     """The library's expressions as functions of SQL text."""
