@@ -55,11 +55,13 @@ def nearest_neighbours(points: DataFrame, k: int, cell: float, id_col: str = "id
     todo, done, total = pts, None, pts.count()
     while True:
         at = lambda df: df.withColumns({f"c{c}": F.floor(F.col(c) / cell) for c in "xyz"})
+        near = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((i, j, m), "ijk")]) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)]))
+        q = at(todo).select("*", near.alias("o")).withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"o.{n}") for c, n in zip("xyz", "ijk")}).drop("o")
         cand = at(pts)
+        if done is not None:  # few points are left: only the cells they touch take part
+            cand = cand.join(q.select("cx", "cy", "cz").distinct(), ["cx", "cy", "cz"], "left_semi")
         sizes = cand.groupBy("cx", "cy", "cz").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
         cand = cand.join(sizes, ["cx", "cy", "cz"]).withColumn("cb", F.pmod(F.xxhash64("id"), "blocks"))
-        near = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((i, j, m), "ijk")]) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)]))
-        q = at(todo).select("*", near.alias("o")).withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"o.{n}") for c, n in zip("xyz", "ijk")}).drop("o")
         q = q.join(sizes, ["cx", "cy", "cz"]).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("qb", F.pmod(F.xxhash64("id"), F.col("blocks")))
         cand = cand.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         cand = cand.select(*[F.col(c).alias(c) for c in cand.columns])

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.camera import quaternion_matrix
@@ -34,10 +34,11 @@ def read_cameras_text(spark: SparkSession, path: str) -> DataFrame:
 
 def _image_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Every image has two lines: its pose and its keypoints (which may be empty)."""
-    rows = _lines(spark, path)
-    rows = rows.withColumn("k", F.row_number().over(Window.orderBy("n")) - 1)
-    pair = F.floor(F.col("k") / 2)
-    return rows.groupBy(pair.alias("pair")).agg(F.max(F.when(F.col("k") % 2 == 0, F.col("f"))).alias("f"), F.max(F.when(F.col("k") % 2 == 1, F.col("f"))).alias("kp")).where("size(f) >= 10")
+    raw = spark.read.text(path, wholetext=True)
+    lines = raw.select(F.filter(F.split("value", "\r?\n"), lambda x: ~F.startswith(x, F.lit("#"))).alias("lines"))
+    pair = lines.select("lines", F.explode(F.sequence(F.lit(0), F.size("lines"), F.lit(2))).alias("k"))
+    fields = lambda i: F.split(F.trim(F.coalesce(F.get("lines", F.col("k") + i), F.lit(""))), r"\s+")
+    return pair.select(fields(0).alias("f"), fields(1).alias("kp")).where("size(f) >= 10")
 
 
 def read_images_text(spark: SparkSession, path: str) -> DataFrame:
