@@ -148,14 +148,14 @@ def geojson_features(buildings: DataFrame, ring="ring_lonlat", properties: list[
     return buildings.select("id", F.to_json(feature).alias("feature")).orderBy("id")
 
 
-def write_text_file(lines: DataFrame, path: str) -> None:
-    """One text file of rows (pos, line) in order of pos, in any store that Spark writes to.
+def write_text_file(lines: DataFrame, path: str, sep: str = "\n") -> None:
+    """One text file of rows (pos, line) in order of pos, ``sep`` after each, in any store that Spark writes to.
 
     Tasks format and write the parts; the driver only copies their bytes, one buffer
     at a time, and puts the file in place by rename."""
     spark = lines.sparkSession
     parts = f"{path}.parts"
-    lines.orderBy("pos").select(F.col("line").alias("value")).write.mode("overwrite").text(parts)
+    lines.orderBy("pos").select(F.col("line").alias("value")).write.mode("overwrite").text(parts, lineSep=sep)
     hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
     at = lambda p: hadoop.fs.Path(p)
     fs = at(path).getFileSystem(conf)
@@ -206,14 +206,14 @@ def packed(df: DataFrame, fields: list[tuple[str, str]], extra: dict | None = No
 
 
 def write_geojson(buildings: DataFrame, path: str, georeferenced: bool, **kw) -> None:
-    """A feature collection in one file, a feature a line."""
+    """A feature collection in one file and line."""
     head = '"crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:OGC:1.3:CRS84"}},' if georeferenced else '"note":"NOT georeferenced: local metres",'
     spark = buildings.sparkSession
     f = geojson_features(buildings, **kw)
     first = f.agg(F.min("id")).first()[0]
     rows = f.select(F.struct(F.lit(1).alias("kind"), F.col("id").cast("long").alias("id")).alias("pos"), F.concat(F.when(F.col("id") == first, "").otherwise(","), "feature").alias("line"))
     ends = spark.createDataFrame([((0, 0), '{"type":"FeatureCollection",' + head + '"features":['), ((2, 0), "]}")], "pos struct<kind:int,id:long>, line string")
-    write_text_file(rows.unionByName(ends), path)
+    write_text_file(rows.unionByName(ends), path, " ")
 
 
 def ply_lines(points: DataFrame) -> DataFrame:

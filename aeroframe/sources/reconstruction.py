@@ -231,14 +231,19 @@ def read_depth_arrays(spark: SparkSession, path: str, interleaved: bool = False)
 
         for b in batches:
             for source, content in zip(b["path"], b["content"]):
-                row, col, channel, value = depth_cells(bytes(content), interleaved)
+                row, col, channel, value = depth_columns(bytes(content), interleaved)
                 yield pd.DataFrame({"source": source, "row": row, "col": col, "channel": channel, "depth": value})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "source string, row int, col int, channel int, depth float")
 
 
 def depth_cells(data: bytes, channels_last: bool = False):
-    """(row, col, channel, value) arrays of a depth array's bytes."""
+    """(row, col, channel, value) of a depth array's bytes."""
+    return zip(*(a.tolist() for a in depth_columns(data, channels_last)))
+
+
+def depth_columns(data: bytes, channels_last: bool = False):
+    """The same as four arrays."""
     import numpy as np
 
     *head, values = data.split(b"&", 3)
