@@ -22,8 +22,10 @@ shared by many tasks; nothing larger than a window is gathered.
 
 Defined results: null text or role is empty; turns are ordered by turn (null
 last), role and text, repeated rows are repeated turns; rows without a
-conversation id are one conversation with a null id; an empty table gives an
-empty table.
+conversation id are one conversation with a null id; a turn longer than the budget
+is a window of its own, whole; columns other than conversation, turn, role and text
+play no part, whatever their names; an empty table gives an empty table. The digest
+of a conversation is one hash over all its turns in order, which one task computes.
 """
 
 from __future__ import annotations

@@ -11,8 +11,11 @@ reduction tree of ``fan_in``, one narrow shuffle a level.
 
 Defined results: null text has size 0; null source is a source of its own,
 after all others; rows that repeat id, source and size are rounded as one; a
-document of size 0 rounds alone; all draws are hashes of ids and the seed, so
-reruns agree; an empty table gives an empty table.
+document of size 0 rounds alone; a very long text only counts as many words; null
+ids are rounded together where source and size agree; all draws are hashes of ids
+and the seed, so reruns agree; columns other than id, text and source play no part
+in ``mix``, whatever their names, and ``apply_mix`` keeps them; an empty table gives
+an empty table. Targets are computed over the table of sources, in one task.
 """
 
 from __future__ import annotations
