@@ -221,3 +221,18 @@ def test_nearest_match_uses_cells(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0), (2, 5.0, 5.0), (3, 50.0, 0.0)], "t long, x double, y double")
     b = spark.createDataFrame([(10, 0.5, 0.0), (11, -0.5, 0.0), (12, 7.0, 5.0)], "f long, x double, y double")
     assert sorted(map(tuple, cloud.nearest_within(a, b, 3.0, "t", "f").collect())) == [(1, 10, 0.5), (2, 12, 2.0)]
+
+
+def test_best_cameras_in_arrays_and_in_blocks(spark, monkeypatch):
+    from aeroframe.operators import visibility
+
+    rng = np.random.default_rng(3)
+    pts = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rng.uniform(0, 50, (60, 3)))], "id long, x double, y double, z double")
+    cams = rng.uniform(0, 50, (40, 3)) + [0, 0, 60]
+    cams[7] = cams[3]
+    table = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(cams)], "cam_order long, cam_x double, cam_y double, cam_z double")
+    for k in (1, 5):
+        monkeypatch.setattr(visibility, "CAMERA_BLOCK", 16)
+        got = sorted((r.id, r["rank"], r.cam_order, round(r.score, 9)) for r in visibility.best_cameras(pts, table, "id", k).collect())
+        assert got == sorted((r.id, r["rank"], r.cam_order, round(r.score, 9)) for r in visibility._best_of_blocks(pts, table, "id", k).collect())
+        assert len(got) == 60 * k and not any(c == 7 for _, n, c, _ in got if n == 1)
