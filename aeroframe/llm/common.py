@@ -33,6 +33,12 @@ def with_text(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn(text_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
+def drop_folder(spark: SparkSession, where: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Keys of rows without an id start here; ids below it sort before them.
 OWN = 2**62
 
