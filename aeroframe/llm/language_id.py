@@ -155,6 +155,8 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", order_
         lengths, least = [], []
         for words in (*EXCERPTS, None):
             parts = [c for t, h in zip(group["text"], group["h"]) if (c := gram_counts(_excerpt(t, words, h), dims)) is not None] if words else found
+            if not parts:  # no excerpt of this length holds a letter
+                continue
             cos = np.array([(cents @ vector(c, idf)).max() for c in parts])
             lengths.append(float(np.log(np.median([c.sum() for c in parts]))))
             least.append(float(np.quantile(cos, 0.002)) * rejection)

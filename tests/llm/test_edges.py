@@ -82,6 +82,15 @@ def test_short_texts_are_not_rejected_for_their_length(spark):
     assert out[1002].rejected
 
 
+def test_a_language_of_one_row_of_digits(spark):
+    rows = [(i, f"the thing and number {i}", "en") for i in range(40)] + [(100, "1 2 3 4 5 6 7 8 9 abc", "xx"), (101, "1 2 3", "yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert set(model.languages) == {"en", "xx"}
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(df, model).collect()}
+    assert got[100] == "xx" and got[0] == "en" and got[101] == "und"
+
+
 def test_very_long_texts(spark):
     long = "word " * 200_000
     rows = [(1, long + "a@b.org " + long), (2, long), (3, None)]
