@@ -66,12 +66,21 @@ def join_parts(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, Dat
 
 
 def inside_ring(x, y, ring) -> "F.Column":
-    """Even-odd test of a point against an array of (x, y)."""
+    """Even-odd test of a point against an array of (x, y). The ring's border is not inside."""
     n = F.size(ring)
+    ends = lambda i: (F.get(ring, i), F.get(ring, (i + 1) % n))
+
     def crosses(i):
-        p, q = F.get(ring, i), F.get(ring, (i + 1) % n)
+        p, q = ends(i)
         return ((p["y"] > y) != (q["y"] > y)) & (x < (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"]) + p["x"])
-    return F.size(F.filter(F.sequence(F.lit(0), n - 1), crosses)) % 2 == 1
+
+    def on_edge(i):
+        p, q = ends(i)
+        level = (q["x"] - p["x"]) * (y - p["y"]) == (q["y"] - p["y"]) * (x - p["x"])
+        return level & x.between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & y.between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
+
+    edges = F.sequence(F.lit(0), n - 1)
+    return (F.size(F.filter(edges, crosses)) % 2 == 1) & ~F.exists(edges, on_edge)
 
 
 def in_rings(points: DataFrame, rings: DataFrame, cell: float = 50.0) -> DataFrame:

@@ -154,7 +154,8 @@ _RINGS = "SELECT r_regionkey AS ring_id, 8.0+r_regionkey*17 AS cx, 30.0+r_region
 
 
 @query(f"""WITH r AS ({_RINGS}), e AS (SELECT ring_id, unnest([{{'x0':cx-7,'y0':cy-5,'x1':cx+9,'y1':cy-8}},{{'x0':cx+9,'y0':cy-8,'x1':cx+2,'y1':cy+1}},{{'x0':cx+2,'y0':cy+1,'x1':cx+6,'y1':cy+11}},{{'x0':cx+6,'y0':cy+11,'x1':cx-7,'y1':cy-5}}]) AS e FROM r),
-  h AS (SELECT s.id, ring_id, count(*) FILTER (WHERE (e.y0 > y) <> (e.y1 > y) AND x < (e.x1-e.x0)*(y-e.y0)/(e.y1-e.y0)+e.x0) % 2 = 1 AS inside FROM ({SPOTS}) s, e GROUP BY s.id, ring_id) SELECT id, ring_id FROM h WHERE inside""")
+  h AS (SELECT s.id, ring_id, count(*) FILTER (WHERE (e.y0 > y) <> (e.y1 > y) AND x < (e.x1-e.x0)*(y-e.y0)/(e.y1-e.y0)+e.x0) % 2 = 1
+      AND count(*) FILTER (WHERE (e.x1-e.x0)*(y-e.y0) = (e.y1-e.y0)*(x-e.x0) AND x BETWEEN least(e.x0, e.x1) AND greatest(e.x0, e.x1) AND y BETWEEN least(e.y0, e.y1) AND greatest(e.y0, e.y1)) = 0 AS inside FROM ({SPOTS}) s, e GROUP BY s.id, ring_id) SELECT id, ring_id FROM h WHERE inside""")
 def pip_filter(spark, d):
     v = Views(spark, d)
     pt = lambda dx, dy: F.struct((F.col("cx") + dx).alias("x"), (F.col("cy") + dy).alias("y"))

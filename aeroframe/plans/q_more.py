@@ -246,7 +246,7 @@ def ring_pixels(spark, d):
 
 
 @query(f"""WITH f AS ({_FACES}), v AS ({_VERT}), m AS (SELECT fid, (a.x+b.x+c.x)/3 AS x, (a.y+b.y+c.y)/3 AS y, (a.z+b.z+c.z)/3 AS z FROM f JOIN v a ON a.vid = v0 JOIN v b ON b.vid = v1 JOIN v c ON c.vid = v2)
-  SELECT f.fid FROM f LEFT JOIN m USING (fid) WHERE NOT coalesce(m.x BETWEEN 20 AND 60 AND m.y BETWEEN 30 AND 80 AND m.z > 3.8, false)""")
+  SELECT f.fid FROM f LEFT JOIN m USING (fid) WHERE NOT coalesce(m.x > 20 AND m.x < 60 AND m.y > 30 AND m.y < 80 AND m.z > 3.8, false)""")
 def faces_left(spark, d):
     """Faces that no building replaces."""
     v = Views(spark, d)
@@ -463,22 +463,13 @@ def geotiff_file(spark, d):
 
 @query(f"SELECT id, cast(round_even((x-x0)/0.001, 0) AS int) AS x, cast(round_even((y-y0)/0.001, 0) AS int) AS y, cast(r*257 AS int) AS r FROM ({SPOTS}), (SELECT min(x) AS x0, min(y) AS y0 FROM ({SPOTS}))")
 def las_file(spark, d):
-    """Records of a LAS file as they lie in it."""
-    import numpy as np
-    import pandas as pd
-
+    """A cloud written as LAS by many tasks and read back in ranges."""
     where = f"{shared_dir(spark)}/cloud.las"
-    s = Views(spark, d).spots().repartition(4).sortWithinPartitions("id")
+    s = Views(spark, d).spots()
     files.write_las(s, where)
-    kinds = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("rest", "V18"), ("r", "<u2"), ("g", "<u2"), ("b", "<u2")])
-
-    def rows(batches):
-        for b in batches:
-            for content in b["content"]:
-                a = np.frombuffer(bytes(content), kinds, offset=375)
-                yield pd.DataFrame({c: a[c].astype(np.int64) for c in ("x", "y", "z", "r", "g", "b")})
-
-    got = spark.read.format("binaryFile").load(where).select("content").mapInPandas(rows, "x int, y int, z int, r int, g int, b int").select("x", "y", "z", "r").distinct()
+    low = s.agg(*[F.min(c).alias(c) for c in "xyz"]).first()
+    got = reconstruction.read_las(spark, where, ["x", "y", "z", "r"])
+    got = got.select(*[F.rint((F.col(c) - low[c]) / 0.001).cast("int").alias(c) for c in "xyz"], "r").distinct()
     lo = s.agg(*[F.min(c).alias(f"lo{c}") for c in "xyz"]).first()
     ids = s.select("id", *[F.rint((F.col(c) - lo[f"lo{c}"]) / 0.001).cast("int").alias(c) for c in "xyz"])
     return ids.join(got, ["x", "y", "z"]).select("id", "x", "y", "r")
@@ -487,14 +478,11 @@ def las_file(spark, d):
 @query("SELECT l_suppkey AS image, l_linenumber AS k, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def depth_array_file(spark, d):
     """Counts written as one depth array and read back."""
-    n = Views(spark, d).table("lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    size = n.agg(F.max("l_suppkey").alias("w"), F.max("l_linenumber").alias("h")).first()
-    w, h = size["w"] + 1, size["h"] + 1
-    dense = spark.range(w * h).select((F.col("id") % w).alias("l_suppkey"), F.floor(F.col("id") / w).cast("int").alias("l_linenumber"), F.col("id").alias("pos"))
-    rows = dense.join(n, ["l_suppkey", "l_linenumber"], "left").na.fill(0.0, ["n"]).orderBy("pos")
+    n = Views(spark, d).table("lineitem").groupBy(F.col("l_suppkey").alias("col"), F.col("l_linenumber").alias("row")).agg(F.count(F.lit(1)).alias("depth"))
+    size = n.agg(F.max("col").alias("w"), F.max("row").alias("h")).first()
     where = f"{shared_dir(spark)}/counts.bin"
-    files.write_binary_file(spark, where, [f"{w}&{h}&1&".encode(), files.packed(rows, [("n", "<f4")])])
-    got = reconstruction.read_depth_arrays(spark, where).where("depth > 0")
+    files.write_depth_array(n, where, size["w"] + 1, size["h"] + 1)
+    got = reconstruction.read_depth_arrays(spark, where, columns=["row", "col", "depth"]).where("depth > 0")
     return got.select(F.col("col").cast("long").alias("image"), F.col("row").alias("k"), F.col("depth").cast("long").alias("n"))
 
 

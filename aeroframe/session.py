@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: What the open scratch contexts delete when they end: folders and tables, the innermost context last.
-_OPEN: list[list[tuple[str, str]]] = []
+#: What the open scratch contexts of this thread delete when they end: folders and tables, the innermost context last.
+_OPEN: ContextVar[tuple[list[tuple[str, str]], ...]] = ContextVar("open_scratch", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,8 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _note(kind: str, name: str) -> None:
-    if _OPEN:
-        _OPEN[-1].append((kind, name))
+    if _OPEN.get():
+        _OPEN.get()[-1].append((kind, name))
 
 
 def save_table(df_writer, name: str, where: str) -> str:
@@ -44,11 +45,13 @@ def scratch(spark: SparkSession):
     """On leaving, deletes the intermediate tables that operators wrote inside. Consume their results before that:
 
     ``with scratch(spark): near_duplicates(docs).write.parquet(out)``"""
-    _OPEN.append([])
+    made: list[tuple[str, str]] = []
+    token = _OPEN.set((*_OPEN.get(), made))
     try:
         yield
     finally:
-        for kind, name in _OPEN.pop():
+        _OPEN.reset(token)
+        for kind, name in made:
             if kind == "table":
                 spark.sql(f"DROP TABLE IF EXISTS {name}")
             else:

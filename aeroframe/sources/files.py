@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geodesy import apply_sim3
 from ..functions.vectors import col
+from ..operators.joins import numbered, numbered_as_is
+from ..session import materialise
+from .records import pack_records, write_blocks
 
 IMAGE_SUFFIXES = "*.{jpg,jpeg,png,tif,tiff,bmp,JPG,JPEG,PNG,TIF,TIFF,BMP}"
 XMP_BYTES = 200_000
@@ -170,41 +173,6 @@ def write_text_file(lines: DataFrame, path: str, sep: str = "\n") -> None:
     fs.delete(at(parts), True)
 
 
-def write_binary_file(spark: SparkSession, path: str, parts: list) -> None:
-    """One binary file of parts in order: bytes, or tables of one column ``data`` whose rows tasks have packed.
-
-    The driver holds one row at a time and puts the file in place by rename, in any
-    store that Spark writes to."""
-    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
-    at = lambda p: hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(conf)
-    out = fs.create(at(f"{path}.tmp"), True)
-    for part in parts:
-        for data in [part] if isinstance(part, (bytes, bytearray)) else (r["data"] for r in part.toLocalIterator()):
-            out.write(bytearray(data))
-    out.close()
-    fs.delete(at(path), False)
-    fs.rename(at(f"{path}.tmp"), at(path))
-
-
-def packed(df: DataFrame, fields: list[tuple[str, str]], extra: dict | None = None) -> DataFrame:
-    """Rows as binary records, one ``data`` value a batch: (column, NumPy type) in the record's order; ``extra`` are constant fields."""
-    import numpy as np
-    import pandas as pd
-
-    extra = extra or {}
-    names = [c for c, _ in fields if c not in extra]
-
-    def run(batches):
-        for b in batches:
-            out = np.zeros(len(b), np.dtype([(c, t) for c, t in fields]))
-            for c, _ in fields:
-                out[c] = extra[c] if c in extra else b[c].to_numpy()
-            yield pd.DataFrame({"data": [out.tobytes()]})
-
-    return df.select(*names).mapInPandas(run, "data binary")
-
-
 def write_geojson(buildings: DataFrame, path: str, georeferenced: bool, **kw) -> None:
     """A feature collection in one file and line."""
     head = '"crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:OGC:1.3:CRS84"}},' if georeferenced else '"note":"NOT georeferenced: local metres",'
@@ -236,7 +204,7 @@ def las_fields(points: DataFrame, x0: float, y0: float, z0: float, scale: float
 
 
 def write_las(points: DataFrame, path: str) -> None:
-    """LAS 1.4, point format 7, in one file. Records are packed in tasks."""
+    """LAS 1.4, point format 7, in one file. Points are numbered; tasks pack records and write them at their bytes."""
     box = points.agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))], F.count(F.lit(1)).alias("n")).first()
     off = [float(box[f"lo{c}"] or 0.0) for c in "xyz"]
     head = bytearray(375)
@@ -249,7 +217,8 @@ def write_las(points: DataFrame, path: str) -> None:
     # The fields of a record, in order.
     record = [("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("returns", "u1"), ("flags", "u1"), ("class", "u1"), ("user", "u1"), ("angle", "<i2"), ("source", "<u2"), ("time", "<f8"), ("r", "<u2"), ("g", "<u2"), ("b", "<u2")]
     constant = {"intensity": 0, "returns": 0x11, "flags": 0, "user": 0, "angle": 0, "source": 0, "time": 0.0}
-    write_binary_file(points.sparkSession, path, [bytes(head), packed(las_fields(points, *off), record, constant)])
+    rows = numbered_as_is(las_fields(points, *off))
+    write_blocks(pack_records(rows, "i", record, len(head), constant), path, bytes(head), len(head) + 36 * box["n"])
 
 
 def to_gltf(x, y, z) -> tuple:
@@ -260,15 +229,12 @@ def to_gltf(x, y, z) -> tuple:
 def write_glb(vertices: DataFrame, faces: DataFrame, path: str, extras: dict | None = None) -> None:
     """A mesh container: vertices (vid, x, y, z), faces (v0, v1, v2); ids become positions in order of vid.
 
-    Positions are numbered, joined to the faces and packed in tasks."""
-    from ..operators.joins import numbered
-    from ..session import materialise
-
+    Positions and faces are numbered; tasks pack them and write them at their bytes."""
     v = materialise(numbered(vertices.select("vid", *[c.alias(n) for c, n in zip(to_gltf("x", "y", "z"), "xyz")]), "vid", "i"))
     f = faces.select("v0", "v1", "v2")
     for c in ("v0", "v1", "v2"):
         f = f.join(v.select(F.col("vid").alias(c), (F.col("i") - 1).alias(f"i{c}")), c)
-    f = materialise(f.select("iv0", "iv1", "iv2"))
+    f = numbered_as_is(f.select("iv0", "iv1", "iv2"))
     box = v.agg(F.count(F.lit(1)).alias("n"), *[g(c).alias(f"{k}{c}") for c in "xyz" for k, g in (("lo", F.min), ("hi", F.max))]).first()
     n, m = box["n"], f.count()
     doc = {
@@ -280,7 +246,8 @@ def write_glb(vertices: DataFrame, faces: DataFrame, path: str, extras: dict | N
     text += b" " * (-len(text) % 4)
     size = 12 * (n + m)
     head = struct.pack("<4sIIII", b"glTF", 2, 28 + len(text) + size, len(text), 0x4E4F534A) + text + struct.pack("<II", size, 0x004E4942)
-    write_binary_file(vertices.sparkSession, path, [head, packed(v.orderBy("i"), [(c, "<f4") for c in "xyz"]), packed(f, [(c, "<u4") for c in ("iv0", "iv1", "iv2")])])
+    blocks = pack_records(v.withColumn("i", F.col("i") - 1), "i", [(c, "<f4") for c in "xyz"], len(head)).unionByName(pack_records(f, "i", [(c, "<u4") for c in ("iv0", "iv1", "iv2")], len(head) + 12 * n))
+    write_blocks(blocks, path, head, len(head) + size)
 
 
 def transform_obj(spark: SparkSession, path: str, scale: float, rotation, translation) -> DataFrame:
@@ -299,6 +266,27 @@ def transform_points(points: DataFrame, scale: float, rotation, translation) ->
     return points.withColumns(dict(zip("xyz", moved)))
 
 
+def write_depth_array(depth: DataFrame, path: str, width: int, height: int, value: str = "depth") -> None:
+    """Cells (row, col, value), each at most once, as a one-channel depth array; cells that are not listed, or null, are 0."""
+    head = f"{width}&{height}&1&".encode()
+    strips = depth.sparkSession.range(height).select(F.col("id").alias("row"))
+    listed = depth.groupBy(F.col("row").cast("long").alias("row")).agg(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), F.coalesce(F.col(value), F.lit(0)).cast("float").alias("value"))).alias("cells"))
+
+    def pack(batches):
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            out = np.zeros((len(b), width), "<f4")
+            for k, cells in enumerate(b["cells"]):
+                for c in cells if cells is not None else ():
+                    out[k, c["col"]] = c["value"]
+            yield pd.DataFrame({"pos": len(head) + 4 * width * b["row"], "data": [line.tobytes() for line in out]})
+
+    blocks = strips.join(listed, "row", "left").mapInPandas(pack, "pos long, data binary")
+    write_blocks(blocks, path, head, len(head) + 4 * width * height)
+
+
 def write_raster(cells: DataFrame, path: str, nodata: float = -9999.0) -> None:
     """A raster as a table of cells, in row order by file; null becomes nodata. ``rasters.write_geotiff`` makes one image file."""
     cells.withColumn("value", F.coalesce("value", F.lit(nodata)).cast("float")).repartitionByRange("row").sortWithinPartitions("row", "col").write.mode("overwrite").parquet(path)

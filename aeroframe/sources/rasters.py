@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import write_binary_file
+from .records import read_records, write_blocks
 
 NODATA = -9999.0
 # Tag numbers and field types of the container.
@@ -50,6 +50,8 @@ def write_geotiff(cells: DataFrame, path: str, width: int, height: int, xmin: fl
     rows = cells.sparkSession.range(height).select(F.col("id").alias("row"))
     listed = cells.where("value IS NOT NULL").groupBy(F.col("row").cast("long").alias("row")).agg(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), F.col("value").cast("float").alias("value"))).alias("cells"))
 
+    head = header(width, height, xmin, ymax, gsd, epsg, nodata)
+
     def pack(batches):
         for b in batches:
             out = []
@@ -58,31 +60,28 @@ def write_geotiff(cells: DataFrame, path: str, width: int, height: int, xmin: fl
                 for c in found if found is not None else ():
                     line[c["col"]] = c["value"]
                 out.append(line.tobytes())
-            yield pd.DataFrame({"pos": b["row"], "data": out})
+            yield pd.DataFrame({"pos": len(head) + 4 * width * b["row"], "data": out})
 
-    strips = rows.join(listed, "row", "left").mapInPandas(pack, "pos long, data binary")
-    write_binary_file(cells.sparkSession, path, [header(width, height, xmin, ymax, gsd, epsg, nodata), strips.orderBy("pos").select("data")])
+    blocks = rows.join(listed, "row", "left").mapInPandas(pack, "pos long, data binary")
+    write_blocks(blocks, path, head, len(head) + 4 * width * height)
 
 
-def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
-    """source, row, col, value (null where missing), x, y (cell centres) of files as ``write_geotiff`` makes them."""
+def strips(head: bytes) -> tuple | None:
+    """(first byte, width, height, scale, tie point, missing value) from the start of a file whose rows lie one behind the other as ``write_geotiff`` makes them; None for others."""
     from .images import directory
 
-    def rows(batches):
-        for b in batches:
-            for source, content in zip(b["path"], b["content"]):
-                data = bytes(content)
-                fixed = data[:8] + data[8:]
-                tags = directory(fixed, struct.unpack_from("<I", data, 4)[0], "<")
-                scale, tie = _doubles(data, PIXEL_SCALE, 3), _doubles(data, TIE_POINT, 6)
-                w, missing = tags[WIDTH][0], np.float32(float(tags[MISSING][0]))
-                for r, (at, n) in enumerate(zip(tags[OFFSETS], tags[COUNTS])):
-                    v = np.frombuffer(data, "<f4", n // 4, at)
-                    col = np.arange(w)
-                    yield pd.DataFrame({"source": source, "row": np.full(w, r), "col": col, "value": np.where(v == missing, np.nan, v.astype(float)), "x": tie[3] + (col + 0.5) * scale[0], "y": np.full(w, tie[4] - (r + 0.5) * scale[1])})
-
-    got = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "source string, row int, col int, value double, x double, y double")
-    return got.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    tags = directory(head, struct.unpack_from("<I", head, 4)[0], "<")
+    w, h = tags[WIDTH][0], tags[HEIGHT][0]
+    at, n = np.array(tags[OFFSETS]), np.array(tags[COUNTS])
+    if head[:2] != b"II" or tags[BITS][0] != 32 or tags[COMPRESSION][0] != 1 or n.sum() != 4 * w * h or (np.diff(at) != n[:-1]).any():
+        return None
+    missing = float(tags[MISSING][0]) if MISSING in tags else float("nan")
+    return int(at[0]), w, h, _doubles(head, PIXEL_SCALE, 3), _doubles(head, TIE_POINT, 6), missing
+
+
+def read_geotiff(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """source, row, col, value (null where missing), x, y (cell centres) of files as ``write_geotiff`` makes them, read in ranges of rows."""
+    return read_records(spark, path, "raster", columns)
 
 
 def _doubles(data: bytes, tag: int, n: int) -> tuple:

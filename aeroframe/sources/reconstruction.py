@@ -1,7 +1,7 @@
 """Sparse reconstructions: text and binary camera, image and point files.
 
-The text form is read with Spark's line reader and expressions. The binary forms
-and point-cloud containers are Python data sources whose partitions are files."""
+The text form is read with Spark's line reader and expressions, files of records of
+one size in byte ranges (``records``), the other binary forms file by file."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.camera import quaternion_matrix
 from ..functions.geodesy import camera_centre
+from . import records
 
 # Camera model numbers, names and parameter counts of the binary format.
 MODELS = {
@@ -190,65 +191,58 @@ def ply_rows(data: bytes, element: str):
                 yield row
 
 
-def read_ply_points(spark: SparkSession, path: str) -> DataFrame:
-    """source, idx, x, y, z, r, g, b (colours null where the file has none)."""
-
-    def rows(batches):
-        import pandas as pd
-
-        for b in batches:
-            for source, content in zip(b["path"], b["content"]):
-                out = [(source, i, p["x"], p["y"], p["z"], *(int(p[c]) if c in p else None for c in ("red", "green", "blue"))) for i, p in enumerate(ply_rows(bytes(content), "vertex"))]
-                yield pd.DataFrame(out, columns=["source", "idx", "x", "y", "z", "r", "g", "b"]).astype({"r": "Int32", "g": "Int32", "b": "Int32"})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "source string, idx long, x double, y double, z double, r int, g int, b int")
+def read_ply_points(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """source, idx, x, y, z, r, g, b (colours null where the file has none). Binary files are read in ranges, a text file by one task."""
 
+    def rows(data):
+        out = [(i, p["x"], p["y"], p["z"], *(int(p[c]) if c in p else None for c in ("red", "green", "blue"))) for i, p in enumerate(ply_rows(data, "vertex"))]
+        return out, ["idx", "x", "y", "z", "r", "g", "b"], {"r": "Int32", "g": "Int32", "b": "Int32"}
 
-def read_ply_faces(spark: SparkSession, path: str) -> DataFrame:
-    """source, fid, v0, v1, v2; faces of more corners become fans."""
+    return _read_ply(spark, path, "ply_points", columns, rows)
 
-    def rows(batches):
-        import pandas as pd
 
-        for b in batches:
-            for source, content in zip(b["path"], b["content"]):
-                out, n = [], 0
-                for f in ply_rows(bytes(content), "face"):
-                    ids = next(iter(f.values()))
-                    for k in range(1, len(ids) - 1):
-                        out.append((source, n, ids[0], ids[k], ids[k + 1]))
-                        n += 1
-                yield pd.DataFrame(out, columns=["source", "fid", "v0", "v1", "v2"])
+def read_ply_faces(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """source, fid, v0, v1, v2; faces of more corners become fans. Binary files of triangles are read in ranges, others by one task each."""
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "source string, fid long, v0 long, v1 long, v2 long")
+    def rows(data):
+        out = []
+        for f in ply_rows(data, "face"):
+            ids = next(iter(f.values()))
+            out += [(len(out) + k - 1, ids[0], ids[k], ids[k + 1]) for k in range(1, len(ids) - 1)]
+        return out, ["fid", "v0", "v1", "v2"], {}
 
+    return _read_ply(spark, path, "ply_faces", columns, rows)
 
-def read_depth_arrays(spark: SparkSession, path: str, interleaved: bool = False) -> DataFrame:
-    """source, row, col, channel, depth of arrays with an ASCII ``w&h&c&`` header, then float32; older files have the channels last (``interleaved``)."""
 
-    def rows(batches):
-        import pandas as pd
+def _read_ply(spark: SparkSession, path: str, kind: str, columns: list[str] | None, rows) -> DataFrame:
+    """Files of fixed-size records by ranges, together with the others, whose whole text a task turns into ``rows``."""
+    ranged, whole = [], []
+    for file, length in records.listed(spark, path):
+        (ranged if records.FORMATS[kind][1](records.header(file, length), length) else whole).append((file, length))
+    out = records._read(spark, ranged, kind, columns, records.SPLIT) if ranged else None
+    if whole:
 
-        for b in batches:
-            for source, content in zip(b["path"], b["content"]):
-                row, col, channel, value = depth_columns(bytes(content), interleaved)
-                yield pd.DataFrame({"source": source, "row": row, "col": col, "channel": channel, "depth": value})
+        def read(batches):
+            import pandas as pd
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "source string, row int, col int, channel int, depth float")
+            for b in batches:
+                for source, content in zip(b["path"], b["content"]):
+                    found, names, types = rows(bytes(content))
+                    got = pd.DataFrame(found, columns=names).astype(types)
+                    got.insert(0, "source", source)
+                    yield got
 
+        texts = spark.read.format("binaryFile").load([f for f, _ in whole]).select("path", "content").mapInPandas(read, records.FORMATS[kind][0])
+        texts = texts.select(*columns) if columns else texts
+        out = texts if out is None else out.unionByName(texts)
+    return out
 
-def depth_cells(data: bytes, channels_last: bool = False):
-    """(row, col, channel, value) of a depth array's bytes."""
-    return zip(*(a.tolist() for a in depth_columns(data, channels_last)))
 
+def read_las(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """source, idx, x, y, z (metres), r, g, b (16 bits, null where the format has none), class, intensity, gps_time of LAS files, read in ranges of records."""
+    return records.read_records(spark, path, "las", columns)
 
-def depth_columns(data: bytes, channels_last: bool = False):
-    """The same as four arrays."""
-    import numpy as np
 
-    *head, values = data.split(b"&", 3)
-    w, h, c = map(int, head)
-    v = np.frombuffer(values, "<f4", w * h * c)
-    at = np.unravel_index(np.arange(w * h * c), (h, w, c) if channels_last else (c, h, w))
-    row, col, channel = at if channels_last else (at[1], at[2], at[0])
-    return row, col, channel, v
+def read_depth_arrays(spark: SparkSession, path: str, interleaved: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """source, row, col, channel, depth of arrays with an ASCII ``w&h&c&`` header, then float32; older files have the channels last (``interleaved``). Read in ranges."""
+    return records.read_records(spark, path, "depth_interleaved" if interleaved else "depth", columns)
