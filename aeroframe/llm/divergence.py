@@ -27,6 +27,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,18 +35,19 @@ from .common import materialise, tidy
 
 SCALE = 1_000_000_000
 #: A task spills when its stripes have this many cells, a cell being a term's count in one source.
-CELLS = 400_000
+CELLS = 1_500_000
 #: Terms of a slice, and sources of a block.
-SLICE, BLOCK = 20_000, 256
+SLICE, BLOCK = 5_000, 256
 WINDOW = 1 << 20
 #: A-Z to lower case, other bytes of ASCII but letters to blanks; bytes of other characters stay.
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
+_COLUMNS = ["lang", "term", "df", "sources", "counts"]
 _MERGED = "lang string, term binary, df long, sources array<string>, counts array<long>"
 
 
-def terms(text: bytes) -> Counter:
-    """Each term of a text with its occurrences."""
-    found, at = Counter(), 0
+def terms(text: bytes):
+    """A text's terms, with repeats, one list a window."""
+    at = 0
     while at < len(text):
         end = at + WINDOW
         part = text[at:end].translate(_FOLD)
@@ -57,82 +59,109 @@ def terms(text: bytes) -> Counter:
                 cut = part.rfind(b" ")
             if end < len(text):
                 part = part[:cut]
-        found.update(part.split())
+        yield part.split()
         at += max(len(part), 1)
-    return found
+
+
+class Stripes:
+    """The stripes of a language in one task, column by column: each term's document frequency, and its count in each source.
+
+    The empty term stands in every source's column, so sources without terms are known."""
+
+    def __init__(self):
+        self.df, self.counts = Counter({b"": 0}), {}
+
+    def add(self, text: bytes, source: str) -> int:
+        """Folds a document in; returns the cells that are new."""
+        column = self.counts.setdefault(source, Counter({b"": 0}))
+        before, distinct = len(column), set()
+        for found in terms(text):
+            column.update(found)
+            distinct.update(found)
+        self.df.update(distinct)
+        return len(column) - before
+
+    def rows(self, lang: str, most: int = 10_000):
+        """Row by row: one stripe a term."""
+        place = {t: i for i, t in enumerate(self.df)}
+        names = list(self.counts)
+        at = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in self.counts.values()])
+        of = np.repeat(np.arange(len(names)), [len(c) for c in self.counts.values()])
+        n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in self.counts.values()])
+        order = np.argsort(at, kind="stable")
+        sources = pa.DictionaryArray.from_arrays(of[order].astype("i4"), pa.array(names, pa.string())).cast(pa.string())
+        counts, edges = pa.array(n[order]), np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(place)))])
+        words, df = list(place), np.fromiter(self.df.values(), np.int64, len(place))
+        for i in range(0, len(words), most):
+            j = min(i + most, len(words))
+            offsets, cells = (edges[i : j + 1] - edges[i]).astype("i4"), (edges[i], edges[j] - edges[i])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (j - i), pa.string()), pa.array(words[i:j], pa.binary()), pa.array(df[i:j]), pa.ListArray.from_arrays(offsets, sources.slice(*cells)), pa.ListArray.from_arrays(offsets, counts.slice(*cells))], _COLUMNS)
 
 
 def stripes(docs: DataFrame, cells: int = CELLS) -> DataFrame:
-    """Spilled stripes; the empty term has the sources that occur in a language, with count 0."""
+    """Spilled stripes of all documents."""
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "lang", "source"))
     src = docs.select(F.encode(text, "UTF-8").alias("text"), lang.alias("lang"), source.alias("source"))
 
     @tidy
     def run(batches):
         held, size = {}, 0
-
-        def spill():
-            for lang, by_term in held.items():
-                rows = list(by_term.items())
-                for at in range(0, len(rows), 10_000):
-                    part = rows[at : at + 10_000]
-                    offsets = np.cumsum([0, *(len(s) - 1 for _, s in part)]).astype("<i4")
-                    sources = pa.array([x for _, s in part for x in s if x is not None], pa.string())
-                    counts = pa.array([n for _, s in part for x, n in s.items() if x is not None], pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([t for t, _ in part], pa.binary()), pa.array([s[None] for _, s in part], pa.int64()), pa.ListArray.from_arrays(offsets, sources), pa.ListArray.from_arrays(offsets, counts)], ["lang", "term", "df", "sources", "counts"])
-
         for b in batches:
             texts = b.column(0)
             for k, (lang, source) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                by_term = held.setdefault(lang, {})
-                by_term.setdefault(b"", {None: 0})[source] = 0
-                for term, n in terms(texts[k].as_py()).items():
-                    stripe = by_term.get(term)
-                    if stripe is None:
-                        by_term[term] = {None: 1, source: n}
-                        size += 1
-                        continue
-                    stripe[None] += 1
-                    if source in stripe:
-                        stripe[source] += n
-                    else:
-                        stripe[source] = n
-                        size += 1
+                if lang not in held:
+                    held[lang] = Stripes()
+                size += held[lang].add(texts[k].as_py(), source)
                 if size >= cells:
-                    yield from spill()
+                    for lang, folded in held.items():
+                        yield from folded.rows(lang)
                     held, size = {}, 0
-        yield from spill()
+        for lang, folded in held.items():
+            yield from folded.rows(lang)
 
     return src.mapInArrow(run, _MERGED)
 
 
+def merged_stripes(b: pa.RecordBatch, min_docs: int) -> pa.RecordBatch:
+    """Neighbouring rows of a term as one; all but the last one only if kept."""
+    n = b.num_rows
+    new = np.zeros(n, bool)
+    new[0] = True
+    for c in b.columns[:2]:
+        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    df = np.add.reduceat(b.column(2).to_numpy(), starts)
+    keep = (df >= min_docs) | (pc.binary_length(b.column(1).take(pa.array(starts))).to_numpy() == 0)
+    keep[-1] = True
+    rows = b.filter(pa.array(keep[group]))
+    group = np.repeat((np.cumsum(keep) - 1)[group[keep[group]]], pc.list_value_length(rows.column(3)).to_numpy())
+    coded = rows.column(3).flatten().dictionary_encode()
+    cell = group * len(coded.dictionary) + coded.indices.to_numpy()
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    at = np.flatnonzero(np.diff(cell, prepend=-1))
+    counts = np.add.reduceat(rows.column(4).flatten().to_numpy()[order], at)
+    cell = cell[at]
+    offsets = np.searchsorted(cell, np.arange(keep.sum() + 1) * len(coded.dictionary)).astype("i4")
+    sources = coded.dictionary.take(pa.array(cell % len(coded.dictionary)))
+    first = pa.array(starts[keep])
+    return pa.RecordBatch.from_arrays([b.column(0).take(first), b.column(1).take(first), pa.array(df[keep]), pa.ListArray.from_arrays(offsets, sources), pa.ListArray.from_arrays(offsets, pa.array(counts))], _COLUMNS)
+
+
 def merge(spilled: DataFrame, min_docs: int) -> DataFrame:
     """One stripe a term of at least ``min_docs`` documents, and the empty term of each language."""
 
     @tidy
     def run(batches):
-        lang = term = None
-        df, total = 0, {}
-
-        def rows(out):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())))], ["lang", "term", "df", "sources", "counts"])
-
-        def done():
-            return [(lang, term, df, list(total), list(total.values()))] if lang is not None and (df >= min_docs or not term) else []
-
+        last = None
         for b in batches:
-            out = []
-            for of, t, n, sources, counts in zip(*(c.to_pylist() for c in b.columns)):
-                if (of, t) != (lang, term):
-                    out += done()
-                    lang, term, df, total = of, t, 0, {}
-                df += n
-                for s, k in zip(sources, counts):
-                    total[s] = total.get(s, 0) + k
-            if out:
-                yield rows(out)
-        if out := done():
-            yield rows(out)
+            if b.num_rows:
+                b = pa.RecordBatch.from_arrays(b.columns, _COLUMNS)
+                found = merged_stripes(pa.concat_batches([last, b]) if last else b, min_docs)
+                yield found.slice(0, found.num_rows - 1)
+                last = found.slice(found.num_rows - 1)
+        if last and (last.column(2)[0].as_py() >= min_docs or not last.column(1)[0].as_py()):
+            yield last
 
     return spilled.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, _MERGED)
 
