@@ -12,7 +12,7 @@ DEFAULTS = {
     "ingest": {"candidate_hz": 5.0, "min_keyframes": 20, "sharpness_reject_pct": 15.0, "max_gap_s": 2.0},
     "sfm": {"min_registered_ratio": 0.8, "max_reproj_px": 1.5},
     "georef": dict(estimate.CONFIG),
-    "fusion": {"voxel_m": 0.3, "trunc_m": 0.9, "max_depth_m": 300.0, "footprint": 1.5, "least_weight": 1.0, "min_points": 1000},
+    "fusion": {"voxel_m": 0.3, "trunc_m": 0.9, "max_depth_m": 300.0, "footprint": 1.5, "least_weight": 1.0, "min_points": 1000, "min_faces": 1000, "min_component_frac": 0.01},
     "products": {"gsd": 0.25, "max_window_m": 40.0, "slope": 0.15, "dh0": 0.3, "dh_max": 3.0, "fill_cells": 6},
     "completion": dict(buildings.CONFIG),
 }

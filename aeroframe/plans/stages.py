@@ -149,20 +149,23 @@ def georef_stage(r: Runner):
 
 
 def fusion_stage(r: Runner):
-    """Depth pixels (table ``pixels`` of the stage ``depth``: image, row, col, z, conf, r, g, b, in the model's units) to one cloud in local metres.
+    """Depth pixels (table ``pixels`` of the stage ``depth``: image, row, col, z, conf, r, g, b, in the model's units) to one cloud and one mesh in local metres.
 
-    Poses and depths move with the georeferenced frame; pixels that are unsure, far, coarse or grazing are left out."""
+    Poses and depths move with the georeferenced frame; pixels that are unsure, far, coarse
+    or grazing are left out. Small parts of the mesh go; its vertices know in how many
+    images they are seen, and the report has the area that at least two see."""
     from ..functions.camera import unproject_pinhole
     from ..functions.geodesy import camera_centre, pose_to_enu
     from ..functions.vectors import mat_vec, transpose
-    from ..operators import depth, gates, visibility
+    from ..operators import depth, gates, mesh, surface, visibility
 
     c, f = r.config["fusion"], r.table("georef", "frame").first()
     cams = r.table("sfm", "images").select("image", "fx", "fy", "cx", "cy", "r_cw", "t_cw")
     rot, t = pose_to_enu(F.col("r_cw"), F.col("t_cw"), f["scale"], F.array(*map(F.lit, f["rotation"])), [F.lit(v) for v in f["translation"]])
     cams = materialise(cams.withColumns({"r_cw": rot, "t_cw": t}))
     cams = cams.withColumns(dict(zip(("cam_x", "cam_y", "cam_z"), camera_centre(F.col("r_cw"), F.col("t_cw")))))
-    pix = r.table("depth", "pixels").withColumn("z", F.col("z") * f["scale"]).join(visibility.camera_table(cams), "image")
+    maps = r.table("depth", "pixels").withColumn("z", F.col("z") * f["scale"])
+    pix = maps.join(visibility.camera_table(cams), "image")
     pix = visibility.grazing_ok(pix, F.col("fx"), F.col("fy"), F.col("cx"), F.col("cy"))
     fx = r.table("sfm", "images").agg(F.percentile("fx", 0.5)).first()[0]
     kept = depth.fusion_pixels(pix, fx, c["voxel_m"], c["max_depth_m"], c["footprint"])
@@ -170,9 +173,17 @@ def fusion_stage(r: Runner):
     x, y, z = unproject_pinhole(F.col("col") + 0.5, F.col("row") + 0.5, F.col("z"), k)
     away = mat_vec(transpose(F.col("r_cw")), (x, y, z))
     rays = kept.select(*[(v + F.col(f"cam_{a}")).alias(a) for v, a in zip(away, "xyz")], "cam_x", "cam_y", "cam_z", F.col("conf").alias("w"), *[F.col(c).cast("double").alias(c) for c in "rgb"])
-    points = materialise(depth.surface_points(depth.integrate(rays, c["voxel_m"], c["trunc_m"]), c["voxel_m"], c["least_weight"]))
-    m = points.agg(F.count(F.lit(1)).alias("points"))
-    return {"points": points}, gates.gate(m, {"points": F.col("points") >= c["min_points"]}, ["points"])
+    voxels = materialise(depth.integrate(rays, c["voxel_m"], c["trunc_m"]))
+    points = materialise(depth.surface_points(voxels, c["voxel_m"], c["least_weight"]))
+    raw = surface.surface_mesh(voxels, c["voxel_m"], c["least_weight"])
+    vertices, faces = surface.large_parts(*raw, c["min_component_frac"])
+    sizes = maps.groupBy("image").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+    vertices = materialise(visibility.view_counts(vertices, cams.join(sizes, "image"), maps, id_col="vid"))
+    n, kept = raw[1].count(), faces.count()
+    m = points.agg(F.count(F.lit(1)).alias("points")).crossJoin(mesh.coverage(faces, vertices))
+    m = m.withColumns({"faces": F.lit(kept), "kept_face_ratio": F.lit(kept / max(n, 1))})
+    gate = {"points": F.col("points") >= c["min_points"], "faces": F.col("faces") > c["min_faces"], "kept_faces": F.col("kept_face_ratio") >= 0.6}
+    return {"points": points, "vertices": vertices, "faces": faces}, gates.gate(m, gate, ["points", "faces", "kept_face_ratio", "coverage"])
 
 
 def completion_stage(r: Runner):

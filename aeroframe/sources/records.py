@@ -204,6 +204,8 @@ class RecordReader(DataSourceReader):
     def read(self, part: Range):
         from pyspark.sql.pandas.types import to_arrow_type
 
+        if part is None:  # no file has a record
+            return
         at, make = part.layout, FORMATS[self.kind][2]
         kind = np.dtype({"names": list(at.fields), "formats": [t for t, _ in at.fields.values()], "offsets": [o for _, o in at.fields.values()], "itemsize": at.size})
         with open_file(part.path) as f:

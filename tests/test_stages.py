@@ -57,4 +57,11 @@ def test_from_telemetry_to_cloud(spark, tmp_path):
     assert abs(f.scale - SCALE) < 0.05 and np.allclose(np.array(f.rotation).reshape(3, 3), TURN, atol=0.01) and np.allclose(f.translation, SHIFT, atol=0.5) and f.epsg == 32632 and f.rmse_holdout_m < 0.5
     z = np.array([p.z for p in r.table("fusion", "points").select("z").collect()])
     assert len(z) > 200 and abs(np.median(z) + 60) < 0.5 and np.percentile(np.abs(z + 60), 90) < 1.5
+    from aeroframe.operators import surface
+
+    vertices, faces = r.table("fusion", "vertices"), r.table("fusion", "faces")
+    m = surface.mesh_report(vertices, faces).first()
+    assert m.odd_edges == 0 and m.faces > 500 and m.area_m2 > 1000 and vertices.agg(F.max("views")).first()[0] >= 2
+    z = np.array([p.z for p in vertices.select("z").collect()])
+    assert abs(np.median(z) + 60) < 0.5
     assert r.run(stages.SURVEY_STAGES[:3])["stages"]["georef"]["cached"]
