@@ -129,9 +129,21 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     lm = model(learn.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), order)
 
     judged = urls.where("fold IS NULL OR fold = 0").select("text", "by_rule", "n", F.explode(grams(F.col("text"), order)).alias("gram"))
-    ratios = gram_scores(materialise(judged.select("gram").distinct()), lm, order)
+    wanted = materialise(judged.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    ratios = gram_scores(wanted.select("gram"), lm, order)
     per_url = judged.groupBy("text", "by_rule", "gram").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("times"))
-    scored = per_url.join(ratios, "gram").groupBy("text", "by_rule").agg((F.sum(F.col("ratio") * F.col("times")) / F.sum("times")).alias("score"), F.first("n").alias("n"))
+    # Grams of very many urls, at most twice as many as partitions, are broadcast.
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = wanted.agg(F.sum("n")).first()[0] or 0
+    share = max(LEAST_HOT, total // (2 * parts))
+    often = wanted.where(F.col("n") > share).select("gram")
+    if total > share and not often.isEmpty():
+        ratios = materialise(ratios)
+        usual = per_url.join(F.broadcast(often), "gram", "left_anti").join(ratios, "gram")
+        with_ratio = usual.unionByName(per_url.join(F.broadcast(ratios.join(F.broadcast(often), "gram", "left_semi")), "gram"))
+    else:
+        with_ratio = per_url.join(ratios, "gram")
+    scored = with_ratio.groupBy("text", "by_rule").agg((F.sum(F.col("ratio") * F.col("times")) / F.sum("times")).alias("score"), F.first("n").alias("n"))
     scored = materialise(scored)
     cut = scored.agg(
         F.percentile_approx(F.when(is_a, F.col("score")), 0.05, 10000).alias("low_a"),
@@ -144,7 +156,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     by_method = F.when(F.col("score") < threshold, F.lit("block")).otherwise(F.lit("allow"))
     decided = rows.where("by_rule IS NOT NULL").select("page_id", "host", "path", "rule", F.col("by_rule").alias("verdict"), F.lit(None).cast("double").alias("score"))
     # Urls of very many pages, at most twice as many as partitions, are broadcast.
-    undecided, parts = rows.where("by_rule IS NULL"), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    undecided = rows.where("by_rule IS NULL")
     total = scored.where("by_rule IS NULL").agg(F.sum("n")).first()[0] or 0
     share = max(LEAST_HOT, total // (2 * parts))
     often = materialise(scored.where("by_rule IS NULL").where(F.col("n") > share).select("text", "score"))
