@@ -179,6 +179,52 @@ def test_conversation_of_control_strings(spark):
     assert r.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
 
 
+def test_conversations_of_the_whole_table(spark):
+    """Turns and what is trained on, from the given rows alone."""
+    turns = {}
+    for r in given("conversations"):
+        turns.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"] or ""))
+    got = {r.conv_id: r for r in queries()["op5_chat_format"](spark, DATA).collect()}
+    assert set(got) == set(turns) | {-1}
+    for i, rows in turns.items():
+        rows = [r[1:] for r in sorted(rows, key=lambda r: r[0])]
+        said = "".join(t for role, t in rows if role == "assistant")
+        assert (got[i].n_turns, got[i].turns_sha256) == (len(rows), hashlib.sha256("".join(f"{a}\n{t}\n" for a, t in rows).encode()).hexdigest())
+        assert (got[i].loss_chars, got[i].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+        assert got[i].formatted_chars >= sum(len(a) + len(t) for a, t in rows)
+
+
+def test_planted_entities_of_every_kind(spark):
+    """Entities that this test makes itself: each goes, alike everywhere, unlike any other, in its own form."""
+    made = {
+        "email": ["a.b@corp.org", "x@y.net"], "phone": ["+49 30 1234567", "+1 (264) 555-1012"], "iban": ["DE89 3704 0044 0532 0130 00"], "ip": ["78.241.210.149", "91.12.33.7"],
+        "card": ["4539 1488 0343 6467"], "name": ["Dr Jane Doe", "Mr Paul Miller"], "secret": ["password = hunter2secret9"],
+    }
+    rows, of = [], []
+    for kind, values in made.items():
+        for v in values:
+            for k in range(2):
+                of.append((kind, v))
+                rows.append((len(rows), f"Note {k} holds ({v}) and goes on."))
+    got = {r.doc_id: r.text for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    seen = {}
+    for i, (kind, v) in enumerate(of):
+        m = re.fullmatch(r"Note \d holds \((.*)\) and goes on\.", got[i])
+        assert m and m[1] != v, (kind, got[i])
+        assert seen.setdefault((kind, v), m[1]) == m[1]
+        if kind in ("iban", "card"):
+            assert re.sub(r"\d", "9", m[1])[-6:] == re.sub(r"\d", "9", v)[-6:] and len(m[1]) == len(v)
+        elif kind == "phone":
+            assert m[1].startswith("+") and len(re.sub(r"\D", "", m[1])) == len(re.sub(r"\D", "", v))
+        elif kind == "ip":
+            assert all(int(x) < 256 for x in m[1].split(".")) and m[1].count(".") == 3
+        elif kind == "name":
+            assert m[1].split(" ")[0] == v.split(" ")[0] and len(m[1].split(" ")) == 3
+        elif kind == "secret":
+            assert m[1].startswith("password = ") and len(m[1]) == len(v)
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_mix_of_the_whole_table(spark):
     size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in given("documents")}
     source = {r["doc_id"]: r["source"] for r in given("documents")}
