@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import norm
 from ..session import materialise
-from .quantiles import exact_percentiles
+from .quantiles import medians
 
 # Classes of the point cloud standard.
 GROUND, VEGETATION, BUILDING, ROAD = 2, 5, 6, 11
@@ -37,7 +37,7 @@ def voxel_first(points: DataFrame, size: float, order: str = "id") -> DataFrame:
 
 def outliers_global(points: DataFrame, ratio: float = 2.0) -> DataFrame:
     """Points closer to the component-wise median than mean plus ratio deviations (population)."""
-    mid = {c: exact_percentiles(points, c, [0.5])[0] for c in "xyz"}
+    mid = medians(points, "xyz")
     p = points.withColumn("dist", norm(*[F.col(c) - F.lit(mid[c]) for c in "xyz"]))
     lim = p.agg((F.avg("dist") + ratio * F.stddev_pop("dist")).alias("lim"))
     return p.crossJoin(F.broadcast(lim)).where("dist < lim").drop("lim")

@@ -31,6 +31,14 @@ def exact_percentiles(df: DataFrame, column, shares: list[float], small: int = S
     return out
 
 
+def medians(df: DataFrame, columns, small: int = SMALL) -> dict[str, float | None]:
+    """The exact median of each column, of short columns in one pass."""
+    if df.count() > small:
+        return {c: exact_percentiles(df, c, [0.5])[0] for c in columns}
+    held = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    return df.agg(*[F.percentile(held(c), 0.5).alias(c) for c in columns]).first().asDict()
+
+
 def _ranked(v: DataFrame, n: int, k: int, narrow: int) -> float:
     """The value of rank k, from 0."""
     while True:

@@ -315,3 +315,14 @@ def mask_iou(cells: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     """Intersection over union of two 0/1 columns, 0 where both are empty."""
     both, either = F.count_if((F.col(a) == 1) & (F.col(b) == 1)), F.count_if((F.col(a) == 1) | (F.col(b) == 1))
     return cells.groupBy(*keys).agg(F.when(either > 0, both / either).otherwise(0.0).alias("iou"))
+
+
+def masked_fractions(masks: DataFrame, key: str = "image", flag: str = "dynamic") -> DataFrame:
+    """The share of each image's pixels that its mask covers. Masks: key, row, col, flag; every pixel listed."""
+    return masks.groupBy(key).agg(F.avg(F.coalesce(F.col(flag), F.lit(False)).cast("int")).alias("masked_fraction"))
+
+
+def mask_report(masks: DataFrame, key: str = "image", flag: str = "dynamic") -> DataFrame:
+    """One row over all images: how many there are, and the mean and the greatest share that is masked (0 without images)."""
+    f = F.col("masked_fraction")
+    return masked_fractions(masks, key, flag).agg(F.count(F.lit(1)).alias("num_masks"), F.coalesce(F.avg(f), F.lit(0.0)).alias("mean_masked_fraction"), F.coalesce(F.max(f), F.lit(0.0)).alias("max_masked_fraction"))

@@ -187,11 +187,11 @@ def plane_axes(spark, d):
     return s.select("id", F.round(u[0], 8).alias("ux"), F.round(u[2], 8).alias("uz"), F.round(v[0], 8).alias("vx"), F.round(v[2], 8).alias("vz"))
 
 
-@query(f"""WITH p AS (SELECT id, s_ AS col, t_ AS row, x + (s_ - 1.5)*0.5 + 1 AS px, z + 2 - (t_ - 1.5)*0.5 AS pz FROM ({SPOTS}), (SELECT unnest(range(8)) AS s_) a, (SELECT unnest(range(8)) AS t_) b WHERE id < 50) SELECT id, cast(row AS int) AS row, cast(col AS int) AS col, round(px, 6) AS x, round(pz, 6) AS z FROM p""")
+@query(f"""WITH p AS (SELECT id, s_ AS col, t_ AS row, x + (s_ - 1.5)*0.5 + 1 AS px, z + 2 - (t_ - 1.5)*0.5 AS pz FROM ({SPOTS}), (SELECT unnest(range(8)) AS s_) a, (SELECT unnest(range(8)) AS t_) b) SELECT id, cast(row AS int) AS row, cast(col AS int) AS col, round(px, 6) AS x, round(pz, 6) AS z FROM p""")
 def patch_texels(spark, d):
     """Texel centres of upright patches of two by two metres."""
     axis = lambda *v: F.array(*[F.lit(float(x)) for x in v])
-    p = Views(spark, d).spots().where("id < 50").select("id", F.array("x", "y", "z").alias("o"), axis(1, 0, 0).alias("e1"), axis(0, 0, 1).alias("e2"), F.lit(1.0).alias("s0"), F.lit(3.0).alias("s1"), F.lit(0.0).alias("t0"), F.lit(2.0).alias("t1"))
+    p = Views(spark, d).spots().select("id", F.array("x", "y", "z").alias("o"), axis(1, 0, 0).alias("e1"), axis(0, 0, 1).alias("e2"), F.lit(1.0).alias("s0"), F.lit(3.0).alias("s1"), F.lit(0.0).alias("t0"), F.lit(2.0).alias("t1"))
     return mesh.patch_texels(p, 0.5).select("id", "row", "col", F.round("x", 6).alias("x"), F.round("z", 6).alias("z"))
 
 
@@ -392,7 +392,7 @@ def srt_files_midpoint(spark, d):
 
 def _text(df, line) -> str:
     where = shared_dir(df.sparkSession)
-    df.select(line.alias("value")).coalesce(1).write.text(where)
+    df.select(line.alias("value")).write.text(where)
     return where
 
 
@@ -493,7 +493,9 @@ twin("grazing_filter", f"""WITH g AS (SELECT row, col, 30 - coalesce(value, 30)
   w AS (SELECT *, ay*bz - az*by_ AS n1, az*bx - ax*bz AS n2, ax*by_ - ay*bx AS n3 FROM v)
   SELECT cast(row AS int) AS row, cast(col AS int) AS col, z > 0 AND zl IS NOT NULL AND zr IS NOT NULL AND zu IS NOT NULL AND zd IS NOT NULL AND coalesce(abs(n1*px + n2*py + n3*z)/nullif(sqrt(n1*n1+n2*n2+n3*n3)*sqrt(px*px+py*py+z*z), 0) >= 0.2, false) AS grazing_ok FROM w""")
 
-twin("wall_meshes", f"""WITH e AS ({_EDGE}), l AS (SELECT *, sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) AS len FROM e) SELECT ring_id, cast(sum(greatest(1, ceil(len/2))*4) AS bigint) AS quads FROM l WHERE len >= 1e-6 GROUP BY ring_id""")
+twin("wall_meshes", f"""WITH e AS ({_EDGE}), l AS (SELECT *, sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) AS len FROM e), n AS (SELECT *, cast(greatest(1, ceil(len/2)) AS bigint) AS nu FROM l WHERE len >= 1e-6),
+  q AS (SELECT *, unnest(range(1, nu+1))/nu::double AS s FROM n), c AS (SELECT *, f.f/4::double AS f1, (f.f-1)/4::double AS f0 FROM q, (SELECT unnest(range(1, 5)) AS f) f)
+  SELECT ring_id, count(*) AS quads, round(sum(x0+s*(x1-x0)), 3) AS x, round(sum(y0+s*(y1-y0)), 3) AS y, round(sum(2+f1*(6+s)), 3) AS top, round(sum(2+f0*(6+s)), 3) AS low FROM c GROUP BY ring_id""")
 
 twin("interp_angle", f"WITH {_ANGLES}, o AS (SELECT user_id, event_id, CASE WHEN ta IS NULL THEN vb WHEN tb IS NULL OR tb = ta THEN va ELSE va + (vb-va)*(t-ta)/(tb-ta) END AS v FROM b) SELECT user_id, event_id, round({_WRAP.format(x='v')}, 3) AS value FROM o")
 

@@ -10,7 +10,7 @@ import traceback
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -111,9 +111,11 @@ def products_stage(r: Runner):
     ground = raster.ground_filter(dsm, c["gsd"], c["max_window_m"], c["slope"], c["dh0"], c["dh_max"])
     dtm = raster.terrain(ground, c["gsd"])
     cells = ground.join(dtm, ["row", "col"]).select("row", "col", F.col("value").alias("dsm"), F.when(F.col("value").isNotNull(), F.col("dtm")).alias("dtm"), "ground", "observed")
-    cells.write.mode("overwrite").parquet(f"{r.folder}/products/cells")
+    # The gate's counts are taken by the pass that writes the table.
+    seen = Observation("cells")
+    cells.observe(seen, F.count_if("observed").alias("observed_cells"), F.count("dsm").alias("surface")).write.mode("overwrite").parquet(f"{r.folder}/products/cells")
     cells = r.spark.read.parquet(f"{r.folder}/products/cells")
-    m = cells.agg(F.count_if("observed").alias("observed_cells"), F.count("dsm").alias("surface"))
+    m = r.spark.createDataFrame([(seen.get["observed_cells"], seen.get["surface"])], "observed_cells long, surface long")
     ortho = r.optional("fusion", "ortho")
     filled = None if ortho is None else ortho.where("alpha > 0").select("row", "col").distinct().count()
     hull = raster.hull_fraction(cells.select("row", "col", F.col("observed").cast("int").alias("value")))

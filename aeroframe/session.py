@@ -82,9 +82,51 @@ SQL_FUNCTIONS = {
 
 
 def register_functions(spark: SparkSession) -> None:
-    """Makes the library's scalar and table functions known to SQL text of the session."""
+    """Makes the library's scalar and table functions known to SQL text of the session.
+
+    ``triangulate(TABLE(rings) PARTITION BY ring_id)`` takes corners (ring_id, pos, x, y) and
+    gives triangles (ring_id, k, a, b, c), corners by their pos."""
     for head, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    spark.udtf.register("triangulate", _triangulate())
+
+
+def _triangulate():
+    from pyspark.sql.functions import udtf
+    from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+    from pyspark.sql.udtf import AnalyzeResult
+
+    class Triangulate:
+        """One ring a partition; its corners may come in any order."""
+
+        def __init__(self):
+            self.ring, self.corners = None, []
+
+        @staticmethod
+        def analyze(rings):
+            if not rings.isTable:
+                raise ValueError("triangulate takes a table of corners")
+            missing = {"ring_id", "pos", "x", "y"} - set(rings.dataType.names)
+            if missing:
+                raise ValueError(f"corners lack {sorted(missing)}")
+            whole = [StructField(c, LongType()) for c in "abc"]
+            return AnalyzeResult(StructType([StructField("ring_id", rings.dataType["ring_id"].dataType), StructField("k", IntegerType()), *whole]))
+
+        def eval(self, row):
+            self.ring = row["ring_id"]
+            self.corners.append((row["pos"], float(row["x"]), float(row["y"])))
+
+        def terminate(self):
+            import numpy as np
+
+            from aeroframe.operators.kernels import triangulate
+
+            corners = sorted(self.corners)
+            if len(corners) >= 3:
+                for k, t in enumerate(triangulate(np.array([c[1:] for c in corners])).tolist()):
+                    yield (self.ring, k, *[int(corners[i][0]) for i in t])
+
+    return udtf(Triangulate)
 
 
 _SHIPPED: set[str] = set()

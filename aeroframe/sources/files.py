@@ -16,7 +16,6 @@ from ..session import materialise
 from .records import pack_records, write_blocks
 
 IMAGE_SUFFIXES = "*.{jpg,jpeg,png,tif,tiff,bmp,JPG,JPEG,PNG,TIF,TIFF,BMP}"
-XMP_BYTES = 200_000
 
 
 # inputs
@@ -76,10 +75,13 @@ def read_sim3(spark: SparkSession, path: str) -> tuple[float, list[float], list[
 def read_xmp(spark: SparkSession, folder: str) -> DataFrame:
     """name and the numbers that image headers carry as drone attributes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", IMAGE_SUFFIXES).load(folder)
-    head = F.decode(F.substring("content", 1, XMP_BYTES), "ISO-8859-1")
+    # The metadata packet wherever it lies; the whole file where no packet is marked.
+    head = F.substring_index(F.substring_index(F.decode("content", "ISO-8859-1"), "</x:xmpmeta>", 1), "<x:xmpmeta", -1)
     # Attribute names of the metadata packet.
     names = {"abs_alt": "AbsoluteAltitude", "rel_alt": "RelativeAltitude", "gimbal_yaw": "GimbalYawDegree", "gimbal_pitch": "GimbalPitchDegree", "gimbal_roll": "GimbalRollDegree", "lat": "GpsLatitude", "lon": "GpsLongitude"}
-    got = [F.regexp_extract(head, rf'{n}\s*=\s*"\s*([-+]?\d+(?:\.\d+)?)', 1).try_cast("double").alias(k) for k, n in names.items()]
+    got = [F.regexp_extract("__packet", rf'{n}\s*=\s*"\s*([-+]?\d+(?:\.\d+)?)', 1).try_cast("double").alias(k) for k, n in names.items()]
+    # A generator of one row keeps the packet from being looked for once a number.
+    files = files.select("path", F.explode(F.array(head)).alias("__packet"))
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), *got)
 
 

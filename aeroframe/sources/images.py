@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +26,10 @@ def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
     def rows(batches):
         for b in batches:
             for name, h, w, n, data in b.itertuples(index=False):
-                a = memoryview(bytes(data))
-                px = pd.DataFrame({"image": name, "row": [i // w for i in range(h * w)], "col": [i % w for i in range(h * w)]})
-                for c, at in zip("rgb", (2, 1, 0) if n >= 3 else (0, 0, 0)):
-                    px[c] = list(a[at::n])
-                yield px
+                a = np.frombuffer(data, np.uint8).reshape(h * w, n)
+                row, col = np.indices((h, w), np.int32).reshape(2, -1)
+                channels = {c: a[:, at].astype(np.int32) for c, at in zip("rgb", (2, 1, 0) if n >= 3 else (0, 0, 0))}
+                yield pd.DataFrame({"image": name, "row": row, "col": col, **channels})
 
     return files.mapInPandas(rows, "image string, row int, col int, r int, g int, b int")
 
