@@ -27,7 +27,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER
 w AS (SELECT *, {list(WEIGHTS)}[r % {len(WEIGHTS)} + 1]::DOUBLE AS w, {float(MAX_COPIES)}::DOUBLE * source_size AS cap FROM s),
 o AS (SELECT *, {TOTAL_SHARE}::DOUBLE * sum(source_size) OVER () AS total, coalesce(sum(cap) OVER b, 0) AS before, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS rest
       FROM w WINDOW b AS (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT min((total - before) / rest) FILTER (WHERE (total - before) / rest * w <= cap) AS level FROM o)
+l AS (SELECT arg_min((total - before) / rest, cap / w) FILTER (WHERE (total - before) / rest * w <= cap) AS level FROM o)
 SELECT d.doc_id, d.size::BIGINT AS size, o.source_size, round(CASE WHEN level IS NULL OR level * w > cap THEN cap ELSE level * w END, 4) AS target
 FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source, l
 """
