@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.camera import intrinsics, project, unproject
 from ..functions.vectors import cross, dot, mat_mul, mat_vec, norm, transpose
@@ -25,6 +26,7 @@ from .visibility import CAMERA_ROWS
 BEHIND = 1e8
 #: Places of a symmetric 3x3 matrix's six numbers.
 _SIX = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+_PLACE = [[0, 1, 2], [1, 3, 4], [2, 4, 5]]
 
 
 def _inverse(s: Column) -> Column:
@@ -36,8 +38,7 @@ def _inverse(s: Column) -> Column:
 
 
 def _symmetric(s: Column, v: list[Column]) -> list[Column]:
-    full = [[0, 1, 2], [1, 3, 4], [2, 4, 5]]
-    return [sum(s[full[i][j]] * v[j] for j in range(1, 3)) + s[full[i][0]] * v[0] for i in range(3)]
+    return [sum((s[_PLACE[i][j]] * v[j] for j in (1, 2)), s[_PLACE[i][0]] * v[0]) for i in range(3)]
 
 
 def _posed(observations: DataFrame, images: DataFrame, cameras: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,7 +112,7 @@ def _linearise(posed: DataFrame, keys: list[str]) -> DataFrame:
     return o.select(*keys, "point_id", "image_id", "lam", "e", F.array(*jc).alias("jc"), F.array(*jp).alias("jp"))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _inverses(blocks: pd.Series) -> pd.Series:
     """Inverses of 6x6 blocks; a camera that nothing moves gets a block that leaves it alone."""
     if not len(blocks):
@@ -158,67 +159,68 @@ class _Model:
         squares = F.sum(F.when(ok, F.col("err") * F.col("err")).otherwise(BEHIND))
         return materialise(e.groupBy(*self.keys, "lam_id").agg(squares.alias("cost"), F.avg(F.when(ok, F.col("err"))).alias("error"), F.count(F.lit(1)).alias("observations")))
 
-    def eliminated(self, o: DataFrame, t: list[Column]) -> tuple[DataFrame, list[Column]]:
+    def eliminated(self, o: DataFrame, t: tuple[str, str]) -> tuple[DataFrame, list[str]]:
         """What is left of two numbers an observation when its point follows as it likes."""
-        w = Window.partitionBy(*self.point)
-        jp = [F.col("jp")[i] for i in range(6)]
-        o = o.withColumns({f"__p{i}": F.sum(jp[i] * t[0] + jp[3 + i] * t[1]).over(w) for i in range(3)})
-        m = _symmetric(F.col("vinv"), [F.col(f"__p{i}") for i in range(3)])
-        return o, [t[k] - sum(jp[3 * k + i] * m[i] for i in range(3)) for k in (0, 1)]
+        w = "PARTITION BY " + ", ".join(f"`{c}`" for c in self.point)
+        o = o.selectExpr("*", *[f"sum(jp[{i}]*{t[0]} + jp[{3 + i}]*{t[1]}) OVER ({w}) AS __p{i}" for i in range(3)])
+        m = [" + ".join(f"vinv[{_PLACE[i][j]}]*__p{j}" for j in range(3)) for i in range(3)]
+        return o, [f"({t[k]} - ({' + '.join(f'jp[{3 * k + i}]*({m[i]})' for i in range(3))}))" for k in (0, 1)]
 
-    def moved(self, rows: DataFrame, p: DataFrame) -> tuple[DataFrame, list[Column]]:
-        """Observations with how far the step p (image, step) moves them."""
+    def moved(self, rows: DataFrame, p: DataFrame) -> DataFrame:
+        """Observations with how far (__t0, __t1) the step p (image, step) moves them."""
         o = rows.join(self.sent(p), self.image)
-        return o, [sum(F.col("jc")[6 * k + i] * F.col("step")[i] for i in range(6)) for k in (0, 1)]
+        return o.selectExpr("*", *[" + ".join(f"jc[{6 * k + i}]*step[{i}]" for i in range(6)) + f" AS __t{k}" for k in (0, 1)])
+
+    def by_image(self, o: DataFrame, s: list[str], name: str, *more: str) -> DataFrame:
+        back = ", ".join(f"sum(jc[{i}]*__s0 + jc[{6 + i}]*__s1)" for i in range(6))
+        o = o.selectExpr("*", *[f"{t} AS __s{k}" for k, t in enumerate(s)])
+        return o.groupBy(*self.image).agg(*map(F.expr, (f"array({back}) AS {name}", *more)))
+
 
-    def by_image(self, o: DataFrame, s: list[Column], name: str, *more: Column) -> DataFrame:
-        back = [F.sum(F.col("jc")[i] * s[0] + F.col("jc")[6 + i] * s[1]) for i in range(6)]
-        return o.groupBy(*self.image).agg(F.array(*back).alias(name), *more)
+def _vector(text: str) -> str:
+    """A text with # for the place, over six places."""
+    return f"array({', '.join(text.replace('#', str(i)) for i in range(6))})"
 
 
-def _vector(f, *names: str) -> Column:
-    return F.array(*[f(*[F.col(n)[i] for n in names]) for i in range(6)])
+def _sum(text: str) -> str:
+    return f"sum({' + '.join(text.replace('#', str(i)) for i in range(6))})"
 
 
-def _product(a: str, b: str) -> Column:
-    return sum(F.col(a)[i] * F.col(b)[i] for i in range(6))
+_SOLVED = "array(" + ", ".join(" + ".join(f"inv[{6 * i + j}]*r[{j}]" for j in range(6)) for i in range(6)) + ") AS z"
 
 
 def _shift(m: _Model, rows: DataFrame, steps: int) -> DataFrame:
-    """The cameras' step (image, step) by preconditioned conjugate gradients, one written table a step."""
-    o, s = m.eliminated(rows, [F.col("e")[0], F.col("e")[1]])
-    blocks = [F.sum(F.col("jc")[i] * F.col("jc")[j] + F.col("jc")[6 + i] * F.col("jc")[6 + j]) for i in range(6) for j in range(6)]
-    start = m.by_image(o, s, "pull", F.array(*blocks).alias("block"), F.first("lam").alias("lam"))
-    start = start.withColumn("damp", F.array(*[F.col("block")[7 * i] * F.col("lam") for i in range(6)]))
-    damped = F.array(*[F.col("block")[6 * i + j] + (F.col("damp")[i] if i == j else 0.0) for i in range(6) for j in range(6)])
-    start = start.withColumns({"inv": _inverses(damped), "r": _vector(lambda x: -x, "pull"), "x": F.array(*[F.lit(0.0)] * 6)})
-    solved = F.array(*[sum(F.col("inv")[6 * i + j] * F.col("r")[j] for j in range(6)) for i in range(6)])
-    state = start.withColumn("z", solved).select(*m.image, F.lit(0).alias("lam_id"), "damp", "inv", "x", "r", "z", F.col("z").alias("p"))
-    state = materialise(state)
+    """The cameras' step (image, step) by preconditioned conjugate gradients, with one table written and one sum over a model a step.
+
+    Both sums that a step needs are taken of the same table: the length of its
+    direction follows from the step before."""
+    o, s = m.eliminated(rows, ("e[0]", "e[1]"))
+    blocks = ", ".join(f"sum(jc[{i}]*jc[{j}] + jc[{6 + i}]*jc[{6 + j}])" for i in range(6) for j in range(6))
+    start = m.by_image(o, s, "pull", f"array({blocks}) AS block", "first(lam) AS lam")
+    start = start.selectExpr(*m.image, "block", f"array({', '.join(f'block[{7 * i}]*lam' for i in range(6))}) AS damp", f"{_vector('-pull[#]')} AS r")
+    damped = ", ".join(f"block[{6 * i + j}]" + (f" + damp[{i}]" if i == j else "") for i in range(6) for j in range(6))
+    start = start.withColumn("inv", _inverses(F.expr(f"array({damped})")))
+    none = _vector("0D")
+    state = materialise(start.selectExpr(*m.image, "0 AS lam_id", "damp", "inv", f"{none} AS x", "r", _SOLVED, f"{none} AS p", f"{none} AS s", "0D AS len", "0D AS by"))
     whole = [*m.keys, "lam_id"]
     for _ in range(steps):
-        o, t = m.moved(rows, state.select(*m.image, F.col("p").alias("step")))
-        o, s = m.eliminated(o.withColumns({"__t0": t[0], "__t1": t[1]}), [F.col("__t0"), F.col("__t1")])
-        q = m.by_image(o, s, "__q")
-        state = materialise(state.join(q, m.image).withColumn("q", _vector(lambda q, d, p: q + d * p, "__q", "damp", "p")).drop("__q"))
-        far = state.groupBy(*whole).agg(F.sum(_product("p", "q")).alias("pq"), F.sum(_product("r", "z")).alias("rz"))
-        state = state.join(m.sent(far), whole).withColumn("by", F.when(F.col("pq") > 0, F.col("rz") / F.col("pq")).otherwise(0.0))
-        state = state.withColumns({"x": F.array(*[F.col("x")[i] + F.col("by") * F.col("p")[i] for i in range(6)]), "r": F.array(*[F.col("r")[i] - F.col("by") * F.col("q")[i] for i in range(6)])})
-        state = state.withColumn("z", solved)
-        after = state.groupBy(*whole).agg(F.sum(_product("r", "z")).alias("rz2"))
-        keep = F.when(F.col("rz") > 0, F.col("rz2") / F.col("rz")).otherwise(0.0)
-        state = state.join(m.sent(after), whole).withColumn("p", F.array(*[F.col("z")[i] + keep * F.col("p")[i] for i in range(6)]))
-        state = state.select(*m.image, "lam_id", "damp", "inv", "x", "r", "z", "p")
-    return materialise(state.select(*m.image, F.col("x").alias("step")))
+        o, s = m.eliminated(m.moved(rows, state.selectExpr(*m.image, "z AS step")), ("__t0", "__t1"))
+        w = m.by_image(o, s, "__w")
+        state = materialise(state.join(m.sent(w), m.image).selectExpr(*m.image, "lam_id", "damp", "inv", "x", "r", "z", "p", "s", "len", "by", f"{_vector('__w[#] + damp[#]*z[#]')} AS w"))
+        sums = state.groupBy(*whole).agg(*map(F.expr, (_sum("r[#]*z[#]") + " AS len2", _sum("w[#]*z[#]") + " AS wz", "first(len) AS len1", "first(by) AS by1")))
+        sums = sums.selectExpr(*whole, "len2", "if(len1 > 0, len2/len1, 0D) AS keep", "wz - if(by1 > 0, if(len1 > 0, len2/len1, 0D)*len2/by1, 0D) AS pull2")
+        sums = sums.selectExpr(*whole, "len2", "keep", "if(pull2 > 0, len2/pull2, 0D) AS by2")
+        state = state.join(m.sent(sums), whole).selectExpr(*m.image, "lam_id", "damp", "inv", "x", "r", f"{_vector('z[#] + keep*p[#]')} AS p", f"{_vector('w[#] + keep*s[#]')} AS s", "len2 AS len", "by2 AS by")
+        state = state.selectExpr(*m.image, "lam_id", "damp", "inv", f"{_vector('x[#] + by*p[#]')} AS x", f"{_vector('r[#] - by*s[#]')} AS r", "p", "s", "len", "by")
+        state = state.selectExpr(*m.image, "lam_id", "damp", "inv", "x", "r", _SOLVED, "p", "s", "len", "by")
+    return materialise(state.selectExpr(*m.image, "x AS step"))
 
 
 def _followed(m: _Model, rows: DataFrame, step: DataFrame) -> DataFrame:
     """How far each point goes when the cameras take their step: point, dx, dy, dz."""
-    o, t = m.moved(rows, step)
-    jp = [F.col("jp")[i] for i in range(6)]
-    per = o.groupBy(*m.point).agg(F.first("vinv").alias("vinv"), *[F.sum(jp[i] * (t[0] + F.col("e")[0]) + jp[3 + i] * (t[1] + F.col("e")[1])).alias(f"g{i}") for i in range(3)])
-    go = _symmetric(F.col("vinv"), [F.col(f"g{i}") for i in range(3)])
-    return per.select(*m.point, *[(-g).alias(f"d{n}") for g, n in zip(go, "xyz")])
+    o = m.moved(rows, step)
+    per = o.groupBy(*m.point).agg(F.expr("first(vinv) AS vinv"), *[F.expr(f"sum(jp[{i}]*(__t0 + e[0]) + jp[{3 + i}]*(__t1 + e[1])) AS g{i}") for i in range(3)])
+    return per.selectExpr(*m.point, *[f"-({' + '.join(f'vinv[{_PLACE[i][j]}]*g{j}' for j in range(3))}) AS d{n}" for i, n in enumerate("xyz")])
 
 
 def adjust(images: DataFrame, points: DataFrame, observations: DataFrame, cameras: DataFrame, keys: tuple[str, ...] = (), rounds: int = 6, steps: int = 10, damping: float = 1e-3) -> tuple[DataFrame, DataFrame, DataFrame]:

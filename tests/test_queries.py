@@ -44,7 +44,7 @@ def test_every_query_is_checked():
     """What has no SQL twin is run and compared in a test of its own: its name indexes QUERIES there."""
     here = os.path.dirname(__file__)
     run = set()
-    for name in ("test_brute.py", "test_surface.py", "test_motion.py"):
+    for name in ("test_brute.py", "test_surface.py", "test_motion.py", "test_adjust.py"):
         with open(os.path.join(here, name), encoding="utf-8") as f:
             for node in ast.walk(ast.parse(f.read())):
                 if isinstance(node, ast.Subscript) and getattr(node.value, "id", "") == "QUERIES":
