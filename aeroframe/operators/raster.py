@@ -22,11 +22,14 @@ def rasterise_max(points: DataFrame, row, column, z: str = "z", keys: list[str]
     return points.groupBy(*(keys or []), row.alias("row"), column.alias("col")).agg(F.max(z).alias("value"))
 
 
-def dense(cells: DataFrame, height: int, width: int) -> DataFrame:
-    """All cells of a grid; those that were absent hold null."""
-    spark = cells.sparkSession
-    grid = spark.range(height * width).select(F.expr(f"id div {width}").alias("row"), (F.col("id") % width).alias("col"))
-    return grid.join(cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value"), ["row", "col"], "left")
+def dense(cells: DataFrame, height: int, width: int, every: DataFrame | None = None) -> DataFrame:
+    """All cells of a grid, of one for each row of ``every`` (distinct keys) where given; those that were absent hold null."""
+    if every is None:
+        keys, every = [], cells.sparkSession.range(height * width).select(F.expr(f"id div {width}").alias("row"), (F.col("id") % width).alias("col"))
+    else:
+        keys, at = every.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height * width - 1).cast("long")))
+        every = every.withColumn("__at", at).select(*keys, F.expr(f"__at div {width}").alias("row"), (F.col("__at") % width).alias("col"))
+    return every.join(cells.select(*keys, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value"), [*keys, "row", "col"], "left")
 
 
 def _pass(df: DataFrame, agg, value: str, keys: list[str], along: str, across: str, before: int, after: int) -> DataFrame:
@@ -99,7 +102,7 @@ def fill_nearest(df: DataFrame, value: str = "value", keys: list[str] | None = N
     """Holes take the value of the nearest known cell (Euclidean; ties to the smaller row, then column).
 
     One pass finds the nearest known cell of every column above and below, the
-    second, a kernel over one row at a time, the best of these candidates."""
+    second, a kernel over 16 rows at a time, the best of each row's candidates."""
     keys = keys or []
     up = Window.partitionBy(*keys, "col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*keys, "col").orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, 0)
@@ -109,24 +112,28 @@ def fill_nearest(df: DataFrame, value: str = "value", keys: list[str] | None = N
     c = c.withColumn("__n", near).select(*keys, "row", "col", F.col("__n.row").cast("double").alias("nr"), F.col("__n.v").alias("nv"))
     limit = math.inf if max_distance is None else max_distance
 
-    def one_row(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("col", kind="stable")
-        x, dr2, v = pdf["col"].to_numpy(float), (pdf["nr"] - pdf["row"]).to_numpy(float) ** 2, pdf["nv"].to_numpy(float)
+    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["row", "col"], kind="stable")
+        row, x, nr, v = (pdf[c].to_numpy(float) for c in ("row", "col", "nr", "nv"))
         out = np.full(len(x), np.nan)
-        known = ~np.isnan(dr2)
-        if known.any():
-            kx, kd, kv, kr = x[known], dr2[known], v[known], pdf["nr"].to_numpy(float)[known]
-            for at_ in range(0, len(x), 512):
-                d = (x[at_ : at_ + 512, None] - kx) ** 2 + kd
-                # Ties: the smaller row, then the smaller column.
-                best = np.lexsort((np.broadcast_to(kx, d.shape), np.broadcast_to(kr, d.shape), d), axis=1)[:, 0]
-                got = d[np.arange(len(d)), best]
-                out[at_ : at_ + 512] = np.where(got <= limit * limit, kv[best], np.nan)
+        ends = np.flatnonzero(np.diff(row, append=np.inf)) + 1
+        for lo, hi in zip(np.r_[0, ends[:-1]], ends):
+            known = lo + np.flatnonzero(~np.isnan(nr[lo:hi]))
+            if not len(known):
+                continue
+            # Ties go to the first candidate: the smaller row, then the smaller column.
+            known = known[np.lexsort((x[known], nr[known]))]
+            kx, kd, kv = x[known], (nr[known] - row[lo]) ** 2, v[known]
+            for at_ in range(lo, hi, 512):
+                part = slice(at_, min(at_ + 512, hi))
+                d = (x[part, None] - kx) ** 2 + kd
+                best = d.argmin(axis=1)
+                out[part] = np.where(d[np.arange(len(d)), best] <= limit * limit, kv[best], np.nan)
         pdf["value"] = out
         return pdf[[*keys, "row", "col", "value"]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in c.select(*keys, "row", "col").schema) + ", value double"
-    got = c.groupBy(*keys, "row").applyInPandas(one_row, schema)
+    got = c.groupBy(*keys, F.floor(F.col("row") / 16).alias("__block")).applyInPandas(rows, schema)
     got = got.select(*keys, "row", "col", F.when(~F.isnan("value"), F.col("value")).alias("__f"))
     return df.join(got, [*keys, "row", "col"]).withColumn(value, F.coalesce(F.col(value), "__f")).drop("__f")
 

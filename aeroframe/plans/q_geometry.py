@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import camera, geodesy, grids
 from ..operators import buildings, components, depth, estimate, mesh, raster, visibility
-from .registry import GRID, SPOTS, Views, query
+from .registry import GRID, GRIDS, SPOTS, Views, query
 
 _R = "[0.36,0.48,-0.8,-0.8,0.6,0.0,0.48,0.64,0.6]"
 
@@ -176,50 +176,50 @@ def similarities(spark, d):
     return estimate.similarities(_pairs(spark, d), ["grp"])
 
 
-@query(f"""WITH g AS ({GRID}), e AS (SELECT row, col, min(value) OVER (PARTITION BY row ORDER BY col RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS value FROM g)
-  SELECT row, col, min(value) OVER (PARTITION BY col ORDER BY row RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS value FROM e""")
+@query(f"""WITH g AS ({GRIDS}), e AS (SELECT survey, row, col, min(value) OVER (PARTITION BY survey, row ORDER BY col RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS value FROM g)
+  SELECT survey, row, col, min(value) OVER (PARTITION BY survey, col ORDER BY row RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS value FROM e""")
 def erode3(spark, d):
-    return raster.erode(Views(spark, d).grid(), 3)
+    return raster.erode(Views(spark, d).grids(), 3, keys=["survey"])
 
 
-@query(f"SELECT a.row, a.col, max(b.value) AS value FROM ({GRID}) a LEFT JOIN ({GRID}) b ON abs(a.row-b.row) <= 2 AND abs(a.col-b.col) <= 2 GROUP BY 1, 2")
+@query(f"SELECT a.survey, a.row, a.col, max(b.value) AS value FROM ({GRIDS}) a LEFT JOIN ({GRIDS}) b ON a.survey = b.survey AND abs(a.row-b.row) <= 2 AND abs(a.col-b.col) <= 2 GROUP BY 1, 2, 3")
 def dilate5(spark, d):
-    return raster.dilate(Views(spark, d).grid(), 5)
+    return raster.dilate(Views(spark, d).grids(), 5, keys=["survey"])
 
 
-@query(f"""WITH g AS ({GRID}), e AS (SELECT a.row, a.col, min(b.value) AS value FROM g a LEFT JOIN g b ON abs(a.row-b.row) <= 1 AND abs(a.col-b.col) <= 1 GROUP BY 1, 2)
-  SELECT a.row, a.col, max(b.value) AS value FROM e a LEFT JOIN e b ON abs(a.row-b.row) <= 1 AND abs(a.col-b.col) <= 1 GROUP BY 1, 2""")
+@query(f"""WITH g AS ({GRIDS}), e AS (SELECT a.survey, a.row, a.col, min(b.value) AS value FROM g a LEFT JOIN g b ON a.survey = b.survey AND abs(a.row-b.row) <= 1 AND abs(a.col-b.col) <= 1 GROUP BY 1, 2, 3)
+  SELECT a.survey, a.row, a.col, max(b.value) AS value FROM e a LEFT JOIN e b ON a.survey = b.survey AND abs(a.row-b.row) <= 1 AND abs(a.col-b.col) <= 1 GROUP BY 1, 2, 3""")
 def opening3(spark, d):
-    return raster.opening(Views(spark, d).grid(), 3)
+    return raster.opening(Views(spark, d).grids(), 3, keys=["survey"])
 
 
-_DISK = "SELECT a.row, a.col, max(b.value) AS value FROM ({g}) a LEFT JOIN ({g}) b ON (a.row-b.row)*(a.row-b.row)+(a.col-b.col)*(a.col-b.col) <= 9 GROUP BY 1, 2"
+_DISK = "SELECT a.survey, a.row, a.col, max(b.value) AS value FROM ({g}) a LEFT JOIN ({g}) b ON a.survey = b.survey AND (a.row-b.row)*(a.row-b.row)+(a.col-b.col)*(a.col-b.col) <= 9 GROUP BY 1, 2, 3"
 
 
-@query(_DISK.format(g=GRID))
+@query(_DISK.format(g=GRIDS))
 def disk_dilate(spark, d):
-    return raster.disk_filter(Views(spark, d).grid(), F.max, 3)
+    return raster.disk_filter(Views(spark, d).grids(), F.max, 3, keys=["survey"])
 
 
-@query(f"""WITH g AS ({GRID}), a AS (SELECT p.row, p.col, coalesce(any_value(p.value), min(q.value)) AS value FROM g p LEFT JOIN g q ON abs(p.row-q.row) <= 1 AND abs(p.col-q.col) <= 1 GROUP BY 1, 2)
-  SELECT p.row, p.col, coalesce(any_value(p.value), min(q.value)) AS value FROM a p LEFT JOIN a q ON abs(p.row-q.row) <= 1 AND abs(p.col-q.col) <= 1 GROUP BY 1, 2""")
+@query(f"""WITH g AS ({GRIDS}), a AS (SELECT p.survey, p.row, p.col, coalesce(any_value(p.value), min(q.value)) AS value FROM g p LEFT JOIN g q ON p.survey = q.survey AND abs(p.row-q.row) <= 1 AND abs(p.col-q.col) <= 1 GROUP BY 1, 2, 3)
+  SELECT p.survey, p.row, p.col, coalesce(any_value(p.value), min(q.value)) AS value FROM a p LEFT JOIN a q ON p.survey = q.survey AND abs(p.row-q.row) <= 1 AND abs(p.col-q.col) <= 1 GROUP BY 1, 2, 3""")
 def fill_low(spark, d):
-    return raster.fill_low(Views(spark, d).grid(), 2)
+    return raster.fill_low(Views(spark, d).grids(), 2, keys=["survey"])
 
 
-@query(f"""WITH g AS ({GRID}) SELECT a.row, a.col, arg_min(b.value, ((a.row-b.row)*(a.row-b.row)+(a.col-b.col)*(a.col-b.col))*10000 + b.row*100 + b.col) AS value FROM g a, g b WHERE b.value IS NOT NULL GROUP BY 1, 2""")
+@query(f"""WITH g AS ({GRIDS}) SELECT a.survey, a.row, a.col, arg_min(b.value, ((a.row-b.row)*(a.row-b.row)+(a.col-b.col)*(a.col-b.col))*10000 + b.row*100 + b.col) AS value FROM g a JOIN g b USING (survey) WHERE b.value IS NOT NULL GROUP BY 1, 2, 3""")
 def fill_nearest(spark, d):
-    return raster.fill_nearest(Views(spark, d).grid()).select("row", "col", "value")
+    return raster.fill_nearest(Views(spark, d).grids(), keys=["survey"]).select("survey", "row", "col", "value")
 
 
 @query()
 def ground_filter(spark, d):
-    return raster.ground_filter(Views(spark, d).grid(), 2.0, 20.0).select("row", "col", "ground")
+    return raster.ground_filter(Views(spark, d).grids(), 2.0, 20.0, keys=["survey"]).select("survey", "row", "col", "ground")
 
 
 @query()
 def terrain(spark, d):
-    return raster.terrain(raster.ground_filter(Views(spark, d).grid(), 2.0, 20.0), 2.0).select("row", "col", F.round("dtm", 6).alias("dtm"))
+    return raster.terrain(raster.ground_filter(Views(spark, d).grids(), 2.0, 20.0, keys=["survey"]), 2.0, keys=["survey"]).select("survey", "row", "col", F.round("dtm", 6).alias("dtm"))
 
 
 @query()
@@ -236,21 +236,22 @@ def building_extraction(spark, d):
     return buildings.records(found, 1.0).join(buildings.footprints(found, 0.0, 50.0, 1.0).select("component", "shape", "iou"), "component")
 
 
-_CELLS = f"SELECT row, col FROM ({GRID}) WHERE value > 19.5"
+# Surveys one below the other, 50 empty rows between them.
+_CELLS = f"SELECT survey*100+row AS row, col FROM ({GRIDS}) WHERE value > 19.5"
 
 
 @query(f"""WITH RECURSIVE c AS ({_CELLS}), r(row, col, k) AS (SELECT row, col, row*1000+col FROM c UNION SELECT c.row, c.col, r.k FROM r JOIN c ON abs(c.row-r.row)+abs(c.col-r.col) = 1)
   SELECT row, col, min(k) AS component FROM r GROUP BY 1, 2""")
 def grid_components(spark, d):
-    return components.grid_components(Views(spark, d).grid().where("value > 19.5"), 1000)
+    return components.grid_components(Views(spark, d).grids().where("value > 19.5").withColumn("row", F.expr("survey*100 + row")), 1000)
 
 
-@query(f"""WITH g AS ({GRID}), p AS (SELECT *, lag(value) OVER x AS a, lead(value) OVER x AS b, lag(value) OVER y AS c, lead(value) OVER y AS e FROM g WINDOW x AS (PARTITION BY row ORDER BY col), y AS (PARTITION BY col ORDER BY row)),
-  s AS (SELECT row, col, coalesce((b-a)/4, (b-value)/2, (value-a)/2) AS gx, coalesce((e-c)/4, (e-value)/2, (value-c)/2) AS gy FROM p)
-  SELECT row, col, round(coalesce(greatest(0, least(255, 255*(sin(radians(45))*cos(atan(sqrt(gx*gx+gy*gy))) + cos(radians(45))*sin(atan(sqrt(gx*gx+gy*gy)))*cos(pi()/2-radians(315)-atan2(gy, -gx))))), 0), 4) AS shade FROM s""")
+@query(f"""WITH g AS ({GRIDS}), p AS (SELECT *, lag(value) OVER x AS a, lead(value) OVER x AS b, lag(value) OVER y AS c, lead(value) OVER y AS e FROM g WINDOW x AS (PARTITION BY survey, row ORDER BY col), y AS (PARTITION BY survey, col ORDER BY row)),
+  s AS (SELECT survey, row, col, coalesce((b-a)/4, (b-value)/2, (value-a)/2) AS gx, coalesce((e-c)/4, (e-value)/2, (value-c)/2) AS gy FROM p)
+  SELECT survey, row, col, round(coalesce(greatest(0, least(255, 255*(sin(radians(45))*cos(atan(sqrt(gx*gx+gy*gy))) + cos(radians(45))*sin(atan(sqrt(gx*gx+gy*gy)))*cos(pi()/2-radians(315)-atan2(gy, -gx))))), 0), 4) AS shade FROM s""")
 def hillshade(spark, d):
-    g = raster.gradients(Views(spark, d).grid(), 2.0)
-    return g.select("row", "col", F.round(grids.shade("dzdx", "dzdy"), 4).alias("shade"))
+    g = raster.gradients(Views(spark, d).grids(), 2.0, keys=["survey"])
+    return g.select("survey", "row", "col", F.round(grids.shade("dzdx", "dzdy"), 4).alias("shade"))
 
 
 @query(f"""WITH g AS (SELECT row, col, coalesce(value, 0) AS value FROM ({GRID})), p AS (SELECT id, least(x/2, 49) AS x, least(y/2, 49) AS y FROM ({SPOTS})), c AS (SELECT id, x, y, unnest([0,0,1,1]) AS i, unnest([0,1,0,1]) AS j FROM p)
@@ -353,11 +354,11 @@ def grazing_filter(spark, d):
     return visibility.grazing_ok(g, 40.0, 40.0, 25.0, 25.0).select("row", "col", "grazing_ok")
 
 
-@query(f"""WITH g AS ({GRID}), v AS (SELECT row, col, coalesce(value, 0) AS value FROM g), l AS (SELECT lag(value) OVER x + lead(value) OVER x + lag(value) OVER y + lead(value) OVER y - 4*value AS lap FROM v WINDOW x AS (PARTITION BY row ORDER BY col), y AS (PARTITION BY col ORDER BY row))
-  SELECT round(var_pop(lap), 4) AS sharpness FROM l""")
+@query(f"""WITH g AS ({GRIDS}), v AS (SELECT survey, row, col, coalesce(value, 0) AS value FROM g), l AS (SELECT survey, lag(value) OVER x + lead(value) OVER x + lag(value) OVER y + lead(value) OVER y - 4*value AS lap FROM v WINDOW x AS (PARTITION BY survey, row ORDER BY col), y AS (PARTITION BY survey, col ORDER BY row))
+  SELECT survey, round(var_pop(lap), 4) AS sharpness FROM l GROUP BY survey""")
 def laplacian_sharpness(spark, d):
-    g = Views(spark, d).grid().select(F.lit("a").alias("image"), "row", "col", F.coalesce("value", F.lit(0.0)).alias("value"))
-    return depth.sharpness(g).select(F.round("sharpness", 4).alias("sharpness"))
+    g = Views(spark, d).grids().select("survey", "row", "col", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return depth.sharpness(g, keys=("survey",)).select("survey", F.round("sharpness", 4).alias("sharpness"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN lab IN ('a door','a garage door','an entrance') AND w BETWEEN 0.6 AND 3.5 AND h BETWEEN 1.6 AND 3.6 AND b <= 0.9 THEN CASE WHEN lab = 'a garage door' OR w > 2.4 THEN 'garage door' ELSE 'door' END

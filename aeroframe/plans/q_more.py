@@ -8,7 +8,7 @@ from ..functions import camera, colour, geodesy
 from ..operators import components, depth, estimate, gates, interpolate, mesh, raster, visibility
 from ..session import shared_dir
 from ..sources import files, reconstruction, telemetry
-from .registry import CAMS, FRAMES, GRID, SAMPLES, SPOTS, Views, query, twin
+from .registry import CAMS, FRAMES, GRID, GRIDS, SAMPLES, SPOTS, Views, query, twin
 
 _R = (0.36, 0.48, -0.8, -0.8, 0.6, 0.0, 0.48, 0.64, 0.6)
 
@@ -528,11 +528,11 @@ twin("atlas_packing", """WITH RECURSIVE b AS (SELECT p_partkey//200 AS atlas, p_
   FROM r JOIN b ON b.atlas = r.atlas AND b.n = r.n + 1, LATERAL (SELECT r.nx > 0 AND r.nx + b.w > 2048 AS over) o)
   SELECT atlas, id, x, y FROM r""")
 
-_OPEN = """e{k} AS (SELECT a.row, a.col, min(b.s) AS s FROM s{k} a JOIN s{k} b ON abs(a.row-b.row) <= {r} AND abs(a.col-b.col) <= {r} GROUP BY 1, 2), o{k} AS (SELECT a.row, a.col, max(b.s) AS s FROM e{k} a JOIN e{k} b ON abs(a.row-b.row) <= {r} AND abs(a.col-b.col) <= {r} GROUP BY 1, 2),
-  s{n} AS (SELECT s.row, s.col, o.s, s.ground AND s.s - o.s <= {allowed} AS ground FROM s{k} s JOIN o{k} o ON o.row = s.row AND o.col = s.col)"""
-_GROUND = f"""g AS ({GRID}), s0 AS (SELECT a.row, a.col, arg_min(b.value, ((a.row-b.row)*(a.row-b.row)+(a.col-b.col)*(a.col-b.col))*10000 + b.row*100 + b.col) AS s, any_value(a.value) IS NOT NULL AS ground FROM g a, g b WHERE b.value IS NOT NULL GROUP BY 1, 2),
+_OPEN = """e{k} AS (SELECT a.survey, a.row, a.col, min(b.s) AS s FROM s{k} a JOIN s{k} b ON a.survey = b.survey AND abs(a.row-b.row) <= {r} AND abs(a.col-b.col) <= {r} GROUP BY 1, 2, 3), o{k} AS (SELECT a.survey, a.row, a.col, max(b.s) AS s FROM e{k} a JOIN e{k} b ON a.survey = b.survey AND abs(a.row-b.row) <= {r} AND abs(a.col-b.col) <= {r} GROUP BY 1, 2, 3),
+  s{n} AS (SELECT s.survey, s.row, s.col, o.s, s.ground AND s.s - o.s <= {allowed} AS ground FROM s{k} s JOIN o{k} o ON o.survey = s.survey AND o.row = s.row AND o.col = s.col)"""
+_GROUND = f"""g AS ({GRIDS}), s0 AS (SELECT a.survey, a.row, a.col, arg_min(b.value, ((a.row-b.row)*(a.row-b.row)+(a.col-b.col)*(a.col-b.col))*10000 + b.row*100 + b.col) AS s, any_value(a.value) IS NOT NULL AS ground FROM g a JOIN g b USING (survey) WHERE b.value IS NOT NULL GROUP BY 1, 2, 3),
   """ + ",\n  ".join(_OPEN.format(k=k, n=k + 1, r=r, allowed=allowed) for k, (r, allowed) in enumerate(((1, 0.9), (2, 0.9), (4, 1.5))))
-twin("ground_filter", f"WITH {_GROUND} SELECT row, col, ground FROM s3")
+twin("ground_filter", f"WITH {_GROUND} SELECT survey, row, col, ground FROM s3")
 
 _MIRROR = "CASE WHEN {i} < 0 THEN -({i})-1 WHEN {i} > 49 THEN 99-({i}) ELSE {i} END"
 
@@ -541,31 +541,31 @@ def _blurred(src: str, out: str, down=None, across=None) -> str:
     """A separable filter over the grid ``src`` (row, col, v), mirrored at its border."""
     w = raster.gaussian_weights(1.0).tolist()
     at = lambda ws: f"(SELECT unnest({list(map(float, ws))}::double[]) AS w, unnest(range(-{len(w) // 2}, {len(w) // 2 + 1})) AS o)"
-    return (f"{out}_ AS (SELECT a.row, a.col, sum(w*b.v) AS v FROM {src} a, {at(down or w)} k JOIN {src} b ON b.col = a.col AND b.row = {_MIRROR.format(i='a.row+o')} GROUP BY 1, 2), "
-            f"{out} AS (SELECT a.row, a.col, sum(w*b.v) AS v FROM {out}_ a, {at(across or w)} k JOIN {out}_ b ON b.row = a.row AND b.col = {_MIRROR.format(i='a.col+o')} GROUP BY 1, 2)")
+    return (f"{out}_ AS (SELECT a.survey, a.row, a.col, sum(w*b.v) AS v FROM {src} a CROSS JOIN {at(down or w)} k JOIN {src} b ON b.survey = a.survey AND b.col = a.col AND b.row = {_MIRROR.format(i='a.row+o')} GROUP BY 1, 2, 3), "
+            f"{out} AS (SELECT a.survey, a.row, a.col, sum(w*b.v) AS v FROM {out}_ a CROSS JOIN {at(across or w)} k JOIN {out}_ b ON b.survey = a.survey AND b.row = a.row AND b.col = {_MIRROR.format(i='a.col+o')} GROUP BY 1, 2, 3)")
 
 
-twin("terrain", f"""WITH {_GROUND}, t AS (SELECT row, col, CASE WHEN ground THEN value END AS v FROM s3 JOIN g USING (row, col)),
-  n AS (SELECT a.row, a.col, arg_min(b.v, ((a.row-b.row)*(a.row-b.row)+(a.col-b.col)*(a.col-b.col))*10000 + b.row*100 + b.col) AS v FROM t a, t b WHERE b.v IS NOT NULL GROUP BY 1, 2), {_blurred("n", "d")} SELECT row, col, round(v, 6) AS dtm FROM d""")
+twin("terrain", f"""WITH {_GROUND}, t AS (SELECT survey, row, col, CASE WHEN ground THEN value END AS v FROM s3 JOIN g USING (survey, row, col)),
+  n AS (SELECT a.survey, a.row, a.col, arg_min(b.v, ((a.row-b.row)*(a.row-b.row)+(a.col-b.col)*(a.col-b.col))*10000 + b.row*100 + b.col) AS v FROM t a JOIN t b USING (survey) WHERE b.v IS NOT NULL GROUP BY 1, 2, 3), {_blurred("n", "d")} SELECT survey, row, col, round(v, 6) AS dtm FROM d""")
 
-_MIDDLE = f"""g AS (SELECT row, col, coalesce(value, 0) AS v FROM ({GRID})), m AS (SELECT a.row, a.col, any_value(a.v) AS a, quantile_cont(b.v, 0.5) AS v FROM g a, (SELECT unnest([-1,0,1]) AS i) x, (SELECT unnest([-1,0,1]) AS j) y
-  JOIN g b ON b.row = {_MIRROR.format(i='a.row+i')} AND b.col = {_MIRROR.format(i='a.col+j')} GROUP BY 1, 2)"""
+_MIDDLE = f"""g AS (SELECT survey, row, col, coalesce(value, 0) AS v FROM ({GRIDS})), m AS (SELECT a.survey, a.row, a.col, any_value(a.v) AS a, quantile_cont(b.v, 0.5) AS v FROM g a, (SELECT unnest([-1,0,1]) AS i) x, (SELECT unnest([-1,0,1]) AS j) y
+  JOIN g b ON b.survey = a.survey AND b.row = {_MIRROR.format(i='a.row+i')} AND b.col = {_MIRROR.format(i='a.col+j')} GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH {_MIDDLE}, h AS (SELECT row, col, abs(a-v) AS v FROM m), {_blurred('h', 'd')} SELECT row, col, round(v, 8) AS rough FROM d")
+@query(f"WITH {_MIDDLE}, h AS (SELECT survey, row, col, abs(a-v) AS v FROM m), {_blurred('h', 'd')} SELECT survey, row, col, round(v, 8) AS rough FROM d")
 def surface_roughness(spark, d):
-    g = Views(spark, d).grid().withColumn("value", F.coalesce("value", F.lit(0.0)))
-    return raster.roughness(g, 2.0).select("row", "col", F.round("value", 8).alias("rough"))
+    g = Views(spark, d).grids().withColumn("value", F.coalesce("value", F.lit(0.0)))
+    return raster.roughness(g, 2.0, keys=["survey"]).select("survey", "row", "col", F.round("value", 8).alias("rough"))
 
 
 _W = raster.gaussian_weights(1.0).tolist()
 _W2 = [w * ((i - len(_W) // 2) ** 2 - 1) for i, w in enumerate(_W)]
 
 
-@query(f"WITH {_MIDDLE}, {_blurred('m', 'p', _W2, _W)}, {_blurred('m', 'q', _W, _W2)} SELECT row, col, round(abs(p.v + q.v)/4, 8) AS curve FROM p JOIN q USING (row, col)")
+@query(f"WITH {_MIDDLE}, {_blurred('m', 'p', _W2, _W)}, {_blurred('m', 'q', _W, _W2)} SELECT survey, row, col, round(abs(p.v + q.v)/4, 8) AS curve FROM p JOIN q USING (survey, row, col)")
 def surface_curvature(spark, d):
-    g = Views(spark, d).grid().withColumn("value", F.coalesce("value", F.lit(0.0)))
-    return raster.curvature(g, 2.0).select("row", "col", F.round("value", 8).alias("curve"))
+    g = Views(spark, d).grids().withColumn("value", F.coalesce("value", F.lit(0.0)))
+    return raster.curvature(g, 2.0, keys=["survey"]).select("survey", "row", "col", F.round("value", 8).alias("curve"))
 
 
 def _colour_sql(r: str, g: str, b: str) -> str:

@@ -37,6 +37,9 @@ CAMS = """SELECT s_suppkey AS cam_order, cast((s_suppkey*29)%100 as double) AS c
 # Highest points on a dense grid of 50 by 50 cells of 2 m; holes are null.
 GRID = f"""SELECT g.r AS row, c.c AS col, m.value FROM (SELECT cast(unnest(range(50)) AS bigint) AS r) g, (SELECT cast(unnest(range(50)) AS bigint) AS c) c
   LEFT JOIN (SELECT cast(floor((100-y)/2) AS bigint) AS row, cast(floor(x/2) AS bigint) AS col, max(z) AS value FROM ({PTS}) p WHERE z > 8 GROUP BY 1, 2) m ON m.row = g.r AND m.col = c.c"""
+# Such a grid for every survey of a thousand order numbers: cells grow in number with the table.
+GRIDS = f"""SELECT s.survey, g.r AS row, c.c AS col, m.value FROM (SELECT DISTINCT cast(floor(l_orderkey/1000) AS bigint) AS survey FROM lineitem) s, (SELECT cast(unnest(range(50)) AS bigint) AS r) g, (SELECT cast(unnest(range(50)) AS bigint) AS c) c
+  LEFT JOIN (SELECT cast(floor(l_orderkey/1000) AS bigint) AS survey, cast(floor((100-y)/2) AS bigint) AS row, cast(floor(x/2) AS bigint) AS col, max(z) AS value FROM ({PTS}) p WHERE z > 8 GROUP BY 1, 2, 3) m ON m.survey = s.survey AND m.row = g.r AND m.col = c.c"""
 # Telemetry-like samples and frames: seconds, value, key.
 SAMPLES = "SELECT user_id, event_id AS seq, epoch_us(ts)/1e6 AS t, value FROM events WHERE event_type = 'click'"
 FRAMES = "SELECT user_id, event_id, epoch_us(ts)/1e6 AS t FROM events WHERE event_type = 'view'"
@@ -76,6 +79,17 @@ class Views:
         row, col = cell("x", "y", 0.0, 100.0, 2.0)
         return dense(rasterise_max(self.pts().where("z > 8"), row, col), 50, 50).select(F.col("row"), F.col("col"), "value")
 
+    def grids(self):
+        """One grid a survey."""
+        from pyspark.sql import functions as F
+
+        from ..functions.grids import cell
+        from ..operators.raster import dense, rasterise_max
+
+        p = self.pts().withColumn("survey", F.floor(F.col("l_orderkey") / 1000))
+        row, col = cell("x", "y", 0.0, 100.0, 2.0)
+        return dense(rasterise_max(p.where("z > 8"), row, col, keys=["survey"]), 50, 50, p.select("survey").distinct())
+
     def samples(self, kind: str = "click"):
         from pyspark.sql import functions as F
 
