@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from . import kernels
-from .joins import even_join
+from .joins import even_join, sorted_join
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
@@ -64,10 +64,10 @@ def grid_components(cells: DataFrame, width: int = 1 << 31, tile: int = 256) ->
     edges = None
     for r, k, last in ((1, 0, F.pmod("row", F.lit(tile)) == tile - 1), (0, 1, F.pmod("col", F.lit(tile)) == tile - 1)):
         near = c.where(last).select((F.col("row") + r).alias("row"), (F.col("col") + k).alias("col"), F.col("id").alias("a"))
-        met = near.join(c.withColumnRenamed("id", "b"), ["row", "col"]).select("a", "b")
+        met = sorted_join(near, c.withColumnRenamed("id", "b"), ["row", "col"]).select("a", "b")
         edges = met if edges is None else edges.unionByName(met)
     found = connected_components(edges.distinct())
-    return c.join(found, "id", "left").select("row", "col", F.coalesce("component", "id").alias("component"))
+    return sorted_join(c, found, "id", "left").select("row", "col", F.coalesce("component", "id").alias("component"))
 
 
 def face_components(faces: DataFrame) -> DataFrame:
