@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .joins import sorted_join
 
 
 def fill_pyramid(cells: DataFrame, value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -31,11 +32,11 @@ def fill_pyramid(cells: DataFrame, value: str = "value", keys: tuple[str, ...] =
         near = lambda c: F.array(*[F.struct((F.shiftright(c, 1) + d).alias("at"), F.lit(w).alias("w")) for d, w in ((0, 0.75), (F.when(F.col(c) % 2 == 1, 1).otherwise(-1), 0.25))])
         asked = level.where("w < 1").withColumn("pr", F.explode(near("row"))).withColumn("pc", F.explode(near("col")))
         asked = asked.select(*keys, F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("v").alias("v0"), F.col("w").alias("w0"), F.col("pr.at").alias("row"), F.col("pc.at").alias("col"), (F.col("pr.w") * F.col("pc.w")).alias("share"))
-        given = asked.join(full, at).where("v IS NOT NULL").groupBy(*keys, "r0", "c0").agg((F.sum(F.col("share") * F.col("v")) / F.sum("share")).alias("up"), F.first("v0").alias("v0"), F.first("w0").alias("w0"))
+        given = sorted_join(asked, full, at).where("v IS NOT NULL").groupBy(*keys, "r0", "c0").agg((F.sum(F.col("share") * F.col("v")) / F.sum("share")).alias("up"), F.first("v0").alias("v0"), F.first("w0").alias("w0"))
         mended = given.select(*keys, F.col("r0").alias("row"), F.col("c0").alias("col"), (F.col("w0") * F.coalesce("v0", F.lit(0.0)) + (1 - F.col("w0")) * F.col("up")).alias("v"))
         full = whole.unionByName(mended)
     out = cells.select(*keys, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
-    return out.join(full, at, "left").select(*at, F.col("v").alias(value))
+    return sorted_join(out, full, at, "left").select(*at, F.col("v").alias(value))
 
 
 def resize_area(pixels: DataFrame, sizes: DataFrame, most: int, values: tuple[str, ...] = ("value",), key: str = "image") -> DataFrame:
@@ -44,7 +45,7 @@ def resize_area(pixels: DataFrame, sizes: DataFrame, most: int, values: tuple[st
     Pixels: key, row, col, values; sizes: key, height, width. New sizes are rounded down."""
     long = F.greatest("height", "width")
     s = sizes.select(key, *[F.when(long > most, F.greatest(F.floor(F.col(c) * most / long), F.lit(1))).otherwise(F.col(c)).cast("long").alias(f"new_{c}") for c in ("height", "width")], "height", "width")
-    p = pixels.join(s, key)
+    p = pixels.join(s.hint("shuffle_hash"), key)
     for c, side in (("row", "height"), ("col", "width")):
         step = F.col(side) / F.col(f"new_{side}")
         first = F.floor(F.col(c) / step + 1e-9)
