@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.colour import lab_to_rgb, rgb_to_lab
+from .joins import sorted_join
 
 LEVELS = 256
 
@@ -17,7 +18,7 @@ def tile_curves(pixels: DataFrame, sizes: DataFrame, clip: float, tiles: int = 8
     a tile above the limit are taken off and shared out evenly, what is left over one
     each at even steps; the curve is their running sum scaled to 255."""
     s = sizes.select(key, *[F.col(c).cast("long").alias(c) for c in ("height", "width")])
-    p = pixels.join(s, key)
+    p = pixels.join(s.hint("shuffle_hash"), key)
     for c, side in (("row", "height"), ("col", "width")):
         n = F.col(side)
         p = p.withColumn(f"t{side}", F.ceil(n / tiles))
@@ -53,11 +54,11 @@ def equalise(pixels: DataFrame, sizes: DataFrame, clip: float = 2.0, tiles: int
     sent = curves.withColumn("i", patches_of(F.col("trow"))).withColumn("j", patches_of(F.col("tcol"))).select(key, "curve", F.col("i.at").alias("prow"), F.col("j.at").alias("pcol"), (2 * F.col("i.late") + F.col("j.late")).alias("corner"))
     patches = sent.groupBy(key, "prow", "pcol").agg(*[F.max(F.when(F.col("corner") == k, F.col("curve"))).alias(f"curve{k}") for k in range(4)])
     s = sizes.select(key, *[F.col(c).cast("long").alias(c) for c in ("height", "width")])
-    p = pixels.join(s, key)
+    p = pixels.join(s.hint("shuffle_hash"), key)
     for c, side, name in (("row", "height", "prow"), ("col", "width", "pcol")):
         at = F.col(c) / F.ceil(F.col(side) / tiles) - 0.5
         p = p.withColumn(f"__f{c}", at - F.floor(at)).withColumn(name, F.floor(at) + 1)
-    p = p.join(patches, [key, "prow", "pcol"])
+    p = sorted_join(p, patches, [key, "prow", "pcol"])
     on = lambda k: F.get(F.col(f"curve{k}"), F.col(value).cast("int"))
     fr, fc = F.col("__frow"), F.col("__fcol")
     blend = (on(0) * (1 - fc) + on(1) * fc) * (1 - fr) + (on(2) * (1 - fc) + on(3) * fc) * fr
