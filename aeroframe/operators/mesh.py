@@ -113,7 +113,7 @@ def nearest_colours(points: DataFrame, surface: DataFrame, radius: float = 0.9,
     q = at(points).withColumn("o", near).withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"o.{n}") for c, n in zip("xyz", "ijk")}).drop("o")
     s = at(surface).select("cx", "cy", "cz", *[F.col(c).alias(f"s{c}") for c in "xyz"], F.struct("r", "g", "b").alias("rgb"))
     d = norm(*[F.col(c) - F.col(f"s{c}") for c in "xyz"])
-    hit = q.join(s, ["cx", "cy", "cz"]).withColumn("d", d).where(F.col("d") <= radius).groupBy("id").agg(F.min_by("rgb", F.struct("d", "rgb")).alias("rgb"))
+    hit = sorted_join(q, s, ["cx", "cy", "cz"]).withColumn("d", d).where(F.col("d") <= radius).groupBy("id").agg(F.min_by("rgb", F.struct("d", "rgb")).alias("rgb"))
     mid = hit.agg(*[F.coalesce(F.percentile(f"rgb.{c}", 0.5), F.lit(float(n))).alias(f"m{c}") for c, n in zip("rgb", neutral)])
     out = points.join(hit, "id", "left").crossJoin(F.broadcast(mid))
     return out.select(*points.columns, *[F.coalesce(F.col(f"rgb.{c}").cast("double"), 0.6 * F.col(f"m{c}") + 0.4 * n).alias(c) for c, n in zip("rgb", neutral)], F.col("rgb").isNotNull().alias("seen"))
