@@ -58,11 +58,13 @@ def integrate(samples: DataFrame, voxel: float, trunc: float) -> DataFrame:
     ray = [F.col(c) - F.col(f"cam_{c}") for c in "xyz"]
     s = samples.withColumn("__len", F.sqrt(sum(r * r for r in ray))).where("__len > 0").withColumns({f"d{c}": r / F.col("__len") for c, r in zip("xyz", ray)})
     n = int(np.ceil(2 * trunc / voxel))
-    s = s.withColumn("__ray", F.monotonically_increasing_id()).withColumn("k", F.explode(F.sequence(F.lit(-n), F.lit(n)))).withColumn("off", F.col("k") * voxel / 2).where(F.abs("off") <= trunc)
-    s = s.withColumns({f"v{c}": F.floor((F.col(c) + F.col("off") * F.col(f"d{c}")) / voxel).cast("long") for c in "xyz"})
+    # A ray's voxels are told apart in its own row, so that no step of a ray is shuffled before it is added up.
+    step = lambda k: F.struct(*[F.floor((F.col(c) + k * voxel / 2 * F.col(f"d{c}")) / voxel).cast("long").alias(f"v{c}") for c in "xyz"])
+    steps = F.array(*[F.lit(k) for k in range(-n, n + 1) if abs(k * voxel / 2) <= trunc])
+    s = s.withColumn("__v", F.explode(F.array_distinct(F.transform(steps, step)))).select("*", "__v.*").drop("__v")
     # The voxel's centre projected on the ray: its signed distance before the surface.
     along = sum(((F.col(f"v{c}") + 0.5) * voxel - F.col(c)) * F.col(f"d{c}") for c in "xyz")
-    s = s.withColumn("sdf", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -along / trunc))).dropDuplicates(["__ray", "vx", "vy", "vz"])
+    s = s.withColumn("sdf", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -along / trunc)))
     return s.groupBy("vx", "vy", "vz").agg((F.sum(F.col("w") * F.col("sdf")) / F.sum("w")).alias("tsdf"), F.sum("w").alias("weight"), *[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in "rgb"])
 
 
