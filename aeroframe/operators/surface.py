@@ -6,7 +6,8 @@ without ambiguous cases. A vertex is known by the grid edge it lies on: tiles th
 an edge compute the same vertex under the same number, and no stitching is needed.
 
 Voxels go to tiles of fixed size, those on a tile's lower sides to the tile before as
-well. A tile is one small Arrow group, so groups grow in number, not in size."""
+well. Tiles are sorted and meshed some thousand voxels at a time, so that small tiles
+cost no call each and a task holds a few of them only."""
 
 from __future__ import annotations
 
@@ -14,15 +15,19 @@ from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .components import face_components, large_components
+from .joins import dealt
 
 #: Voxel numbers lie within this distance of 0 on each axis, so that a cell, a corner and a face fit in 64 bits.
 REACH = 2**18
 TILE = 16
+#: Voxels meshed at a time, but for the last tile's.
+VOXELS = 50_000
 _CORNERS = np.array([[m & 1, m >> 1 & 1, m >> 2 & 1] for m in range(8)])
 #: Corners of the six tetrahedra: from a cell's low corner to its high one, an axis at a time.
 TETRAHEDRA = np.array([[0, a, a | b, 7] for a, b, _ in permutations((1, 2, 4))])
@@ -57,15 +62,26 @@ def _pack(at: np.ndarray) -> np.ndarray:
     return (at[..., 0] << 38) | (at[..., 1] << 19) | at[..., 2]
 
 
-def tile_mesh(at: np.ndarray, tsdf: np.ndarray, rgb: np.ndarray, voxel: float):
-    """(face numbers, their vertices' numbers, vertex numbers, positions, colours) of the whole cells among the voxels ``at``."""
-    low = at.min(axis=0)
-    local = at - low
-    shape = local.max(axis=0) + 1
-    place = np.full(shape, -1)
-    place[tuple(local.T)] = np.arange(len(at))
-    cells = local[(local < shape - 1).all(axis=1)]
-    corner = place[tuple((cells[:, None, :] + _CORNERS[None]).transpose(2, 0, 1))]
+def tiles_mesh(of: np.ndarray, at: np.ndarray, tsdf: np.ndarray, rgb: np.ndarray, voxel: float, tile: int):
+    """(tiles of faces, face numbers, their vertices' numbers, tiles of vertices, vertex numbers, positions, colours) of the whole cells among the voxels ``at`` of each tile ``of``.
+
+    Tiles are numbered from 0; a tile's voxels span ``tile`` + 1 places an axis at most."""
+    side = tile + 1
+    low = np.floor_divide(at, tile) * tile
+    first = np.full((of[-1] + 1, 3), np.iinfo(np.int64).max)
+    np.minimum.at(first, of, low)
+    local = at - first[of]
+    step = np.array([side * side, side, 1])
+    code = of * side**3 + local @ step
+    order = np.argsort(code, kind="stable")
+    ranked = code[order]
+
+    def place(wanted):
+        k = np.minimum(np.searchsorted(ranked, wanted), len(ranked) - 1)
+        return np.where(ranked[k] == wanted, order[k], -1)
+
+    cells = np.flatnonzero((local < tile).all(axis=1))
+    corner = np.stack([place(code[cells] + c @ step) for c in _CORNERS], axis=1)
     whole = (corner >= 0).all(axis=1)
     cells, corner = cells[whole], corner[whole]
     positive = tsdf[corner] > 0
@@ -73,16 +89,19 @@ def tile_mesh(at: np.ndarray, tsdf: np.ndarray, rgb: np.ndarray, voxel: float):
     cells, corner, positive = cells[mixed], corner[mixed], positive[mixed]
     case = (positive[:, TETRAHEDRA] * (1 << np.arange(4))).sum(axis=2)
     edges = TRIANGLES[np.arange(6)[None], case].reshape(len(cells), 12, 3)
-    of, k = np.nonzero(edges[:, :, 0] >= 0)
-    edges = edges[of, k]
-    faces = (_pack(cells[of] + low) << 4) | k
-    begin = cells[of][:, None, :] + _CORNERS[edges >> 3]
-    ids = (_pack(begin + low) << 3) | (edges & 7)
-    vids, first = np.unique(ids, return_index=True)
-    begin, way = begin.reshape(-1, 3)[first], _CORNERS[edges.reshape(-1)[first] & 7]
-    a, b = place[tuple(begin.T)], place[tuple((begin + way).T)]
+    cell, k = np.nonzero(edges[:, :, 0] >= 0)
+    edges = edges[cell, k]
+    faces = (_pack(at[cells[cell]]) << 4) | k
+    ids = (_pack(at[cells[cell]][:, None, :] + _CORNERS[edges >> 3]) << 3) | (edges & 7)
+    owner, flat = np.repeat(of[cells[cell]], 3), ids.reshape(-1)
+    order = np.lexsort((flat, owner))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(flat[order]) != 0) | (np.diff(owner[order]) != 0)
+    one = order[new]
+    edge, where = edges.reshape(-1)[one], np.repeat(cell, 3)[one]
+    a, b = corner[where, edge >> 3], corner[where, (edge >> 3) + (edge & 7)]
     f = (tsdf[a] / (tsdf[a] - tsdf[b]))[:, None]
-    return faces, ids, vids, (begin + low + 0.5 + f * way) * voxel, rgb[a] + f * (rgb[b] - rgb[a])
+    return of[cells[cell]], faces, ids, owner[one], flat[one], (at[a] + 0.5 + f * _CORNERS[edge & 7]) * voxel, rgb[a] + f * (rgb[b] - rgb[a])
 
 
 def surface_mesh(voxels: DataFrame, voxel: float, least_weight: float = 1.5, keys: tuple[str, ...] = (), tile: int = TILE) -> tuple[DataFrame, DataFrame]:
@@ -100,20 +119,48 @@ def surface_mesh(voxels: DataFrame, voxel: float, least_weight: float = 1.5, key
     kinds = ", ".join(f"`{k}` {voxels.schema[k].dataType.simpleString()}" for k in keys)
     schema = (kinds and kinds + ", ") + "number long, v0 long, v1 long, v2 long, x double, y double, z double, r double, g double, b double"
 
-    def run(key, group):
-        column = lambda c: group.column(c).to_numpy()
+    names = [*keys, "tx", "ty", "tz"]
+
+    def mesh(rows, of):
+        column = lambda c: rows.column(c).to_numpy()
         at = np.column_stack([column(f"v{c}") for c in "xyz"])
         if (np.abs(at) >= REACH - 1).any():
             raise ValueError("a voxel's number is out of reach: move the origin or take larger voxels")
-        faces, ids, vids, xyz, rgb = tile_mesh(at, column("tsdf"), np.column_stack([column(c) for c in "rgb"]), voxel)
+        face_of, faces, ids, vertex_of, vids, xyz, rgb = tiles_mesh(of, at, column("tsdf"), np.column_stack([column(c) for c in "rgb"]), voxel, tile)
         n, m = len(faces), len(vids)
         columns = [pa.concat_arrays([pa.array(faces), pa.array(vids)])]
-        columns += [pa.concat_arrays([pa.array(ids[:, k]) if n else pa.array([], pa.int64()), pa.nulls(m, pa.int64())]) for k in range(3)]
+        columns += [pa.concat_arrays([pa.array(ids[:, k]), pa.nulls(m, pa.int64())]) for k in range(3)]
         columns += [pa.concat_arrays([pa.nulls(n, pa.float64()), pa.array(a[:, k])]) for a in (xyz, rgb) for k in range(3)]
-        own = [pa.array([k.as_py()] * (n + m), group.schema.field(c).type) for k, c in zip(key, keys)]
-        return pa.Table.from_arrays([*own, *columns], [*keys, "number", "v0", "v1", "v2", *"xyz", *"rgb"])
-
-    found = materialise(v.groupBy(*keys, "tx", "ty", "tz").applyInArrow(run, schema))
+        start = np.searchsorted(of, np.concatenate([face_of, vertex_of]))
+        own = [rows.column(c).combine_chunks().take(pa.array(start)) for c in keys]
+        return pa.Table.from_arrays([*own, *columns], [*keys, "number", "v0", "v1", "v2", *"xyz", *"rgb"]).combine_chunks().to_batches()
+
+    def numbers(rows):
+        """Numbers of the tiles, whose rows follow each other."""
+        new = np.zeros(len(rows), bool)
+        for c in names:
+            ids = pc.fill_null(rows.column(c).combine_chunks().dictionary_encode().indices, -1).to_numpy()
+            new[1:] |= np.diff(ids) != 0
+        return np.cumsum(new)
+
+    def run(batches):
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += len(b)
+            if rows >= VOXELS:
+                table = pa.Table.from_batches(held)
+                of = numbers(table)
+                cut = int(np.searchsorted(of, of[-1]))  # the last tile may go on
+                if cut:
+                    yield from mesh(table.slice(0, cut), of[:cut])
+                held = table.slice(cut).combine_chunks().to_batches()
+                rows -= cut
+        if rows:
+            table = pa.Table.from_batches(held)
+            yield from mesh(table, numbers(table))
+
+    found = materialise(dealt(v, *names).sortWithinPartitions(*names).mapInArrow(run, schema))
     faces = found.where("v0 IS NOT NULL").select(*keys, F.col("number").alias("fid"), "v0", "v1", "v2")
     vertices = found.where("v0 IS NULL").dropDuplicates([*keys, "number"]).select(*keys, F.col("number").alias("vid"), *"xyz", *"rgb")
     return vertices, faces
