@@ -150,3 +150,31 @@ def test_empty_and_single_models(spark):
     assert report.count() == 0 and im.count() == 6 and p.count() == 40
     same = {r["image_id"]: r["t_cw"] for r in im.collect()}
     assert all(same[row[0]] == row[3] for row in g)
+
+
+def test_small_models_are_groups_and_write_no_linearised_tables(spark, monkeypatch):
+    """Models of few rows write nothing between rounds; those above MODEL go over all tasks and come to the same, beside small ones too."""
+    scenes = {1: made(1), 2: made(2)}
+    images, points, seen, lens = tables(spark, scenes)
+    seen = seen.where("scene = 1 OR point_id < 20")
+    calls, save = [], adjust.save_table
+    monkeypatch.setattr(adjust, "save_table", lambda *a: calls.append(a) or save(*a))
+    found = []
+    for most in (200_000, 150):
+        monkeypatch.setattr(adjust, "MODEL", most)
+        start = adjust.triangulate(seen, images, lens, ("scene",))
+        got = adjust.adjust(images, start, seen, lens, ("scene",), rounds=1, steps=3)
+        found.append([{tuple(r[k] for k in ids): [*np.ravel([r[c] for c in values])] for r in df.collect() for values in [columns]} for df, ids, columns in (
+            (start, ("scene", "point_id"), ("x", "y", "z", "views", "error")), (got[0], ("scene", "image_id"), ("t_cw",)), (got[1], ("scene", "point_id"), ("x", "y", "z")), (got[2], ("scene",), ("observations", "error_before", "error_after", "taken")))])
+        assert bool(calls) == (most < 200_000)
+    assert len(found[0][0]) == 60 and len(found[0][3]) == 2
+    for other in found[1:]:
+        for a, b in zip(found[0], other):
+            assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-6) for k in a)
+    one = seen.where("scene = 1").drop("scene")
+    monkeypatch.setattr(adjust, "MODEL", 10)
+    whole = [adjust.triangulate(one, images.where("scene = 1").drop("scene"), lens)]
+    monkeypatch.setattr(adjust, "MODEL", 200_000)
+    whole.append(adjust.triangulate(one, images.where("scene = 1").drop("scene"), lens))
+    a, b = ({r["point_id"]: [r["x"], r["y"], r["z"]] for r in df.collect()} for df in whole)
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-6) for k in a)
