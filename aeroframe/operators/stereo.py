@@ -2,9 +2,10 @@
 
 An image and the few neighbours it is matched with are one group, which gives every pixel
 its cost at every plane, the planes being parallel to the image and even in inverse depth.
-Costs then go to bands of lines in four directions; along a line, both ways, a step to the
-next plane costs little and a jump more. Bands are groups of bounded size, so images of any
-size are cut into as many as they need."""
+Costs are then aggregated along lines in four directions; along a line, both ways, a step to
+the next plane costs little and a jump more. An image of at most VOLUME costs is finished where
+they were made, many small ones in one go. The costs of a larger one go to bands of lines;
+bands are groups of bounded size, so images are cut into as many as they need."""
 
 from __future__ import annotations
 
@@ -15,12 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise
+from .joins import dealt
 from .tracking import sample
 
 #: Side of the window over which squared differences are averaged, their greatest value, lines of a band, rows projected at a time.
 WINDOW, CAP, BAND, STRIP = 5, 400.0, 32, 32
 #: Costs of a step to the next plane and of any jump.
 STEP, JUMP = 2.0, 60.0
+#: Costs of an image that is aggregated where they were made, and of the images that are aggregated in one go.
+VOLUME, BATCH = 1 << 24, 1 << 20
 _CAMERA = ("fx", "fy", "cx", "cy", "r_cw", "t_cw")
 
 
@@ -86,15 +90,85 @@ def along_lines(cost: np.ndarray, length: np.ndarray, step: float = STEP, jump:
     return out
 
 
+def _aggregated(cost: np.ndarray, step: float, jump: float) -> np.ndarray:
+    """(images, height, width, planes) of costs, summed up over the lines of four directions."""
+    n, h, w, planes = cost.shape
+    row, col = np.indices((h, w)).reshape(2, -1)
+    total = np.zeros((n, h * w, planes), np.float32)
+    for line, pos in ((row, col), (col, row), (row - col, col), (row + col, col)):
+        order = np.lexsort((pos, line))
+        _, begin, length = np.unique(line[order], return_index=True, return_counts=True)
+        at = np.repeat(np.arange(len(begin)), length), np.arange(h * w) - np.repeat(begin, length)
+        c = np.zeros((n, len(begin), length.max(), planes), np.float32)
+        c[:, at[0], at[1]] = cost.reshape(n, h * w, planes)[:, order]
+        done = along_lines(c.reshape(-1, *c.shape[2:]), np.tile(length, n), step, jump).reshape(c.shape)
+        total[:, order] += done[:, at[0], at[1]].astype(np.float32)
+    return total.reshape(cost.shape)
+
+
+def _depths(total: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(depth, cost) of summed costs (pixels, planes): the cheapest plane, the first of equals, moved by a parabola through its neighbours."""
+    k = total.argmin(axis=1)
+    at = lambda i: total[np.arange(len(k)), np.clip(k + i, 0, total.shape[1] - 1)].astype(np.float64)
+    bend = np.where((k > 0) & (k < total.shape[1] - 1), at(-1) + at(1) - 2 * at(0), 0.0)
+    shift = np.where(bend > 0, (at(-1) - at(1)) / (2 * np.where(bend > 0, bend, 1.0)), 0.0)
+    return 1 / (inverse[0] + (k + shift) * (inverse[1] - inverse[0])), at(0)
+
+
 def dense_depth(frames: DataFrame, pairs: DataFrame, near: float, far: float, planes: int = 64, step: float = STEP, jump: float = JUMP) -> DataFrame:
     """image, row, col, z, cost: each pixel's depth along the image's axis, between planes by a parabola.
 
     Frames: image, height, width, pixels (8 bits), fx, fy, cx, cy, r_cw, t_cw. Pairs: image,
-    other, the few neighbours an image is matched with. Images without pairs give nothing."""
+    other, the few neighbours an image is matched with. Images without pairs give nothing.
+    Frames are read more than once, so they should be a written table."""
     inverse = inverse_depths(near, far, planes)
     fields = ["height", "width", "pixels", *_CAMERA]
     serve = pairs.select("image", "other").unionByName(pairs.select("image", F.col("image").alias("other"))).distinct()
-    groups = serve.join(frames.select(F.col("image").alias("other"), *fields), "other").groupBy("image")
+    rows = serve.join(frames.select(F.col("image").alias("other"), *fields), "other")
+    large = frames.where(F.col("height").cast("long") * F.col("width") * planes > VOLUME).select("image")
+    kind = T.StructType([frames.schema["image"], *[T.StructField(c, t) for c, t in (("row", T.IntegerType()), ("col", T.IntegerType()), ("z", T.DoubleType()), ("cost", T.DoubleType()))]])
+
+    def finish(batches):
+        """Images one after the other, their rows together; a batch may end inside an image."""
+        held, made, image = [], [], None
+
+        def told():
+            while made:
+                shape = made[0][1].shape
+                some = [m for m in made if m[1].shape == shape]
+                made[:] = [m for m in made if m[1].shape != shape]
+                z, cost = _depths(_aggregated(np.stack([c for _, c in some]), step, jump).reshape(-1, planes), inverse)
+                v, u = np.tile(np.indices(shape[:2], np.int32).reshape(2, 1, -1), (1, len(some), 1)).reshape(2, -1)
+                ids = pa.array([i for i, _ in some], image).take(pa.array(np.repeat(np.arange(len(some)), shape[0] * shape[1])))
+                yield pa.record_batch([ids, pa.array(v), pa.array(u), pa.array(z), pa.array(cost)], ["image", "row", "col", "z", "cost"])
+
+        def match():
+            ref, others = [r for r in held if r["other"] == r["image"]], [r for r in held if r["other"] != r["image"]]
+            held.clear()
+            if ref and others:
+                made.append((ref[0]["image"], plane_costs(ref[0], others, inverse)))
+
+        for b in batches:
+            image = b.schema.field("image").type
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                if held and r["image"] != held[0]["image"]:
+                    match()
+                    if sum(c.size for _, c in made) >= BATCH:
+                        yield from told()
+                held.append(r)
+        match()
+        yield from told()
+
+    some_large = not large.isEmpty()
+    small = rows.join(large, "image", "left_anti") if some_large else rows
+    out = dealt(small, "image").sortWithinPartitions("image", "other").mapInArrow(finish, kind)
+    return out.unionByName(_in_bands(rows.join(large, "image", "left_semi"), frames, inverse, step, jump)) if some_large else out
+
+
+def _in_bands(rows: DataFrame, frames: DataFrame, inverse: np.ndarray, step: float, jump: float) -> DataFrame:
+    """Images of any size, given with their neighbours' rows: bands of lines are groups."""
+    planes, groups = len(inverse), rows.groupBy("image")
     kind = T.StructType([frames.schema["image"], *[T.StructField(c, T.IntegerType()) for c in ("row", "col")], T.StructField("costs", T.ArrayType(T.FloatType()))])
 
     def lists(a: np.ndarray, t) -> pa.Array:
