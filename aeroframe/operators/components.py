@@ -6,13 +6,16 @@ grouping and one join, and its edges are written to the shared folder."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from . import kernels
 from .joins import even_join, sorted_join
 
+#: Hubs of a mesh are broadcast with their components up to this many.
+HUBS = 1_000_000
+
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
     """(a, b) edges of long ids to (id, component), the smallest id reachable.
@@ -70,15 +73,26 @@ def grid_components(cells: DataFrame, width: int = 1 << 31, tile: int = 256) ->
     return sorted_join(c, found, "id", "left").select("row", "col", F.coalesce("component", "id").alias("component"))
 
 
-def face_components(faces: DataFrame) -> DataFrame:
-    """Triangles (fid, v0, v1, v2) that share an edge: fid, component.
+def face_components(faces: DataFrame, alone: bool = True) -> DataFrame:
+    """Triangles (fid, v0, v1, v2) that share an edge: fid, component. Without ``alone``, faces that share none are left out.
 
-    Faces on an edge are chained to its smallest, so an edge of many faces gives one link a face."""
-    edge = F.explode(F.array(*[F.struct(F.least(a, b).alias("p"), F.greatest(a, b).alias("q")) for a, b in (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))]))
-    e = faces.select("fid", edge.alias("e")).select("fid", "e.p", "e.q")
-    first = e.groupBy("p", "q").agg(F.min("fid").alias("b"))
-    links = e.join(first, ["p", "q"]).select(F.col("fid").alias("a"), "b")
-    return connected_components(links, faces.select(F.col("fid").alias("id"))).select(F.col("id").alias("fid"), "component")
+    An edge of several faces has its smallest as hub. A face belongs with its smallest
+    hub and ties its other hubs to it, so only hubs go through rounds, not faces."""
+    edge = F.explode(F.array(*[F.struct(F.least(a, b).alias("p"), F.greatest(a, b).alias("q"), F.lit(k == 0).alias("first")) for k, (a, b) in enumerate((("v0", "v1"), ("v1", "v2"), ("v2", "v0")))]))
+    e = faces.select("fid", edge.alias("e")).select("fid", "e.*")
+    hubs = e.groupBy("p", "q").agg(F.min("fid").alias("hub"), F.max("fid").alias("__last")).where("hub < __last").drop("__last")
+    if alone:
+        # A face stays by its first edge, whether or not it is shared.
+        met = sorted_join(e, hubs, ["p", "q"], "left").withColumn("hub", F.when(F.col("fid").isNotNull(), F.col("hub"))).where("hub IS NOT NULL OR first")
+    else:
+        met = sorted_join(e, hubs, ["p", "q"]).where("fid IS NOT NULL")
+    w = Window.partitionBy("fid").orderBy(F.asc_nulls_last("hub"))
+    met = materialise(met.select("fid", "hub", F.first("hub").over(w).alias("least"), (F.row_number().over(w) == 1).alias("lead")))
+    found = materialise(connected_components(met.where("hub <> least").select(F.col("hub").alias("a"), F.col("least").alias("b"))))
+    few = found.limit(HUBS + 1).count() <= HUBS
+    own, names = met.where("lead").select("fid", "least"), found.withColumnRenamed("id", "least")
+    out = own.join(F.broadcast(names), "least", "left") if few else even_join(own, names, ["least"], ["fid"], "left")
+    return out.select("fid", F.coalesce("component", "least", "fid").alias("component"))
 
 
 def large_components(parts: DataFrame, least_share: float = 0.01) -> DataFrame:

@@ -204,8 +204,7 @@ _VERT = "SELECT c_custkey AS vid, cast((c_custkey*37)%1000 as double)/10 AS x, c
   SELECT fid, component FROM m QUALIFY count(*) OVER (PARTITION BY component) >= 2""")
 def face_groups(spark, d):
     """Faces that share an edge with another, with their component."""
-    f = components.face_components(Views(spark, d).of(_FACES))
-    return f.join(f.groupBy("component").count().where("count >= 2").select("component"), "component", "left_semi").select("fid", "component")
+    return components.face_components(Views(spark, d).of(_FACES), alone=False)
 
 
 @query(f"""WITH f AS ({_FACES}), v AS ({_VERT}) SELECT fid*3 + k AS vid, x, y, z, CASE fid%3 WHEN 0 THEN 10 WHEN 1 THEN 40 ELSE 70 END AS r, CASE fid%3 WHEN 0 THEN 20 WHEN 1 THEN 50 ELSE 80 END AS g
