@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cross, norm
+from ..session import materialise
+from .cloud import fitting_cell
 from .joins import sorted_join
 
 
@@ -106,16 +108,40 @@ def cut_buildings(faces: DataFrame, vertices: DataFrame, rings: DataFrame, above
     return faces.join(gone.select("fid").distinct(), "fid", "left_anti")
 
 
+#: Surface points that share a cell at the start of a search.
+CROWD = 3
+
+
 def nearest_colours(points: DataFrame, surface: DataFrame, radius: float = 0.9, neutral=(170, 165, 158)) -> DataFrame:
-    """Colour of the nearest surface point within the radius; others get 0.6 of the median of what was found and 0.4 neutral."""
+    """Colour of the nearest surface point within the radius, the least on ties; others get 0.6 of the median of what was found and 0.4 neutral.
+
+    A point looks in its own and the 26 cells round it, which start small where the surface is
+    dense; what finds nothing within a cell's side looks again in cells twice as large, until
+    they are as large as the radius. Points at one place are met once, and so are surface points
+    at one place, with their least colour."""
     near = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((i, j, m), "ijk")]) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)]))
-    at = lambda df: df.withColumns({f"c{c}": F.floor(F.col(c) / radius) for c in "xyz"})
-    q = at(points).withColumn("o", near).withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"o.{n}") for c, n in zip("xyz", "ijk")}).drop("o")
-    s = at(surface).select("cx", "cy", "cz", *[F.col(c).alias(f"s{c}") for c in "xyz"], F.struct("r", "g", "b").alias("rgb"))
-    d = norm(*[F.col(c) - F.col(f"s{c}") for c in "xyz"])
-    hit = sorted_join(q, s, ["cx", "cy", "cz"]).withColumn("d", d).where(F.col("d") <= radius).groupBy("id").agg(F.min_by("rgb", F.struct("d", "rgb")).alias("rgb"))
-    mid = hit.agg(*[F.coalesce(F.percentile(f"rgb.{c}", 0.5), F.lit(float(n))).alias(f"m{c}") for c, n in zip("rgb", neutral)])
-    out = points.join(hit, "id", "left").crossJoin(F.broadcast(mid))
+    at = lambda df, cell: df.withColumns({f"c{c}": F.floor(F.col(c) / cell) for c in "xyz"})
+    seen = surface.groupBy("x", "y", "z").agg(F.min(F.struct("r", "g", "b")).alias("rgb"))
+    seen = materialise(seen)
+    cell = min(radius, fitting_cell(seen, radius, "xyz", CROWD))
+    todo, hit = points.select("x", "y", "z").distinct(), None
+    while True:
+        q = at(todo, cell).withColumn("o", near).withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"o.{n}") for c, n in zip("xyz", "ijk")}).drop("o")
+        s = at(seen, cell).select("cx", "cy", "cz", *[F.col(c).alias(f"s{c}") for c in "xyz"], "rgb")
+        d = norm(*[F.col(c) - F.col(f"s{c}") for c in "xyz"])
+        found = sorted_join(q, s, ["cx", "cy", "cz"]).withColumn("d", d).where(F.col("d") <= cell).groupBy("x", "y", "z").agg(F.min_by("rgb", F.struct("d", "rgb")).alias("rgb"))
+        last = cell >= radius
+        found = found if last and hit is None else materialise(found)
+        hit = found if hit is None else hit.unionByName(found)
+        if not last:
+            todo = materialise(sorted_join(todo, found.select("x", "y", "z"), ["x", "y", "z"], "left_anti"))
+            last = todo.isEmpty()
+        if last:
+            break
+        cell = min(2 * cell, radius)
+    rows = materialise(sorted_join(points, hit, ["x", "y", "z"], "left"))
+    mid = rows.agg(*[F.coalesce(F.percentile(f"rgb.{c}", 0.5), F.lit(float(n))).alias(f"m{c}") for c, n in zip("rgb", neutral)])
+    out = rows.crossJoin(F.broadcast(mid))
     return out.select(*points.columns, *[F.coalesce(F.col(f"rgb.{c}").cast("double"), 0.6 * F.col(f"m{c}") + 0.4 * n).alias(c) for c, n in zip("rgb", neutral)], F.col("rgb").isNotNull().alias("seen"))
 
 
