@@ -14,6 +14,7 @@ from ..session import materialise
 from . import kernels
 from .components import grid_components
 from .gates import first_reason
+from .joins import few
 from .mesh import ridge_points, ring_edges, wall_quads
 from .quantiles import grouped_percentiles
 from .raster import binary_opening, curvature, dilate, disk_filter, roughness
@@ -189,25 +190,26 @@ def cloud_metrics(points: DataFrame, key: str) -> DataFrame:
     Points: key, x, y, z, r, g, b. Building points are the red ones, else those 3.5 m
     over the datum (the 15th percentile), else the top three tenths; stray ones
     beyond the 2nd and 98th percentiles are left out. Percentiles are found by sorting
-    over all tasks, filters are aggregates; the hull's kernel sees the extreme points of
-    narrow strips only."""
+    over all tasks, filters are aggregates, whose rows by key are written and go to the points:
+    points are read again for each, and neither moved nor sorted by key. The hull's kernel sees
+    the extreme points of narrow strips only."""
     base = points.groupBy(key).agg(F.count_if((F.col("r") > 180) & (F.col("g") < 120) & (F.col("b") < 120)).alias("red"))
     base = base.join(grouped_percentiles(points, key, "z", {"datum": 0.15, "z70": 0.7}), key, "left")
-    p = points.join(base, key)
+    p = points.join(few(base), key)
     p = p.withColumns({"is_red": (F.col("r") > 180) & (F.col("g") < 120) & (F.col("b") < 120), "high": F.col("z") - F.col("datum") > 3.5})
     n = p.groupBy(key).agg(F.count_if("high").alias("n_high"))
-    p = p.join(n, key).where(F.when(F.col("red") >= 10, F.coalesce("is_red", F.lit(False))).when(F.col("n_high") >= 10, F.col("high")).otherwise(F.col("z") > F.col("z70")))
+    p = p.join(few(n), key).where(F.when(F.col("red") >= 10, F.coalesce("is_red", F.lit(False))).when(F.col("n_high") >= 10, F.col("high")).otherwise(F.col("z") > F.col("z70")))
     lim = p.select(key).distinct()
     for c in "xy":
         lim = lim.join(grouped_percentiles(p, key, c, {f"{c}{q}": q / 100 for q in (2, 98)}), key, "left")
     inside = F.col("x").between(F.col("x2"), F.col("x98")) & F.col("y").between(F.col("y2"), F.col("y98"))
-    p = p.join(lim, key).withColumn("inside", inside)
+    p = p.join(few(lim), key).withColumn("inside", inside)
     m = p.groupBy(key).agg(F.count_if("inside").alias("n_in"))
-    p = p.join(m, key).where((F.col("n_in") < 10) | F.col("inside"))
+    p = p.join(few(m), key).where((F.col("n_in") < 10) | F.col("inside"))
     rel = F.col("z") - F.col("datum")
     out = p.groupBy(key).agg(F.max(rel).alias("peak_height"), F.avg(rel).alias("mean_height"), F.first("datum").alias("ground_level"), F.count(F.lit(1)).alias("n_points"))
     eaves = grouped_percentiles(p, key, rel, {"eave_height": 0.3})
-    out = out.join(eaves, key, "left").select(key, "peak_height", "mean_height", "eave_height", "ground_level", "n_points")
+    out = out.join(few(eaves), key, "left").select(key, "peak_height", "mean_height", "eave_height", "ground_level", "n_points")
     # A hull of hulls: a task keeps the corners of what it has seen of each key, then a key's corners meet.
     def corners(batches):
         seen: dict = {}
@@ -226,7 +228,7 @@ def cloud_metrics(points: DataFrame, key: str) -> DataFrame:
 
     kind = points.schema[key].dataType.simpleString()
     shape = p.select(key, "x", "y").mapInPandas(corners, f"`{key}` {kind}, x double, y double").groupBy(key).applyInPandas(hull, f"`{key}` {kind}, footprint_area double, perimeter double, rectangle_area double")
-    return out.join(shape, key).withColumn("volume", F.col("footprint_area") * F.col("mean_height"))
+    return out.join(few(shape), key).withColumn("volume", F.col("footprint_area") * F.col("mean_height"))
 
 
 def facade_type(label, width, height, bottom):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .joins import few
 
 #: Rows up to which one aggregate holds all values, and distinct values that are looked through at the end.
 SMALL, NARROW = 1_000_000, 10_000
@@ -75,7 +76,8 @@ def grouped_percentiles(df: DataFrame, key: str, column, shares: dict[str, float
     want = held.select("*", named).withColumn("at", (F.col("all") - 1) * F.col("w.share"))
     want = want.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))).where("rank >= before AND rank < upto")
     want = want.select(key, "__part", F.col("w.name").alias("name"), "at", (F.col("rank") - F.col("before")).alias("place"))
-    inside = c.join(want.select(key, "__part").distinct(), [key, "__part"], "left_semi")
+    want = few(want)
+    inside = c.join(want.select(key, "__part"), [key, "__part"], "left_semi")
     last = F.sum("n").over(Window.partitionBy(key, "__part").orderBy("v"))
     met = inside.withColumn("last", last).join(want, [key, "__part"]).where("place >= last - n AND place < last")
     ends = met.groupBy(key, "name").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.first("at").alias("at"))
